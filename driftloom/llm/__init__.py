@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("bpe",)
+_MODULES = ("bpe", "quality_rules")
 
 
 def _loaded():
