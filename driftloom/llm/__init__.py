@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("bpe", "quality_rules")
+_MODULES = ("bpe", "quality_rules", "simhash")
 
 
 def _loaded():
