@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("bpe", "quality_rules", "simhash", "decontaminate")
+_MODULES = ("bpe", "quality_rules", "simhash", "decontaminate", "pii")
 
 
 def _loaded():

@@ -203,6 +203,14 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
     return docs.withColumn(text_col, decode_column(F.col(ids_col), path))
 
 
+def tokenized(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """Add ``ids``, ``n_tokens`` and ``round_trip`` (decoding the ids gives the text; a null text
+    counts as empty). Columns with these names are replaced."""
+    coded = encode(docs, path, text_col).withColumn("n_tokens", F.size("ids").cast("long"))
+    same = decode_column(F.col("ids"), path) == F.coalesce(F.col(text_col), F.lit(""))
+    return coded.withColumn("round_trip", same)
+
+
 def tokenizer_path() -> str:
     """The public byte-level vocabulary that the query uses."""
     import public_tokenizers

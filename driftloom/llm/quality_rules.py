@@ -244,6 +244,13 @@ def verdicts(statistics: DataFrame, rules: DecisionList) -> DataFrame:
     })
 
 
+def kept_rows(docs: DataFrame, rules: DecisionList) -> DataFrame:
+    """Rows of ``docs`` that are kept, with the same columns."""
+    row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
+    judged = verdicts(with_statistics(row, "_text"), rules)
+    return judged.filter("kept").select("_row.*")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 7 over all of ``documents``: statistics once, rules learned from them, verdicts."""
     scratch = Scratch(spark, "quality-rules")
