@@ -135,13 +135,15 @@ def _gain(p0: int, n0: int, p1: int, n1: int) -> float:
     return p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p0 / (p0 + n0)))
 
 
+def _bucketed(rows: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """Add ``buckets``: for each feature, how many of its edges its value exceeds."""
+    count = lambda f: F.size(F.filter(F.array(*map(F.lit, edges[f])), lambda e: F.col(f) > e))
+    return rows.withColumn("buckets", F.array(*map(count, FEATURES)))
+
+
 def _best(rows: DataFrame, edges: dict[str, list[float]]) -> Condition | None:
-    """The condition with the largest gain over ``rows`` (columns: features, ``bad``)."""
-    buckets = F.array(*[
-        F.struct(F.lit(k).alias("f"), sum((F.col(f) > F.lit(e)).cast("int") for e in edges[f]).alias("b"))
-        for k, f in enumerate(FEATURES) if edges[f]
-    ])
-    counts = rows.select("bad", F.inline(buckets)).groupBy("f", "b").agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).collect()
+    """The condition with the largest gain over ``rows`` (columns: features, ``bad``, ``buckets``)."""
+    counts = rows.select("bad", F.posexplode("buckets").alias("f", "b")).groupBy("f", "b").agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).collect()
     found, best = None, 1e-9
     for k, f in enumerate(FEATURES):
         mine = {r.b: (r.p, r.n) for r in counts if r.f == k}
@@ -161,20 +163,18 @@ def _relaxed(rows: DataFrame, rule: list[Condition]) -> list[Condition]:
 
     Quantile edges sit on values of one class; the middle leaves unseen good rows more room.
     """
-    out = list(rule)
-    for k, c in enumerate(out):
-        rest = all_of(out[:k] + out[k + 1 :])
-        v = F.col(c.feature)
-        inside = rows.filter(rest).agg(
-            F.min(F.when(F.col("bad") & (v > c.limit), v)).alias("bad_above"),
-            F.max(F.when(~F.col("bad") & (v <= c.limit), v)).alias("good_below"),
-            F.max(F.when(F.col("bad") & (v <= c.limit), v)).alias("bad_below"),
-            F.min(F.when(~F.col("bad") & (v > c.limit), v)).alias("good_above"),
-        ).first()
-        near, far = (inside.bad_above, inside.good_below) if c.above else (inside.bad_below, inside.good_above)
-        if near is not None and far is not None:
-            out[k] = Condition(c.feature, c.above, (near + far) / 2)
-    return out
+    def ends(k: int, c: Condition) -> Column:
+        rest, v = all_of(rule[:k] + rule[k + 1 :]), F.col(c.feature)
+        side = lambda bad, above: rest & (F.col("bad") == bad) & ((v > c.limit) if above else (v <= c.limit))
+        if c.above:
+            return F.struct(F.min(F.when(side(True, True), v)).alias("near"), F.max(F.when(side(False, False), v)).alias("far"))
+        return F.struct(F.max(F.when(side(True, False), v)).alias("near"), F.min(F.when(side(False, True), v)).alias("far"))
+
+    found = rows.agg(*[ends(k, c).alias(f"c{k}") for k, c in enumerate(rule)]).first()
+    return [
+        Condition(c.feature, c.above, (x.near + x.far) / 2) if x.near is not None and x.far is not None else c
+        for c, x in zip(rule, found)
+    ]
 
 
 def learn(labelled: DataFrame) -> DecisionList:
@@ -198,7 +198,7 @@ def learn(labelled: DataFrame) -> DecisionList:
     edges = {f: sorted({*first[f"p_{f}"], *first[f"n_{f}"]}) for f in FEATURES}
     least = max(MIN_ROWS, MIN_COVER * first.p)
     rules: list[tuple[Condition, ...]] = []
-    left = rows
+    left = _bucketed(rows, edges)
     while len(rules) < MAX_RULES:
         rule: list[Condition] = []
         grow = left.filter(~F.col("held"))
@@ -247,8 +247,10 @@ def verdicts(statistics: DataFrame, rules: DecisionList) -> DataFrame:
 def kept_rows(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """Rows of ``docs`` that are kept, with the same columns."""
     row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
-    judged = verdicts(with_statistics(row, "_text"), rules)
-    return judged.filter("kept").select("_row.*")
+    # A filter moves below deterministic projections and takes copies of their expressions along,
+    # here one inside another; a row number keeps it above them.
+    judged = verdicts(with_statistics(row, "_text"), rules).withColumn("_row_no", F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col("_row_no") >= 0)).select("_row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,7 +255,8 @@ def keep_one(docs: DataFrame, scratch: Scratch, text_col: str = "text", limit: i
     printed = docs.withColumn("_fp", fingerprint_column(F.col(text_col)))
     ids = scratch.cut(printed.select("doc_id", F.col("_fp").alias("fp")), "fingerprints")
     classes = near_duplicate_classes(ids, scratch, limit).withColumnsRenamed({"fp": "_fp", "root": "_root", "component_id": "_id"})
-    kept = printed.join(classes, "_fp").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
+    # Every fingerprint has a class; a left join spares a second fingerprint for a null filter.
+    kept = printed.join(classes, "_fp", "left").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
     twice = ids.join(classes, F.col("fp") == F.col("_fp")).filter(F.col("doc_id").eqNullSafe(F.col("_id"))).groupBy("_root").count()
     if not twice.filter("count > 1").isEmpty():
         kept = kept.dropDuplicates(["_root"])
