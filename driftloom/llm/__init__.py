@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("bpe", "quality_rules", "simhash", "decontaminate", "pii")
+_MODULES = ("langid", "bpe", "quality_rules", "simhash", "decontaminate", "pii", "quality_classifier")
 
 
 def _loaded():
