@@ -229,10 +229,12 @@ def labelled_rows(statistics: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def learn_for(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DecisionList:
-    """Learn from the labelled documents alone; statistics of the others are not computed."""
-    ids = labels.filter(F.col("quality").isNotNull()).select("doc_id").distinct()
-    rows = with_statistics(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
-    return learn(scratch.cut(labelled_rows(rows, labels), "labelled"))
+    """Learn from the labelled rows of ``docs``.
+
+    Statistics are computed before the join with the labels, so no text is shuffled.
+    """
+    rows = with_statistics(docs.select("doc_id", "text")).select("doc_id", *FEATURES)
+    return learn(scratch.cut(labelled_rows(scratch.cut(rows, "statistics"), labels), "labelled"))
 
 
 def verdicts(statistics: DataFrame, rules: DecisionList) -> DataFrame:
