@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftloom.functions import canonical, text
-from driftloom.operators import chain, changes, ingest, stats
+from driftloom.operators import chain, changes, divergence, ingest, severity, stats
 from driftloom.session import table
 
 _QUERIES: dict = {}
@@ -402,3 +402,56 @@ def q50_layer_metrics(spark, d):
 def q51_retrospective(spark, d):
     t = chain.transitions(order_steps(spark, d))
     return t.agg(F.count("*").alias("transitions"), F.countDistinct("key").alias("multi_version"), F.count_if("restated").alias("restated"), F.count_if(F.col("was") != F.col("content")).alias("moved"))
+
+
+# Capability patterns over words that the documents hold.
+_LEXICON = {"license": r"\b(license|licensed|copyright)\b", "order": r"\b(with|that)\b", "place": r"\b(mail[0-9]+|example)\b", "secret": r"\b(api key|token|secret)\b"}
+_HITS = "h AS (SELECT doc_id, c AS capability, regexp_extract(lower(coalesce(text, '')), p, 0) AS evidence FROM documents, (VALUES " + ", ".join(f"('{c}', '{p}')" for c, p in _LEXICON.items()) + ") AS x(c, p) WHERE regexp_matches(lower(coalesce(text, '')), p))"
+
+
+def capabilities(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.inline(divergence.declared(F.col("text"), _LEXICON)))
+
+
+@query(f"WITH {_HITS} SELECT * FROM h")
+def q40_lexical_profile(spark, d):
+    return capabilities(spark, d)
+
+
+@query("""SELECT doc_id, CASE WHEN contains(text, '@') AND length(text) > 2000 THEN 'personal' WHEN regexp_matches(text, '[0-9]{16}') THEN 'card' WHEN regexp_matches(text, '[#$%&]{3}') THEN 'noise'
+WHEN length(text) < 100 THEN 'short' ELSE 'deferred' END AS label FROM documents""")
+def q41_rule_ladder(spark, d):
+    t = F.col("text")
+    rules = [("personal", F.contains(t, F.lit("@")) & (F.length(t) > 2000)), ("card", t.rlike("[0-9]{16}")), ("noise", t.rlike("[#$%&]{3}")), ("short", F.length(t) < 100)]
+    return table(spark, d, "documents").select("doc_id", severity.first_rule(rules).alias("label"))
+
+
+@query(f"""WITH {_HITS}, s AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'order' ELSE 'license' END AS capability FROM labels)
+SELECT doc_id, capability, evidence FROM h WHERE (doc_id, capability) NOT IN (SELECT doc_id, capability FROM s)""")
+def q43_undeclared(spark, d):
+    said = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "order").otherwise("license").alias("capability"))
+    found = divergence.undeclared(capabilities(spark, d), said, ["doc_id"])
+    return found.select("doc_id", "capability", F.element_at("evidence", 1).alias("evidence"))
+
+
+@query(_PAIRS + "SELECT conv_id, turn, concat_ws(',', CASE WHEN " + " OR ".join(f"(contains(lower(after), '{m}') AND NOT contains(lower(coalesce(before, '')), '{m}'))" for m in _MARKERS) + """ THEN 'imperative_language_added' END,
+CASE WHEN length(before) > 0 AND length(after) >= 2 * length(before) THEN 'description_grew_sharply' END) AS flags FROM p""")
+def q53_change_flags(spark, d):
+    pairs = turn_pairs(spark, d)
+    found = severity.change_flags(F.lit("tool_description_changed"), F.lit("text"), F.col("before"), F.col("after"), _MARKERS)
+    return pairs.select("conv_id", "turn", F.array_join(found, ",").alias("flags"))
+
+
+@query("""WITH t AS (SELECT o_custkey AS key, o_orderkey AS obs_id, o_orderpriority AS c, lag(o_orderpriority) OVER w AS was, row_number() OVER w AS rn FROM orders WHERE o_orderstatus <> 'P'
+WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) SELECT obs_id, rn = 1 OR c <> was AS changed FROM t""")
+def q54_changed_since_last(spark, d):
+    return chain.changed_since_last(order_steps(spark, d).filter("not absent"), "content").select("obs_id", "changed")
+
+
+@query("""WITH a AS (SELECT doc_id AS k, CASE WHEN toxic = 1 THEN 'timeout' ELSE 'ok' END AS s, quality AS h FROM labels), b AS (SELECT doc_id AS k, CASE WHEN doc_id % 7 = 0 THEN 'unreachable' ELSE 'ok' END AS s, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE quality END AS h FROM labels)
+SELECT CASE WHEN b.s <> 'ok' THEN b.s WHEN a.s = 'ok' AND a.h IS DISTINCT FROM b.h THEN 'nondeterministic' ELSE 'ok' END AS status, count(*) AS n FROM a JOIN b USING (k) GROUP BY status""")
+def q55_reconcile_probes(spark, d):
+    t = table(spark, d, "labels")
+    a = t.select("doc_id", F.when(F.col("toxic") == 1, "timeout").otherwise("ok").alias("status"), F.col("quality").cast("string").alias("hash"))
+    b = t.select("doc_id", F.when(F.col("doc_id") % 7 == 0, "unreachable").otherwise("ok").alias("status"), F.when(F.col("doc_id") % 3 == 0, 1).otherwise(F.col("quality")).cast("string").alias("hash"))
+    return ingest.reconcile(a, b, "doc_id").groupBy("status").agg(F.count("*").alias("n"))
