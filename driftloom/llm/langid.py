@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +24,36 @@ from pyspark.sql import functions as F
 from driftloom.llm.shared import table
 
 #: Slots of hashed subwords, width of embeddings, letters of an n-gram.
-SLOTS, WIDTH, NGRAMS = 1 << 15, 16, (1, 2, 3, 4)
+SLOTS, WIDTH, NGRAMS = 1 << 15, 16, (2, 3)
 #: Labelled rows of a language that are learned from (about), and bytes of text of all of them at most (about).
 SAMPLE_ROWS, SAMPLE_BYTES = 600, 16 << 20
 PASSES, BATCH, STEP = 6, 16, 0.3
 #: Share of accepted held-back rows that must be right.
 WANTED_ACCURACY = 0.99
 UNKNOWN = "und"
-CACHED_WORDS, LONG_WORD, BLOCK = 200_000, 40, 50_000
+CACHED_WORDS, CACHED_GRAMS, LONG_WORD = 600_000, 200_000, 40
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+class _Slots(dict):
+    """Slots of subwords seen so far."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= CACHED_GRAMS:
+            self.clear()
+        slot = self[gram] = zlib.crc32(gram.encode()) % SLOTS
+        return slot
+
+
+_SLOTS = _Slots()
+
+
 def slots_of(word: str) -> list[int]:
     """Slots of a word's subwords."""
     marked = f"<{word}>"
     grams = [marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode()) % SLOTS for g in [*grams, f"={word}"]]
+    return [*map(_SLOTS.__getitem__, grams), zlib.crc32(f"={word}".encode()) % SLOTS]
 
 
 def words_of(text: str):
@@ -147,15 +161,24 @@ class _Words(dict):
 
     def __init__(self, model: Model):
         self.model = model
+        self.counted = np.c_[model.scores, np.ones(len(model.scores))]
 
     def __missing__(self, word: str) -> bytes:
-        slots = slots_of(word)
-        row = np.r_[self.model.scores[slots].sum(axis=0), len(slots)].tobytes()
-        if len(word) <= LONG_WORD:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = row
-        return row
+        """Words that are not kept: long ones, and those of very long texts."""
+        return self.counted[slots_of(word)].sum(axis=0).tobytes()
+
+    def keep(self, found: list[str]) -> None:
+        """Have all but the long words of a text in the cache, the new ones by one sum."""
+        new = [w for w in set(found) if w not in self]
+        if len(self) + len(new) > CACHED_WORDS:
+            self.clear()
+            new = list(set(found))
+        new = [w for w in new if len(w) <= LONG_WORD]
+        if new:
+            slots = list(map(slots_of, new))
+            starts = np.cumsum([0, *map(len, slots[:-1])])
+            rows = np.add.reduceat(self.counted[np.fromiter(chain.from_iterable(slots), np.int64)], starts)
+            self.update(zip(new, map(np.ndarray.tobytes, rows)))
 
 
 def logits_of(text: str, words: _Words) -> np.ndarray | None:
@@ -165,6 +188,7 @@ def logits_of(text: str, words: _Words) -> np.ndarray | None:
     if len(low) <= 1 << 20:
         found = _WORD.findall(low)
         if found:
+            words.keep(found)
             total = np.frombuffer(b"".join(map(words.__getitem__, found))).reshape(-1, width).sum(axis=0)
     else:  # the pieces of a very long text are never all in memory
         for m in _WORD.finditer(low):
