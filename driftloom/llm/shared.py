@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,9 +49,16 @@ class Scratch:
         self._fs.mkdirs(self._at)
         self._fs.deleteOnExit(self._at)
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
+        """``release`` lets Spark's cleaner drop the shuffle files that only this write needed.
+
+        The cleaner follows the driver's garbage collection, which may be hours away.
+        """
         at = f"{self.path}/{name}"
         df.write.mode("overwrite").parquet(at)
+        if release:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str) -> None:

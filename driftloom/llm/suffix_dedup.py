@@ -247,17 +247,18 @@ def _strings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc", "th", "start", "digest"])
 
 
-def repeats(firsts: DataFrame, scratch: Scratch) -> DataFrame:
+def repeats(firsts: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Repeated strings of distinct texts, as runs (doc, th, start, n) of string starts.
 
     ``firsts`` has (doc, th, text), a row for each distinct text: its least document and hash.
+    ``texts`` has at least these rows; regions are cut from it without finding the firsts again.
     """
     found = firsts.select("doc", "th", F.inline(anchors_column(F.col("text"))))
     # One shuffle by anchor serves the count of places, the regions and their first places.
     same = Window.partitionBy("anchor")
     first = F.min(F.struct("doc", "th", _start(F.col("place")).alias("start"))).over(Window.partitionBy("anchor", "region"))
     seen = found.withColumn("places", F.count("*").over(same)).filter("places > 1").withColumn("first", first)
-    seen = scratch.cut(seen.withColumn("again", F.col("first") != F.struct("doc", "th", _start(F.col("place")).alias("start"))), "seen")
+    seen = scratch.cut(seen.withColumn("again", F.col("first") != F.struct("doc", "th", _start(F.col("place")).alias("start"))), "seen", release=True)
     whole = seen.filter("again").select("doc", "th", _start(F.col("place")).alias("start"), _count(F.col("place")).alias("n"))
     # Regions that occur first, of anchors with several regions.
     alone = seen.filter(~F.col("again")).drop("again", "first", "places").repartition("anchor").distinct().withColumn("regions", F.count("*").over(same)).filter("regions > 1")
@@ -265,8 +266,8 @@ def repeats(firsts: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = alone.groupBy("doc", "th").agg(F.collect_list(F.struct("anchor", "regions", "start", "n")).alias("r"))
     raw = F.encode("text", "utf-8")
     cut = lambda r: F.struct(r["anchor"].alias("anchor"), r["regions"].alias("regions"), r["start"].alias("start"), F.substring(F.col("raw"), (r["start"] + 1).cast("int"), (r["n"] + (LENGTH - 1)).cast("int")).alias("bytes"))
-    regions = firsts.join(wanted, ["doc", "th"]).withColumn("raw", raw).select("doc", "th", F.inline(F.transform("r", cut)))
-    regions = scratch.cut(regions, "bytes")
+    regions = texts.join(wanted, ["doc", "th"]).withColumn("raw", raw).select("doc", "th", F.inline(F.transform("r", cut)))
+    regions = scratch.cut(regions, "bytes", release=True)
     few = regions.filter(F.col("regions") <= MOST_REGIONS).repartition("anchor").sortWithinPartitions("anchor")
     by_array = few.select("anchor", "doc", "th", "start", "bytes").mapInArrow(_sorted_repeats, REPEATS)
     many = regions.filter(F.col("regions") > MOST_REGIONS)
@@ -319,9 +320,9 @@ def remove_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     first = ids.groupBy("copy").agg(F.min(F.struct("doc", "th")).alias("first"))
     copies = ids.join(scratch.cut(first, "firsts"), "copy").filter(F.struct("doc", "th") != F.col("first")).select("doc", "th").distinct()
     copies = scratch.cut(copies, "copies")
-    firsts = keyed.filter(F.octet_length("text") >= LENGTH).join(copies, ["doc", "th"], "left_anti").select("doc", "th", "text")
-    runs = repeats(firsts, scratch).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    marks = scratch.cut(runs.unionByName(copies.withColumn("runs", F.lit(None).cast("array<struct<start:bigint,n:bigint>>"))), "runs")
+    texts = keyed.filter(F.octet_length("text") >= LENGTH).select("doc", "th", "text")
+    runs = repeats(texts.join(copies, ["doc", "th"], "left_anti"), texts, scratch).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    marks = scratch.cut(runs.unionByName(copies.withColumn("runs", F.lit(None).cast("array<struct<start:bigint,n:bigint>>"))), "runs", release=True)
     marked = keyed.drop("copy").join(marks.withColumn("marked", F.lit(True)), ["doc", "th"], "left")
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), (F.octet_length("text") - (LENGTH - 1)).cast("long").alias("n")))
     whole = F.col("marked") & F.col("runs").isNull()
