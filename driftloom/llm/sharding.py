@@ -61,15 +61,16 @@ def propagate(units: DataFrame, shards: int, rows: int, scratch: Scratch, rounds
 
 
 def _numbered(docs: DataFrame, shards: int, rows: int) -> DataFrame:
-    """Add ``rank``: places in the order of (label, linked first), gapless from 0.
+    """Add ``rank``: places in the order of (label, side), gapless from 0.
 
-    Rows are numbered in hashed buckets of bounded size; bucket counts give each its start.
+    Linked rows stand between two halves of the rows without links, so that evening out shard
+    borders moves the latter. Rows are numbered in hashed buckets of bounded size; bucket counts give each its start.
     """
     buckets = max(1, -(-rows // (shards * BUCKET_ROWS)))
     keyed = docs.withColumn("bucket", F.pmod(F.xxhash64("hub", "part", "origin", "linked"), F.lit(buckets)).cast("int"))
-    key = ["label", "alone", "bucket"]
+    key = ["label", "side", "bucket"]
     counts = keyed.groupBy(key).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("label").orderBy("alone", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("label").orderBy("side", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     inside = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     totals = {r.label: r.n for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # one row a shard
     starts = [sum(totals.get(s, 0) for s in range(k)) for k in range(shards)]
@@ -108,7 +109,7 @@ def balanced_shards(docs: DataFrame, scratch: Scratch, hub: Column, shards: int
     linked = counted.join(sizes.select("hub"), "hub", "left_semi").withColumn("shard", F.col("origin"))
     units = propagate(linked, shards, rows, scratch, rounds).select("hub", "part", "origin", F.col("shard").alias("to"))
     labelled = split.join(units, ["hub", "part", "origin"], "left").select(
-        "*", F.coalesce("to", "origin").alias("label"), F.col("to").isNull().alias("alone"),
+        "*", F.coalesce("to", "origin").alias("label"), F.when(F.col("to").isNull(), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)) * 2).otherwise(1).cast("int").alias("side"),
         F.when(F.col("to").isNull(), F.xxhash64("doc_id")).alias("linked"),
     )
     ranked = _numbered(scratch.cut(labelled.drop("to"), "labelled"), shards, rows)
