@@ -12,8 +12,11 @@ that can hold equal strings at all:
 3. Where an anchor has different regions, suffix arrays decide: a task concatenates its regions
    and sorts their suffixes by difference cover (sort the triples at two of three places, recurse
    on their names, merge the other suffixes), then compares adjacent LENGTH-byte prefixes.
-4. An anchor with very many different regions is taken apart into its single strings, which are
-   grouped by a 128-bit digest, so that no task holds them all.
+4. An anchor with very many different regions, such as a common phrase, is divided once more:
+   its strings are put into cells of up to CELL neighbouring places, by the LENGTH - CELL + 1 bytes
+   that all strings of a cell share. Cells go through steps 2 and 3 in their turn. Only a cell that
+   still has very many different regions, a fixed passage at the rim of which texts differ, is taken
+   apart into its strings, which are grouped by a 128-bit digest, so that no task holds them all.
 
 Whole copies of a text are found first, by length and two hashes, and give no anchors.
 """
@@ -32,8 +35,10 @@ from pyspark.sql.window import Window
 from driftloom.llm.shared import Scratch, table
 
 LENGTH, GRAM = 100, 24
-#: Regions of one anchor that a task sorts; an anchor with more is taken apart (step 4).
+#: Regions of one anchor or cell that a task sorts; one with more is divided (step 4).
 MOST_REGIONS = 2_000
+#: Neighbouring strings of an anchor that make up a cell.
+CELL = 8
 #: Bytes of concatenated regions in one suffix array, and of text that is anchored at once.
 ARRAY_BYTES, SLAB_BYTES = 1 << 20, 4 << 20
 
@@ -131,6 +136,31 @@ def _count(place: Column) -> Column:
     return F.shiftright(place, _OFFSET_BITS).bitwiseAND(F.lit((1 << _N_BITS) - 1))
 
 
+def _offset(place: Column) -> Column:
+    return place.bitwiseAND(F.lit((1 << _OFFSET_BITS) - 1))
+
+
+def cells_of(regions: DataFrame) -> DataFrame:
+    """Each region divided into cells, as (cell, doc, th, start, n, bytes).
+
+    Equal strings of one anchor have the anchor equally far from their start. That distance,
+    divided by CELL, names the cell; the bytes that all strings of the cell share are hashed into
+    it, so equal strings always meet.
+    """
+    n, offset, raw = F.octet_length("bytes") - (LENGTH - 1), F.col("offset").cast("int"), F.col("bytes")
+
+    def cell(b: Column) -> Column:
+        far, near = F.least(offset, b * CELL + (CELL - 1)), F.greatest(offset - n + 1, b * CELL)
+        shared = F.substring(raw, offset - b * CELL + 1, F.lit(LENGTH - CELL + 1))
+        return F.struct(
+            F.xxhash64("anchor", b, shared).alias("cell"), (F.col("start") + offset - far).alias("start"),
+            (far - near + 1).cast("long").alias("n"), F.substring(raw, offset - far + 1, far - near + LENGTH).alias("bytes"),
+        )
+
+    blocks = F.sequence(F.floor((offset - n + 1) / CELL).cast("int"), F.floor(offset / CELL).cast("int"))
+    return regions.select("doc", "th", F.inline(F.transform(blocks, cell)))
+
+
 def sort_suffixes(text: np.ndarray) -> np.ndarray:
     """Suffix array by difference cover modulo 3; ``text`` has integers from 1 to about its length."""
     n = len(text)
@@ -262,21 +292,50 @@ def repeats(firsts: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     whole = seen.filter("again").select("doc", "th", _start(F.col("place")).alias("start"), _count(F.col("place")).alias("n"))
     # Regions that occur first, of anchors with several regions.
     alone = seen.filter(~F.col("again")).drop("again", "first", "places").repartition("anchor").distinct().withColumn("regions", F.count("*").over(same)).filter("regions > 1")
-    alone = scratch.cut(alone.select("doc", "th", "anchor", "regions", _start(F.col("place")).alias("start"), _count(F.col("place")).alias("n")), "regions")
-    wanted = alone.groupBy("doc", "th").agg(F.collect_list(F.struct("anchor", "regions", "start", "n")).alias("r"))
+    alone = scratch.cut(alone.select("doc", "th", "anchor", "regions", "place"), "regions")
+    wanted = alone.groupBy("doc", "th").agg(F.collect_list(F.struct("anchor", "regions", "place")).alias("r"))
     raw = F.encode("text", "utf-8")
-    cut = lambda r: F.struct(r["anchor"].alias("anchor"), r["regions"].alias("regions"), r["start"].alias("start"), F.substring(F.col("raw"), (r["start"] + 1).cast("int"), (r["n"] + (LENGTH - 1)).cast("int")).alias("bytes"))
+
+    def cut(r: Column) -> Column:
+        start, n = _start(r["place"]), _count(r["place"])
+        part = F.substring(F.col("raw"), (start + 1).cast("int"), (n + (LENGTH - 1)).cast("int"))
+        return F.struct(r["anchor"].alias("anchor"), r["regions"].alias("regions"), start.alias("start"), _offset(r["place"]).alias("offset"), part.alias("bytes"))
+
     regions = texts.join(wanted, ["doc", "th"]).withColumn("raw", raw).select("doc", "th", F.inline(F.transform("r", cut)))
     regions = scratch.cut(regions, "bytes", release=True)
-    few = regions.filter(F.col("regions") <= MOST_REGIONS).repartition("anchor").sortWithinPartitions("anchor")
-    by_array = few.select("anchor", "doc", "th", "start", "bytes").mapInArrow(_sorted_repeats, REPEATS)
+    few = regions.filter(F.col("regions") <= MOST_REGIONS)
+    by_array = _by_array(few.select("anchor", "doc", "th", "start", "bytes"))
     many = regions.filter(F.col("regions") > MOST_REGIONS)
-    strings = many.select("doc", "th", "start", "bytes").mapInArrow(_strings_of, "doc long, th long, start long, digest binary")
-    least = strings.groupBy("digest").agg(F.min(F.struct("doc", "th", "start")).alias("first"), F.count("*").alias("k")).filter("k > 1")
     if many.isEmpty():
         return whole.unionByName(by_array)
-    taken = strings.join(least, "digest").filter(F.struct("doc", "th", "start") != F.col("first")).select("doc", "th", "start", F.lit(1).cast("long").alias("n"))
-    return whole.unionByName(by_array).unionByName(taken)
+    return whole.unionByName(by_array).unionByName(_by_cells(many, scratch))
+
+
+def _by_array(regions: DataFrame) -> DataFrame:
+    """Runs of repeated strings among regions (anchor, doc, th, start, bytes), by suffix arrays."""
+    return regions.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_repeats, REPEATS)
+
+
+def _by_cells(regions: DataFrame, scratch: Scratch) -> DataFrame:
+    """Runs of repeated strings among regions of anchors that have very many (step 4)."""
+    at = F.struct("doc", "th", "start")
+    cells = scratch.cut(cells_of(regions).withColumn("region", F.xxhash64("n", "bytes")), "cells")
+    # Equal regions are counted where they are read, so a hot cell sends few rows.
+    firsts = cells.groupBy("cell", "region").agg(F.min(at).alias("first"), F.count("*").alias("places"))
+    firsts = scratch.cut(firsts, "cell-firsts")
+    again = cells.join(firsts.filter("places > 1").select("cell", "region", "first"), ["cell", "region"]).filter(at != F.col("first"))
+    shared = firsts.groupBy("cell").agg(F.count("*").alias("regions")).filter("regions > 1")
+    alone = firsts.join(shared, "cell").select("cell", "regions", "first.*")
+    alone = scratch.cut(cells.select("cell", "doc", "th", "start", "bytes").join(alone, ["cell", "doc", "th", "start"]), "cell-regions", release=True)
+    few = alone.filter(F.col("regions") <= MOST_REGIONS).select(F.col("cell").alias("anchor"), "doc", "th", "start", "bytes")
+    many = alone.filter(F.col("regions") > MOST_REGIONS).select("doc", "th", "start", "bytes")
+    found = again.select("doc", "th", "start", "n").unionByName(_by_array(few))
+    if many.isEmpty():
+        return found
+    strings = many.mapInArrow(_strings_of, "doc long, th long, start long, digest binary")
+    least = strings.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("k")).filter("k > 1")
+    taken = strings.join(least, "digest").filter(at != F.col("first")).select("doc", "th", "start", F.lit(1).cast("long").alias("n"))
+    return found.unionByName(taken)
 
 
 def _kept_column(text: Column, runs: Column) -> Column:

@@ -50,7 +50,7 @@ def planted(seed, n=60):
     return docs
 
 
-@pytest.mark.parametrize("most", [2_000, 3])
+@pytest.mark.parametrize("most", [2_000, 12, 3, 1])
 def test_planted_passages(spark, monkeypatch, most):
     monkeypatch.setattr(S, "MOST_REGIONS", most)
     docs = planted(most)
