@@ -75,6 +75,30 @@ def parameter_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> D
     return joined.select(*keys, "tool", "name", F.explode(kinds).alias("kind"))
 
 
+def _member_changes(before: DataFrame, after: DataFrame, keys: list[str], noun: str, edits: bool) -> DataFrame:
+    b = before.select(*keys, "name", F.col("value").alias("b"))
+    a = after.select(*keys, "name", F.col("value").alias("a"))
+    cases = [(F.col("b").isNull(), f"{noun}_added"), (F.col("a").isNull(), f"{noun}_removed")]
+    if edits:
+        cases.append((F.col("a") != F.col("b"), f"{noun}_changed"))
+    text = lambda side: F.get_json_object(side, "$.description")
+    joined = b.join(a, [*keys, "name"], "full_outer")
+    return joined.select(*keys, "name", text("b").alias("before"), text("a").alias("after"), F.explode(_kind(cases)).alias("kind"))
+
+
+def prompt_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, name, before, after, kind): prompts added, removed or changed in any part.
+
+    ``before`` and ``after`` carry the descriptions only.
+    """
+    return _member_changes(before, after, keys, "prompt", edits=True)
+
+
+def resource_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, name, before, after, kind): resources added or removed, by URI; edits are not told."""
+    return _member_changes(before, after, keys, "resource", edits=False)
+
+
 def _similarity(a: str | None, b: str | None) -> float:
     cut = re.compile(r"\w+|[^\w\s]").findall
     return difflib.SequenceMatcher(None, cut(a or ""), cut(b or ""), autojunk=False).ratio()
