@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("langid", "bpe", "quality_rules", "simhash", "decontaminate", "pii", "quality_classifier", "html_text", "sharding", "suffix_dedup")
+_MODULES = ("langid", "bpe", "quality_rules", "simhash", "near_copies", "decontaminate", "pii", "quality_classifier", "html_text", "sharding", "suffix_dedup")
 
 
 def _loaded():
