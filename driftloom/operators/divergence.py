@@ -7,12 +7,46 @@ from pyspark.sql import functions as F
 
 # Capability patterns of declared texts, in output order.
 DECLARED = {
-    "network": r"\b(http|https|url|fetch|download|upload|request|api|web)\b",
-    "filesystem_read": r"\b(read|open|load|list) (a |the )?(file|files|directory|folder)\b",
-    "filesystem_write": r"\b(write|save|create|delete|remove) (a |the )?(file|files|directory|folder)\b",
-    "subprocess": r"\b(execute|run|spawn) (a |the )?(command|process|script|shell)\b",
-    "credential_access": r"\b(token|secret|password|credential|credentials)\b",
+    "network": (
+        r"(?U)\b(http|https|url|uri|endpoint|api|apis|web|website|internet|online|fetch|download|upload|request|requests|query|"
+        r"queries|search|searches|remote|server|webhook|callback|rest|graphql|scrape|crawl|proxy|dns|host|domain)\b"
+    ),
+    "filesystem_read": (
+        r"(?U)\b(file|files|filesystem|directory|directories|folder|folders|path|paths|read|reads|load|loads|open|opens|parse|"
+        r"parses|import|imports|scan|scans|disk|local)\b"
+    ),
+    "filesystem_write": (
+        r"(?U)\b(write|writes|save|saves|store|stores|persist|persists|create|creates|export|exports|output|outputs|generate|"
+        r"generates|delete|deletes|remove|removes|modify|modifies|update|updates)\b"
+    ),
+    "subprocess": (
+        r"(?U)\b(command|commands|shell|bash|sh|exec|execute|executes|run|runs|spawn|spawns|process|processes|subprocess|cli|"
+        r"binary|script|scripts|invoke|invokes|compile|compiles|build|builds|install|installs)\b"
+    ),
+    "credential_access": (
+        r"(?U)\b(credential|credentials|token|tokens|api[_ -]?key|apikey|secret|secrets|password|passwords|auth|authenticate|"
+        r"authentication|authorization|oauth|login|signin|bearer|session)\b"
+    ),
 }
+#: The same of parameter names, and of formats of parameters.
+PARAMETERS = {
+    "network": r"(url|uri|endpoint|host|hostname|domain|webhook|callback|address|link|server|proxy|port|api_base|base_url)",
+    "filesystem_read": r"(path|file|filename|filepath|dir|directory|folder|source|input_file|location|document)",
+    "filesystem_write": r"(output|output_path|destination|dest|target|save_to|write_to|out_file)",
+    "subprocess": r"(command|cmd|shell|exec|script|args|argv|program|binary|executable)",
+    "credential_access": r"(token|api_?key|apikey|secret|password|passwd|credential|auth|bearer|access_token|client_secret)",
+}
+NETWORK_FORMATS = ["uri", "url", "iri", "hostname", "idn-hostname", "ipv4", "ipv6"]
+#: Reads that tell nothing: a runtime that loads itself, name lookup and trust stores.
+NOISE = (
+    r"^(/usr/|/lib/|/lib64/|/proc/|/sys/|/dev/|/etc/ld\.so|/etc/localtime|/etc/nsswitch\.conf|/etc/host\.conf|/etc/gai\.conf|/srv/server/node_modules/"
+    r"|/srv/server/venv/|/srv/probe/|/home/prober/\.npm/|/home/prober/\.cache/|/etc/ssl/|/etc/pki/|/etc/ca-certificates|/usr/share/ca-)"
+    r"|^/etc/(hosts|resolv\.conf|services|protocols|networks|hostname)\z"
+)
+SECRETS = (
+    r"(/\.aws/|/\.ssh/|/\.netrc|/\.npmrc|/\.docker/config|/\.git-credentials|/\.config/gcloud|/\.kube/config|/\.gnupg/|/\.pypirc|(^|/)\.env(\.|$)"
+    r"|/proc/self/environ|/proc/\d+/environ|id_rsa|id_ed25519|credentials\.json|service[_-]account.*\.json)"
+)
 
 
 def declared(text: Column, patterns: dict[str, str] = DECLARED) -> Column:
@@ -22,19 +56,47 @@ def declared(text: Column, patterns: dict[str, str] = DECLARED) -> Column:
     return F.array_compact(F.array(*hits))
 
 
+def declared_parameter(name: Column, schema: Column) -> Column:
+    """array<struct<capability, evidence>> of one parameter: its name, its format, its description.
+
+    ``schema`` is the parameter's JSON; schemas inside it are not walked.
+    """
+    low, form = F.lower(name), F.lower(F.get_json_object(schema, "$.format"))
+    hit = lambda c: F.struct(F.lit(c).alias("capability"), name.alias("evidence"))
+    named = [F.when(low.rlike(p), hit(c)) for c, p in PARAMETERS.items()]
+    named.append(F.when(form.isin(*NETWORK_FORMATS), hit("network")))
+    return F.concat(F.array_compact(F.array(*named)), declared(F.get_json_object(schema, "$.description")))
+
+
+def declared_tool(tool: Column) -> Column:
+    """array<struct<capability, evidence>> of a tool's JSON: name, description, parameters, readOnlyHint."""
+    get = lambda path: F.get_json_object(tool, path)
+    text = F.concat_ws(" ", F.regexp_replace(get("$.name"), "[_-]", " "), get("$.description"))
+    props = F.from_json(F.coalesce(get("$.inputSchema.properties"), get("$.input_schema.properties")), "map<string,string>")
+    params = F.flatten(F.transform(F.map_entries(props), lambda e: declared_parameter(e["key"], e["value"])))
+    writes = F.when(get("$.annotations.readOnlyHint") == "false", F.struct(F.lit("filesystem_write").alias("capability"), F.lit("annotations.readOnlyHint is false").alias("evidence")))
+    none = F.array().cast("array<struct<capability:string,evidence:string>>")
+    return F.concat(declared(text), F.coalesce(params, none), F.array_compact(F.array(writes)))
+
+
+def observed_all(call: Column, args: Column) -> Column:
+    """Array of the capabilities of one traced call: a secret that is opened is also read or written."""
+    path = F.when(args.rlike(r'"((?:[^"\\]|\\.)*)"'), F.regexp_extract(args, r'"((?:[^"\\]|\\.)*)"', 1))
+    opened = call.isin("open", "openat", "openat2", "creat") & path.isNotNull()
+    written = args.rlike("O_(WRONLY|RDWR|CREAT|TRUNC|APPEND)")
+    tests = [
+        (call.isin("connect", "sendto", "sendmsg") & F.regexp_extract(args, "sa_family=(AF_[A-Z0-9]+)", 1).isin("AF_INET", "AF_INET6"), "network"),
+        (call.isin("execve", "execveat"), "subprocess"),
+        (opened & path.rlike(SECRETS), "credential_access"),
+        (opened & written | call.isin("unlink", "unlinkat", "rename", "renameat", "renameat2", "mkdir"), "filesystem_write"),
+        (opened & ~written & ~path.rlike(NOISE), "filesystem_read"),
+    ]
+    return F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(c)) for t, c in tests]))
+
+
 def observed(call: Column, args: Column) -> Column:
-    """Capability of one traced call; null where it tells nothing."""
-    opened = call.isin("open", "openat", "openat2")
-    secret = args.rlike(r"/\.(ssh|aws|netrc|gnupg)|/etc/shadow|credentials")
-    noise = args.rlike(r'"(/lib|/usr|/proc|/sys|/dev|/etc/(ld|resolv|hosts|nsswitch|ssl))')
-    return (
-        F.when(call.isin("connect", "sendto", "sendmsg") & args.rlike("AF_INET6?"), "network")
-        .when(call.isin("execve", "execveat"), "subprocess")
-        .when(opened & secret, "credential_access")
-        .when(opened & args.rlike("O_(WRONLY|RDWR|CREAT|TRUNC|APPEND)"), "filesystem_write")
-        .when(opened & ~noise, "filesystem_read")
-        .when(call.isin("unlink", "unlinkat", "rename", "renameat", "renameat2", "mkdir"), "filesystem_write")
-    )
+    """First capability of one traced call in the order of ``observed_all``; null where it tells nothing."""
+    return F.get(observed_all(call, args), 0)
 
 
 def in_windows(events: DataFrame, windows: DataFrame, session: str) -> DataFrame:
