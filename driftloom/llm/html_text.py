@@ -6,7 +6,8 @@ by a Gaussian over neighbouring lines and split in two clusters by a threshold;
 content cluster, and the lines of the article that the page itself marks, are the main text.
 
 Elements that never hold the article (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments) are told by their tag, role or class and are left out before.
+scripts, styles, comments) are told by their tag, role or class and are left out before. Words of a
+role, id or class never leave out an article or most of the page's text.
 """
 
 from __future__ import annotations
@@ -25,6 +26,12 @@ from driftloom.llm.shared import table
 REACH, SIGMA = 2, 1.0
 #: Rounds of the two-cluster threshold.
 ROUNDS = 20
+#: Factor between the means of two clusters that are not one.
+APART = 2.0
+#: How many times the text of a marked article an element of aside words must hold to count as content.
+FAR_MORE = 10
+#: Share of a page's text from which a marked article is the whole content.
+ENOUGH = 0.4
 
 # Names of elements by what they do to the text.
 HIDDEN = frozenset("script style noscript template head title textarea select option button iframe object embed canvas svg math audio video datalist dialog".split())
@@ -33,6 +40,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id and role values that mark what is not the article.
 ASIDE_WORDS = frozenset(
@@ -56,6 +64,14 @@ def is_aside(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) ->
             return True
         if value and name == "style" and re.search(r"display\s*:\s*none", value):
             return True
+    return False
+
+
+def has_aside_words(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether a class, id or role says that an element holds something other than the article."""
+    if tag in ("html", "body", "article", "main"):
+        return False
+    for name, value in attrs:
         if value and name in ("class", "id", "role"):
             for part in value.split():
                 if {x.lower() for x in _MARK.findall(_CAMEL.sub(" ", part))} & ASIDE_WORDS:
@@ -68,32 +84,64 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool]] = []
+        self.found: list[tuple[str, int, bool, tuple[int, ...]]] = []  # with the worded elements around it
         self.parts: list[str] = []
         self.tags = 0
-        self.open: list[tuple[str, bool, bool]] = []  # tag, left out, article
+        self.open: list[tuple[str, bool, bool, int]] = []  # tag, left out, article, worded element or -1
         self.left_out = self.articles = 0
+        self.worded: list[bool] = []  # whether an element that its words mark holds an article
+        self.around: list[int] = []
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip(" ")
         if text:
-            self.lines.append((text, self.tags, self.articles > 0))
+            self.found.append((text, self.tags, self.articles > 0, tuple(self.around)))
             self.tags = 0
         self.parts.clear()
 
+    def lines(self) -> list[tuple[str, int, bool]]:
+        """Lines outside what words leave out: never an element with an article or most of the text."""
+        size = [0] * len(self.worded)
+        for text, _, _, around in self.found:
+            for k in around:
+                size[k] += len(text)
+        whole = sum(len(text) for text, _, _, _ in self.found)
+        marked = sum(len(text) for text, _, inside, _ in self.found if inside)
+        most = max(whole / 2, FAR_MORE * marked)
+        out = {k for k, holds in enumerate(self.worded) if not holds and size[k] <= most}
+        kept, tags = [], 0
+        for text, n, inside, around in self.found:
+            if out.isdisjoint(around):
+                kept.append((text, tags + n, inside))
+                tags = 0
+            else:
+                tags += n
+        return kept
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
         if tag in VOID:
             return
-        if tag == "p" and any(t == "p" for t, _, _ in self.open[-3:]):
+        if tag == "p" and any(t == "p" for t, _, _, _ in self.open[-3:]):
             self._close("p")
         if tag == "li" and self.open and self.open[-1][0] == "li":
             self._close("li")
-        out = tag in HIDDEN or is_aside(tag, attrs, self.articles > 0)
+        if tag not in IN_HEAD and self.open and any(t == "head" for t, _, _, _ in self.open):
+            self._close("head")  # its end tag may be omitted
         article = tag in ("article", "main")
-        self.open.append((tag, out, article))
+        out = tag in HIDDEN and not (tag == "math" and self.articles) or is_aside(tag, attrs, self.articles > 0)
+        worded = -1
+        if not out and has_aside_words(tag, attrs):
+            self.flush()
+            worded = len(self.worded)
+            self.worded.append(False)
+            self.around.append(worded)
+        if article and not self.left_out:
+            for k in self.around:
+                self.worded[k] = True
+        self.open.append((tag, out, article, worded))
         self.left_out += out
         self.articles += article
 
@@ -107,9 +155,13 @@ class _Lines(HTMLParser):
     def _close(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                for _, out, article in self.open[k:]:
+                if any(worded >= 0 for _, _, _, worded in self.open[k:]):
+                    self.flush()
+                for _, out, article, worded in self.open[k:]:
                     self.left_out -= out
                     self.articles -= article
+                    if worded >= 0:
+                        self.around.remove(worded)
                 del self.open[k:]
                 return
             # An inner end tag does not close the region around it.
@@ -138,14 +190,16 @@ def page_lines(html: str) -> list[tuple[str, int, bool]]:
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.lines
+    return parser.lines()
 
 
 def content_lines(ratios: np.ndarray) -> np.ndarray:
     """Which lines are content: Gaussian smoothing, then a threshold between two clusters.
 
     The threshold moves to the middle of the cluster means until it rests; a page whose lines
-    are all alike is one cluster, content as a whole.
+    are all alike is one cluster, content as a whole, and so is one whose cluster means are within
+    ``APART``. A line at the border of the content, which smoothing lowers, is content if its own
+    ratio is over half the threshold.
     """
     n = len(ratios)
     kernel = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
@@ -161,21 +215,26 @@ def content_lines(ratios: np.ndarray) -> np.ndarray:
         if abs(moved - at) < 1e-9:
             break
         at = moved
-    return smooth > at
+    high = smooth > at
+    if not high.any() or high.all() or smooth[high].mean() < APART * smooth[~high].mean():
+        return np.ones(n, bool)
+    return high | (ratios > at / 2)
 
 
 def main_text(html: str) -> str:
     """Main text of a page: blocks in page order, joined by an empty line; empty if there is none.
 
-    Where the page marks an article, its lines are the content region and the clusters only tell
-    the lines outside, of which none joins it; elsewhere the clusters decide.
+    Where the page marks an article, its lines are the content region, and if they hold at least
+    ``ENOUGH`` of what the page has left, no other line joins them. Where they hold less, or none
+    are marked, the clusters decide, and marked lines stay.
     """
     lines = page_lines(html)
     if not lines:
         return ""
     marked = np.array([inside for _, _, inside in lines])
-    if not marked.any():
-        marked = content_lines(np.array([len(t) / max(1, n) for t, n, _ in lines]))
+    size = np.array([len(t) for t, _, _ in lines])
+    if size[marked].sum() < ENOUGH * size.sum():
+        marked |= content_lines(np.array([len(t) / max(1, n) for t, n, _ in lines]))
     return "\n\n".join(t for (t, _, _), keep in zip(lines, marked) if keep)
 
 
