@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
+#: Python's classes of words and white space, which differ from Java's in marks, joiners and numerals.
+_WORD = r"\p{L}\p{N}_"
+_BLANK = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
 def tokens(text: Column) -> Column:
-    """Words and single punctuation marks of a text, in order; Unicode classes."""
-    return F.regexp_extract_all(text, F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
+    """Words and single other signs of a text, in order, as Python's ``\\w+|[^\\w\\s]``; none of a null."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(f"[{_WORD}]+|[^{_WORD}{_BLANK}]"), F.lit(0)), F.array().cast("array<string>"))
 
 
 def split_name(name: Column) -> Column:

@@ -310,6 +310,11 @@ def q34_token_counts(spark, d):
     return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
+@query()
+def q56_all_token_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
 def turn_pairs(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
     return table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("after"), F.lag("text").over(w).alias("before"), F.row_number().over(w).alias("rn")).filter("rn > 1")
