@@ -1,8 +1,9 @@
 """BPE encoding and decoding (operator 2).
 
-Method: a segment tree over the ranks of adjacent pairs. The root holds the lowest rank and,
-among equal ranks, the leftmost pair; a merge updates at most three leaves and their ancestors,
-and encoding ends when the root holds no mergeable pair.
+Method: a binary segment tree over the ranks of adjacent pairs. The root holds the lowest rank
+and, among equal ranks, the leftmost pair; a merge updates at most three leaves and their
+ancestors, and encoding ends when the root holds no mergeable pair. Each piece of two or more
+symbols has its tree; the trees of many new pieces lie in one array and advance together.
 
 Vocabulary and merges come from a tokenizer file whose path is a parameter; nothing is trained.
 """
@@ -12,7 +13,9 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from itertools import islice
+from bisect import bisect
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +41,10 @@ LATIN_PIECES = (
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 #: Cached pieces of one worker; a piece over LONG_PIECE characters is not cached.
 CACHE_PIECES, LONG_PIECE = 600_000, 64
-#: Texts over so many characters are cut lazily, so their pieces are never all in memory.
-LAZY_CHARS = 1 << 20
+#: Pieces that are cut before their new ones are merged together; a longer text is cut in parts.
+CHUNK_PIECES = 200_000
+#: New pieces that share one array of trees; pieces over LONG_PIECE characters have a tree each.
+MANY = 8_000
 
 
 def byte_chars() -> list[str]:
@@ -53,52 +58,121 @@ def byte_chars() -> list[str]:
     return [chr(b if b in printable else next(other)) for b in range(256)]
 
 
-#: Children of a node of the segment tree: their minimum is one C-level call.
-FAN_OUT = 16
-_BITS = FAN_OUT.bit_length() - 1
 _AT = (1 << 32) - 1
 _NONE = 1 << 62
 
 
 def merge_pairs(ids: list[int], pair_rank: dict[int, int], merged: list[int], base: int) -> list[int]:
-    """Merge a sequence of symbols until no adjacent pair has a rank.
+    """Merge one sequence of symbols until no adjacent pair has a rank.
 
-    A leaf of the tree holds ``rank << 32 | position``, so the least value is the leftmost pair
-    of the lowest rank. ``levels[0]`` has the leaves; each higher level has the minima of
-    ``FAN_OUT`` neighbours below it.
+    ``tree`` is a binary segment tree: leaf ``m + i`` holds ``rank << 32 | i`` of the pair at place
+    i, a node the least of its two children, so the root is the leftmost pair of the lowest rank.
     """
     n, rank_of = len(ids), pair_rank.get
-    keys = [rank_of(a * base + b, -1) for a, b in zip(ids, islice(ids, 1, None))]
-    levels = [[r << 32 | i if r >= 0 else _NONE for i, r in enumerate(keys)]]
-    while len(top := levels[-1]) > FAN_OUT:
-        levels.append([min(top[k : k + FAN_OUT]) for k in range(0, len(top), FAN_OUT)])
-    leaves, higher = levels[0], list(zip(levels, levels[1:]))
+    m = n - 1
+    ranks = [rank_of(a * base + b, -1) for a, b in zip(ids, islice(ids, 1, None))]
+    tree = [_NONE] * m + [r << 32 | i if r >= 0 else _NONE for i, r in enumerate(ranks)]
+    for x in range(m - 1, 0, -1):
+        tree[x] = min(tree[2 * x], tree[2 * x + 1])
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (best := min(top)) < _NONE:
+
+    def put(leaf: int, rank: int) -> None:
+        x, value = m + leaf, rank << 32 | leaf if rank >= 0 else _NONE
+        while tree[x] != value:
+            tree[x] = value
+            if x == 1:
+                return
+            value = min(value, tree[x ^ 1])
+            x >>= 1
+
+    while (best := tree[1]) < _NONE:
         i = best & _AT
         ids[i] = symbol = merged[best >> 32]
         j = after[i]
         k = after[i] = after[j]
         ids[j] = -1
-        if j < n - 1:
-            leaves[j] = _NONE
-        r = -1
+        if j < m:
+            put(j, -1)
         if k < n:
             before[k] = i
-            r = rank_of(symbol * base + ids[k], -1)
-        leaves[i] = r << 32 | i if r >= 0 else _NONE
+        put(i, rank_of(symbol * base + ids[k], -1) if k < n else -1)
         if (p := before[i]) >= 0:
-            r = rank_of(ids[p] * base + symbol, -1)
-            leaves[p] = r << 32 | p if r >= 0 else _NONE
-        if higher:
-            nodes = {i, j if j < n - 1 else i, max(p, 0)}
-            for lower, upper in higher:
-                nodes = {x >> _BITS for x in nodes}
-                for x in nodes:
-                    upper[x] = min(lower[x << _BITS : (x + 1) << _BITS])
+            put(p, rank_of(ids[p] * base + symbol, -1))
     return [x for x in ids if x >= 0]
 
 
+class PairRanks:
+    """Ranks of symbol pairs and the merged symbols, looked up for many pairs at once."""
+
+    def __init__(self, pair_rank: dict[int, int], merged: list[int], base: int):
+        keys = np.array(sorted(pair_rank), np.int64)
+        self.keys = np.r_[keys, np.iinfo(np.int64).max]
+        self.ranks = np.array([*map(pair_rank.get, keys.tolist()), 0], np.int64)
+        self.merged, self.base = np.array([*merged, 0], np.int64), base
+
+    def values(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Leaves of the pairs: ``rank << 32 | place``, or none."""
+        key = left * self.base + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at] << 32 | place, _NONE)
+
+
+def merge_many(flat: np.ndarray, sizes: np.ndarray, pairs: PairRanks) -> tuple[np.ndarray, np.ndarray]:
+    """``merge_pairs`` of many sequences at once: a segment tree for each, one array for all trees.
+
+    Sequences come, and their results go, one after the other in ``flat`` with their sizes. A step takes the root of every tree that still has a mergeable pair, merges there, and updates
+    the three leaves that change, level by level.
+    """
+    count = len(sizes)
+    width = 1 << max(0, int(sizes.max() - 2).bit_length())  # leaves of a tree
+    wide = width + 3  # symbols of a row, with an end mark on both sides
+    ids = np.full((count, wide), -1, np.int64)
+    ids[:, 1:][np.arange(wide - 1) < sizes[:, None]] = flat
+    tree = np.full((count, 2 * width), _NONE, np.int64)
+    i, j = np.nonzero(np.arange(width) < (sizes - 1)[:, None])
+    tree[i, width + j] = pairs.values(ids[i, j + 1], ids[i, j + 2], j)
+    for level in range(width.bit_length() - 2, -1, -1):
+        at = 1 << level
+        np.minimum(tree[:, 2 * at : 4 * at : 2], tree[:, 2 * at + 1 : 4 * at : 2], out=tree[:, at : 2 * at])
+    after = np.tile(np.arange(1, wide + 1), (count, 1))
+    before = np.tile(np.arange(-1, wide - 1), (count, 1))
+    ids, tree, after, before = ids.ravel(), tree.ravel(), after.ravel(), before.ravel()
+    steps = width.bit_length() - 1
+
+    def put(row: np.ndarray, leaf: np.ndarray, value: np.ndarray) -> None:
+        top, x = row * (2 * width), leaf + width
+        tree[top + x] = value
+        for _ in range(steps):
+            value = np.minimum(value, tree[top + (x ^ 1)])
+            x = x >> 1
+            tree[top + x] = value
+
+    row = np.arange(count)
+    while True:
+        best = tree[row * (2 * width) + 1]
+        row, best = row[best < _NONE], best[best < _NONE]
+        if not len(row):
+            break
+        place = best & _AT
+        at, top = row * wide, row * (2 * width)
+        i = at + place + 1  # symbols are one place further than pairs, as a mark is before them
+        symbol = pairs.merged[best >> 32]
+        j = at + after[i]
+        k = at + after[j]
+        after[i], before[k], ids[i], ids[j] = after[j], place + 1, symbol, -1
+        gone = j - at - 1
+        inside = gone < width
+        put(row[inside], gone[inside], np.full(int(inside.sum()), _NONE))
+        # A mark is no symbol: its pair has a key below all others.
+        put(row, place, np.where(ids[k] < 0, _NONE, pairs.values(symbol, ids[k], place)))
+        p = at + before[i]
+        has = ids[p] >= 0
+        put(row[has], (p - at - 1)[has], pairs.values(ids[p[has]], symbol[has], (p - at - 1)[has]))
+    ids = ids.reshape(count, wide)
+    kept = ids >= 0
+    return ids[kept].astype(np.int32), kept.sum(axis=1)
+
+
 class ByteBpe(dict):
     """Encoder and decoder of one tokenizer file; as a dict, the cache of encoded pieces."""
 
@@ -116,6 +190,8 @@ class ByteBpe(dict):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.pair_rank.setdefault(vocab[a] * self.base + vocab[b], rank)
             self.merged.append(vocab[a + b])
+        self.byte_symbols = np.array(self.byte_ids, np.int64)
+        self.pairs = PairRanks(self.pair_rank, self.merged, self.base)
         byte_of = {c: bytes([b]) for b, c in enumerate(chars)}
         self.token_bytes = [b""] * self.base
         for token, i in vocab.items():
@@ -130,28 +206,67 @@ class ByteBpe(dict):
         self.cut_added = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.added else None
         self.pieces, self.latin_pieces = regex.compile(PIECES), re.compile(LATIN_PIECES)
 
-    def __missing__(self, piece: str) -> bytes:
-        """The ids of one piece as 32-bit integers."""
+    def __missing__(self, piece: str | bytes) -> bytes:
+        """Packed ids of what the cache does not keep: a long piece; an added token comes packed."""
+        if isinstance(piece, bytes):
+            return piece
         ids = [self.byte_ids[b] for b in piece.encode()]
-        if len(ids) > 1:
-            ids = merge_pairs(ids, self.pair_rank, self.merged, self.base)
-        packed = array("i", ids).tobytes()
-        if len(piece) <= LONG_PIECE:
-            if len(self) >= CACHE_PIECES:
+        return array("i", merge_pairs(ids, self.pair_rank, self.merged, self.base) if len(ids) > 1 else ids).tobytes()
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Keep the packed ids of new pieces, merged many at a time."""
+        rows = sorted(((p.encode(), p) for p in pieces), key=lambda r: len(r[0]))
+        short = bisect(rows, 1, key=lambda r: len(r[0]))
+        for raw, piece in rows[:short]:
+            self[piece] = array("i", [self.byte_ids[b] for b in raw]).tobytes()
+        for k in range(short, len(rows), MANY):
+            part = rows[k : k + MANY]
+            symbols = self.byte_symbols[np.frombuffer(b"".join([raw for raw, _ in part]), np.uint8)]
+            flat, counts = merge_many(symbols, np.array([len(raw) for raw, _ in part]), self.pairs)
+            packed, at = flat.tobytes(), 0
+            for (_, piece), end in zip(part, (4 * np.cumsum(counts)).tolist()):
+                self[piece], at = packed[at:end], end
+
+    def _pieces(self, text: str) -> Iterator[Iterator[str | bytes]]:
+        """The pieces of a text in order, in runs; an added token comes as its packed id."""
+        for part in self.cut_added.split(text) if self.cut_added else [text]:
+            if part in self.added:
+                yield iter([array("i", [self.added[part]]).tobytes()])
+            elif part:
+                cut = self.pieces if BEYOND_LATIN.search(part) else self.latin_pieces
+                yield iter(cut.findall(part)) if len(part) <= CHUNK_PIECES else (m.group() for m in cut.finditer(part))
+
+    def encode_all(self, texts: Iterable[str]) -> list[np.ndarray]:
+        """Ids of each text. New pieces of many texts, or of a part of a long one, are merged together."""
+        out: list[list[bytes]] = []
+        held: list[tuple[list[bytes], list]] = []
+        size = 0
+
+        def flush() -> None:
+            new = set().union(*[pieces for _, pieces in held])
+            missing = new.difference(self)
+            if len(self) + len(missing) > CACHE_PIECES:
                 self.clear()
-            self[piece] = packed
-        return packed
+                missing = new
+            self.learn(p for p in missing if isinstance(p, str) and len(p) <= LONG_PIECE)
+            for own, pieces in held:
+                own.append(b"".join(map(self.__getitem__, pieces)))
+            held.clear()
+
+        for text in texts:
+            out.append([])
+            stream = chain.from_iterable(self._pieces(text))
+            while pieces := list(islice(stream, CHUNK_PIECES)):
+                held.append((out[-1], pieces))
+                size += len(pieces)
+                if size >= CHUNK_PIECES:
+                    flush()
+                    size = 0
+        flush()
+        return [np.frombuffer(b"".join(own), dtype=np.int32) for own in out]
 
     def encode(self, text: str) -> np.ndarray:
-        packed = []
-        for part in self.cut_added.split(text) if self.cut_added else [text]:
-            if part in self.added:
-                packed.append(array("i", [self.added[part]]).tobytes())
-                continue
-            cut = self.pieces if BEYOND_LATIN.search(part) else self.latin_pieces
-            pieces = cut.findall(part) if len(part) <= LAZY_CHARS else (m.group() for m in cut.finditer(part))
-            packed.append(b"".join(map(self.__getitem__, pieces)))
-        return np.frombuffer(b"".join(packed), dtype=np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -171,7 +286,7 @@ def encode_column(text: Column, path: str) -> Column:
 
     def encode(texts: pa.Array) -> pa.Array:
         codec = _codec(path)
-        ids = [codec.encode(t.as_py() or "") for t in texts]
+        ids = codec.encode_all(t.as_py() or "" for t in texts)
         ends = np.cumsum([0, *map(len, ids)])
         values = np.concatenate(ids) if ids else np.empty(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
