@@ -3,9 +3,11 @@
 Method: a Gray-order hierarchical index. A fingerprint pair that differs in at most ``MAX_BITS``
 bits agrees on two of four 16-bit blocks, so the upper nodes of the hierarchy are the masked bit
 patterns of the six block pairs; Spark shuffles distinct fingerprints to these nodes and sorts
-each node by Gray rank. Below, a tree over the Gray order factors out the bits that whole groups
-share: a node keeps only the bits that its parent has not fixed, a search accumulates differences
-on the way down, and a group is pruned once they exceed the limit.
+each node by Gray rank. A shard builds one hierarchy over all its fingerprints: the upper nodes,
+and below them a tree over the Gray order that factors out the bits that whole groups share. A
+node keeps only the bits that its parent has not fixed; every fingerprint is searched from its
+upper node down, differences accumulate on the way, and a group is pruned once they exceed the
+limit. Groups of any size go this way.
 
 Copies share a fingerprint and are one entry of the index. A group emits a spanning forest, not
 its pairs: subtrees that are already connected with the query are skipped.
@@ -27,10 +29,10 @@ from driftloom.llm.components import components
 from driftloom.llm.shared import Scratch, table
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
-#: Masks of two of the four 16-bit blocks.
-MASKS = [sum(0xFFFF << 16 * b for b in pair) for pair in combinations(range(4), 2)]
-#: Children of a tree node; groups up to SCAN entries are compared without a tree.
-FAN_OUT, SCAN = 16, 32
+#: Two of four blocks: the masks of the upper nodes.
+PAIRS = list(combinations(range(4), 2))
+#: Children of a tree node; fingerprints of an upper node from which it has nodes of its own below.
+FAN_OUT, HOT_NODE = 16, 50_000
 #: Rows of whole groups that a task gathers before it compares them; shingles hashed at once.
 CHUNK_ROWS, CHUNK_SHINGLES = 200_000, 65_536
 
@@ -68,10 +70,6 @@ def gray_rank(x: Column) -> Column:
     return x
 
 
-def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
-
-
 def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels after linking a[i] with b[i]: every set of linked entries has its least label."""
     parent = np.arange(len(label))
@@ -86,141 +84,158 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = higher
 
 
-class GrayTree:
-    """Hierarchy over fingerprints in Gray order.
+class GrayForest:
+    """The hierarchy of one shard: upper nodes, and below each a tree over its Gray order.
 
-    ``levels[0]`` has one node for each ``FAN_OUT`` neighbours and each level above one for
-    ``FAN_OUT`` nodes below. A node has the bits that all below it share and its parent does
-    not fix, as (mask, pattern).
+    ``group`` (sorted) tells the upper node of each fingerprint; within it codes are in Gray order.
+    ``levels[0]`` has a node for up to ``FAN_OUT`` neighbours of one upper node, each level above
+    one for up to ``FAN_OUT`` nodes below, and the last has the upper nodes. A node keeps the bits
+    that all below it share and its parent does not fix, as (mask, pattern).
     """
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, group: np.ndarray, codes: np.ndarray):
         self.codes = codes
-        full = np.full(len(codes), ~np.uint64(0))
-        mask, pattern, shared = full, codes, []
-        while len(mask) > 1 or not shared:
-            starts = np.arange(0, len(mask), FAN_OUT)
-            first = np.repeat(pattern[starts], FAN_OUT)[: len(mask)]
-            mask = np.bitwise_and.reduceat(mask & ~(pattern ^ first), starts)
-            pattern = pattern[starts] & mask
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.first: list[np.ndarray] = []  # of each level, a node's first child and one end mark
+        mask, pattern = np.full(len(codes), ~np.uint64(0)), codes
+        shared = []
+        while True:
+            runs = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            sizes = np.diff(np.r_[runs, len(group)])
+            within = np.arange(len(group)) - np.repeat(runs, sizes)
+            first = np.flatnonzero(within % FAN_OUT == 0)
+            lead = np.repeat(pattern[first], np.diff(np.r_[first, len(group)]))
+            mask = np.bitwise_and.reduceat(mask & ~(pattern ^ lead), first)
+            pattern, group = pattern[first] & mask, group[first]
+            self.first.append(np.r_[first, len(within)])
             shared.append((mask, pattern))
-        self.levels = []
+            if len(first) == len(runs):
+                break
+        self.group, self.roots = group, pattern  # one node a group now
         for k, (mask, pattern) in enumerate(shared):
             if k + 1 < len(shared):
-                fixed = np.repeat(shared[k + 1][0], FAN_OUT)[: len(mask)]
-                mask = mask & ~fixed
+                mask = mask & ~np.repeat(shared[k + 1][0], np.diff(self.first[k + 1]))
             self.levels.append((mask, pattern & mask))
-        self.inner = full & ~np.repeat(shared[0][0], FAN_OUT)[: len(codes)]
+        self.inner = ~np.repeat(shared[0][0], np.diff(self.first[0]))
 
     def _one_label(self, label: np.ndarray) -> list[np.ndarray]:
         """For each level, the label that all entries below a node have, or -1."""
         low = high = label
         out = []
-        for _ in self.levels:
-            starts = np.arange(0, len(low), FAN_OUT)
-            low, high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+        for first in self.first:
+            low, high = np.minimum.reduceat(low, first[:-1]), np.maximum.reduceat(high, first[:-1])
             out.append(np.where(low == high, low, -1))
         return out
 
-    def near(self, queries: np.ndarray, label: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, entry) index pairs within ``limit`` bits that have different labels."""
+    def near(self, queries: np.ndarray, roots: np.ndarray, label: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, entry) index pairs below the queries' upper nodes, within ``limit`` bits and of different labels."""
         alike = self._one_label(label)
-        top = len(self.levels) - 1
-        n_top = len(self.levels[top][0])
-        q = np.repeat(queries, n_top)
-        node = np.tile(np.arange(n_top), len(queries))
+        q, node = queries, roots
         apart = np.zeros(len(q), np.uint8)
-        for k in range(top, -1, -1):
+        for k in range(len(self.levels) - 1, -1, -1):
             mask, pattern = self.levels[k]
             apart = apart + np.bitwise_count((self.codes[q] ^ pattern[node]) & mask[node])
             keep = (apart <= limit) & (alike[k][node] != label[q])
             q, node, apart = q[keep], node[keep], apart[keep]
-            below = len(self.levels[k - 1][0]) if k else len(self.codes)
-            node = (node[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
-            q, apart = np.repeat(q, FAN_OUT), np.repeat(apart, FAN_OUT)
-            there = node < below
-            q, node, apart = q[there], node[there], apart[there]
+            below = self.first[k]
+            count = below[node + 1] - below[node]
+            node = np.repeat(below[node] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            q, apart = np.repeat(q, count), np.repeat(apart, count)
         apart = apart + np.bitwise_count((self.codes[q] ^ self.codes[node]) & self.inner[node])
         keep = (apart <= limit) & (label[q] != label[node])
         return q[keep], node[keep]
 
 
-def tree_labels(codes: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
-    """Labels of the components of one group, whose codes are in Gray order."""
-    tree, label = GrayTree(codes), np.arange(len(codes))
-    step = max(256, len(codes) // 64)
+def shard_links(group: np.ndarray, codes: np.ndarray, limit: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Links (code, code) that connect what is within ``limit`` bits below each upper node of a shard.
+
+    ``group`` is sorted, and codes are in Gray order within a group.
+    """
+    forest, label = GrayForest(group, codes), np.arange(len(codes))
+    roots = np.searchsorted(forest.group, group)
+    step = max(4096, len(codes) // 64)
     for at in range(0, len(codes), step):
-        q, entry = tree.near(np.arange(at, min(at + step, len(codes))), label, limit)
+        some = np.arange(at, min(at + step, len(codes)))
+        q, entry = forest.near(some, roots[some], label, limit)
         if len(q):
             label = _join(label, q, entry)
-    return label
-
+    linked = np.flatnonzero(label != np.arange(len(label)))
+    return codes[linked], codes[label[linked]]
 
-def group_links(group: np.ndarray, codes: np.ndarray, limit: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (code, code) that connect what is within ``limit`` bits in each group.
 
-    ``group`` is sorted, and codes are in Gray order within a group.
-    """
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    sizes = np.diff(np.r_[starts, len(group)])
+def tree_labels(codes: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
+    """Labels of the components below one upper node, whose codes are in Gray order."""
+    a, b = shard_links(np.zeros(len(codes), np.int64), codes, limit)
+    at = {c: i for i, c in enumerate(codes.tolist())}
     label = np.arange(len(codes))
-    small = np.repeat(sizes <= SCAN, sizes)
-    a, b = [], []
-    for d in range(1, min(SCAN, sizes.max(initial=0))):
-        i = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
-        i = i[_differ(codes[i], codes[i + d]) <= limit]
-        a.append(i)
-        b.append(i + d)
-    if a:
-        label = _join(label, np.concatenate(a), np.concatenate(b))
-    for at, n in zip(starts[sizes > SCAN], sizes[sizes > SCAN]):
-        label[at : at + n] = at + tree_labels(codes[at : at + n], limit)
-    linked = np.flatnonzero(label != np.arange(len(label)))
-    return codes[linked], codes[label[linked]]
+    return _join(label, np.array([at[c] for c in a.tolist()], np.int64), np.array([at[c] for c in b.tolist()], np.int64))
 
 
 def _links_of(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a partition that is sorted by upper node and Gray rank; groups stay whole."""
+    """Links of a partition that is sorted by upper node and Gray rank; upper nodes stay whole."""
 
     def linked(node: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-        a, b = group_links(node, codes, limit)
+        a, b = shard_links(node, codes, limit)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     held: list[tuple[np.ndarray, np.ndarray]] = []
     rows = 0
     for batch in batches:
-        part = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-        held.append(part)
-        rows += len(part[0])
-        if rows >= CHUNK_ROWS:
-            node, codes = map(np.concatenate, zip(*held))
-            last = np.searchsorted(node, node[-1])
-            if last:
-                yield linked(node[:last], codes[:last])
-            held, rows = [(node[last:], codes[last:])], len(node) - last
+        node, codes = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        # Rows are joined only where an upper node ends, so a node over many batches is copied once.
+        last = np.searchsorted(node, node[-1])
+        ends = bool(held) and (last > 0 or node[0] != held[-1][0][-1])
+        if rows + last >= CHUNK_ROWS and ends:
+            yield linked(*map(np.concatenate, zip(*held, (node[:last], codes[:last]))))
+            held, rows, node, codes = [], 0, node[last:], codes[last:]
+        held.append((node, codes))
+        rows += len(node)
     if rows:
         yield linked(*map(np.concatenate, zip(*held)))
 
 
-def links_between(codes: DataFrame, limit: int = MAX_BITS) -> DataFrame:
+def _block(x: Column, at: int, bits: int) -> Column:
+    return F.shiftrightunsigned(x, at * bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+
+
+def _pair_nodes(x: Column, bits: int, above: Column) -> Column:
+    """Six nodes of the lower ``4 * bits`` bits of ``x``: above, the mask's number, and the two blocks it keeps."""
+    nodes = [
+        F.shiftleft(above * 8 + k, 2 * bits).bitwiseOR(F.shiftleft(_block(x, b, bits), bits)).bitwiseOR(_block(x, a, bits))
+        for k, (a, b) in enumerate(PAIRS)
+    ]
+    return F.array(*nodes)
+
+
+def _upper_nodes(codes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, fp): the upper nodes of each fingerprint.
+
+    A node fixes two of four 16-bit blocks. Below one with over ``HOT_NODE`` fingerprints are nodes
+    that also fix two of the four bytes that are left: two codes within two bits agree on some two
+    of them. Such a node has at most 2**16 codes, so no task has more, whatever the texts are.
+    """
+    dealt = codes.select(F.explode(_pair_nodes(F.col("fp"), 16, F.lit(0).cast("long"))).alias("node"), "fp")
+    hot = scratch.cut(dealt.groupBy("node").count().filter(F.col("count") > HOT_NODE).select("node", F.lit(True).alias("hot")), "hot-nodes")
+    if hot.isEmpty():
+        return dealt
+    mask = F.shiftright("node", 32)
+    rest = [sorted({0, 1, 2, 3} - {*pair}) for pair in PAIRS]
+    left = [F.shiftleft(_block(F.col("fp"), d, 16), 16).bitwiseOR(_block(F.col("fp"), c, 16)) for c, d in rest]
+    free = F.coalesce(*[F.when(mask == k, x) for k, x in enumerate(left)])
+    deeper = F.transform(_pair_nodes(free, 8, F.col("node")), lambda n: n.bitwiseOR(F.lit(1 << 62)))
+    marked = dealt.join(hot, "node", "left")
+    return marked.select(F.explode(F.when(F.col("hot"), deeper).otherwise(F.array("node"))).alias("node"), "fp")
+
+
+def links_between(codes: DataFrame, scratch: Scratch, limit: int = MAX_BITS) -> DataFrame:
     """Links (a, b) among distinct fingerprints (column ``fp``) that connect all within ``limit`` bits.
 
     Every pair within the limit is connected through the links, directly or over others.
     """
     if not 0 <= limit <= MAX_BITS:
         raise ValueError(f"two of four blocks are free of differences only up to {MAX_BITS} bits")
-    # An upper node: the mask's number in bits 32-34, the two blocks' bits below.
-    pairs = list(combinations(range(4), 2))
-    block = lambda b: F.shiftrightunsigned("fp", 16 * b).bitwiseAND(F.lit(0xFFFF))
-    nodes = F.array(*[
-        F.lit(k << 32).cast("long").bitwiseOR(F.shiftleft(block(b), 16)).bitwiseOR(block(a)) for k, (a, b) in enumerate(pairs)
-    ])
-    dealt = (
-        codes.select(F.explode(nodes).alias("node"), "fp")
-        .repartition("node")
-        .sortWithinPartitions("node", gray_rank(F.col("fp")))
-    )
-    return dealt.mapInArrow(partial(_links_of, limit), "a long, b long")
+    shards = _upper_nodes(codes, scratch).repartition("node").sortWithinPartitions("node", gray_rank(F.col("fp")))
+    return shards.mapInArrow(partial(_links_of, limit), "a long, b long")
 
 
 def near_duplicate_classes(docs: DataFrame, scratch: Scratch, limit: int = MAX_BITS) -> DataFrame:
@@ -230,7 +245,7 @@ def near_duplicate_classes(docs: DataFrame, scratch: Scratch, limit: int = MAX_B
     other. Repeated rows and ids change nothing.
     """
     classes = scratch.cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    labels = components(scratch.cut(links_between(classes, limit).distinct(), "links"), scratch)
+    labels = components(scratch.cut(links_between(classes, scratch, limit).distinct(), "links"), scratch)
     linked = scratch.cut(labels.select(F.col("node").alias("fp"), "root").join(classes, "fp"), "linked")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     with_id = linked.join(least, "root").select("fp", "root", "component_id")
@@ -250,17 +265,29 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text_col: str = "text", l
 def keep_one(docs: DataFrame, scratch: Scratch, text_col: str = "text", limit: int = MAX_BITS) -> DataFrame:
     """Rows of ``docs`` with one document of each component: the one with its least doc_id.
 
-    Of several rows with that id one stays. A component whose ids are all null keeps one row.
+    Of several rows with that id one stays. A component whose ids are all null keeps one row. All
+    columns come back as they were, whatever their names. Texts are read for their fingerprints
+    once; the ids that stay decide, and only rows whose id occurs again are looked at once more.
     """
-    printed = docs.withColumn("_fp", fingerprint_column(F.col(text_col)))
-    ids = scratch.cut(printed.select("doc_id", F.col("_fp").alias("fp")), "fingerprints")
-    classes = near_duplicate_classes(ids, scratch, limit).withColumnsRenamed({"fp": "_fp", "root": "_root", "component_id": "_id"})
-    # Every fingerprint has a class; a left join spares a second fingerprint for a null filter.
-    kept = printed.join(classes, "_fp", "left").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
-    twice = ids.join(classes, F.col("fp") == F.col("_fp")).filter(F.col("doc_id").eqNullSafe(F.col("_id"))).groupBy("_root").count()
-    if not twice.filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["_root"])
-    return kept.select(*docs.columns)
+    prints = scratch.cut(docs.select("doc_id", fingerprint_column(F.col(text_col)).alias("fp")), "fingerprints")
+    classes = near_duplicate_classes(prints, scratch, limit).select("fp", "root", "component_id")
+    staying = prints.join(classes, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    staying = scratch.cut(staying.groupBy("doc_id", "root").agg(F.min("fp").alias("fp")), "staying")
+    again = scratch.cut(prints.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated-ids")
+
+    def of(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        return rows.alias("d").join(ids.select(F.col("doc_id").alias("_kept")).alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k._kept")), how)
+
+    if again.isEmpty():
+        return of(docs, staying, "left_semi")
+    once = of(of(docs, staying, "left_semi"), again, "left_anti")
+    # Rows that share an id: one row of the fingerprint that stays, for each component.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    some = of(of(docs, staying, "left_semi"), again, "left_semi")
+    some = some.select(row.alias("row"), F.col("doc_id").alias("id"), fingerprint_column(F.col(text_col)).alias("fp"))
+    chosen = staying.select(F.col("doc_id").alias("own"), F.col("fp").alias("print"), "root")
+    found = some.join(chosen, F.col("id").eqNullSafe(F.col("own")) & (F.col("fp") == F.col("print")))
+    return once.unionByName(found.dropDuplicates(["root"]).select("row.*"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,3 +106,58 @@ def test_nulls_repeats_clashes_and_keep_one(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 3, 8]
     assert S.near_duplicates(docs.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_hot_upper_nodes_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_NODE", 2)
+    codes = _clustered(900, random.Random(9))
+    df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
+    assert S._upper_nodes(df, Scratch(spark, "t")).count() > 6 * len(codes)
+    docs = df.selectExpr("fp as doc_id", "fp")
+    got = {r.fp: r.component_id for r in S.near_duplicate_classes(docs, Scratch(spark, "t")).collect()}
+    signed = [int(c) for c in codes.view(np.int64)]
+    assert got == brute_components(signed, [int(c) for c in codes])
+
+
+def test_every_fingerprint_is_searched_in_the_hierarchy(spark, sf, monkeypatch):
+    """All upper nodes of a table are in one hierarchy, and links of the table come out of its search."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()
+    prints = [brute_print(r.text) for r in rows]
+    # Near fingerprints beside the table's own, as the smallest table has equal ones only.
+    codes = np.unique(np.array(prints + [p ^ 1 << k for k, p in enumerate(prints[:60])] + [p ^ 5 << k for k, p in enumerate(prints[20:50])], np.uint64))
+    searched, found, near = [], [], S.GrayForest.near
+
+    def watched(self, queries, roots, label, limit):
+        q, entry = near(self, queries, roots, label, limit)
+        searched.append(len(queries))
+        found.extend(zip(self.codes[q].tolist(), self.codes[entry].tolist()))
+        return q, entry
+
+    monkeypatch.setattr(S.GrayForest, "near", watched)
+    df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
+    shard = S._upper_nodes(df, Scratch(spark, "t")).repartition(1).sortWithinPartitions("node", S.gray_rank(df.fp)).toArrow()
+    list(S._links_of(2, iter(shard.to_batches())))
+    assert sum(searched) == 6 * len(codes)
+    linked = {(a, b) for k, a in enumerate(codes.tolist()) for b in codes.tolist()[:k] if (a ^ b).bit_count() <= 2}
+    assert linked and {(max(p), min(p)) for p in found} <= linked
+    assert brute_components(codes.tolist(), codes.tolist()) == {int(c): min(n for n in _reach(int(c), found)) for c in codes}
+
+
+def _reach(start, pairs):
+    seen, todo = {start}, [start]
+    while todo:
+        x = todo.pop()
+        for a, b in pairs:
+            for u, v in ((a, b), (b, a)):
+                if u == x and v not in seen:
+                    seen.add(v)
+                    todo.append(v)
+    return seen
+
+
+def test_clashing_column_names_stay(spark):
+    rows = [(1, "one two three four five", 7, "p", 3, 1), (2, "one two three four five", 8, "q", 4, 2), (2, "six seven eight nine", 9, "r", 5, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _fp string, fp int, _kept int")
+    kept = S.keep_one(docs, Scratch(spark, "t"))
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
