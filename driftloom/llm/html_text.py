@@ -2,17 +2,23 @@
 
 Method: the standard library's parser streams its events; they are laid out as lines, one per
 block of the page, each with its characters of text and its tags. Text-to-tag ratios are smoothed
-by a Gaussian over neighbouring lines and split in two clusters by a threshold; lines of the
-content cluster, and the lines of the article that the page itself marks, are the main text.
-
-Elements that never hold the article (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments) are told by their tag, role or class and are left out before. Words of a
-role, id or class never leave out an article or most of the page's text.
+by a Gaussian over neighbouring lines and split in two clusters by a threshold. The region is the
+element whose content lines outweigh its other lines by the most text. Of a region that the page
+marks, or whose lines are mostly content, all lines stay, of any other the content lines. This
+decides every page.
+
+What the page says of itself is a prior on a line's ratio: ``PRIOR`` times as much inside a marked
+article that holds a good part of the text, and as much less outside of it or in an element whose
+class, id or role has a word like "comments". Such words count for no element with an article or
+over half of the page's text. Elements that are no text of the article by their tag (menus, footers,
+sidebars, forms, scripts, styles) are left out before.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -30,8 +36,8 @@ ROUNDS = 20
 APART = 2.0
 #: How many times the text of a marked article an element of aside words must hold to count as content.
 FAR_MORE = 10
-#: Share of a page's text from which a marked article is the whole content.
-ENOUGH = 0.4
+#: Share of a page's text from which a marked article is a prior, and the prior's factor.
+ENOUGH, PRIOR = 0.4, 4.0
 
 # Names of elements by what they do to the text.
 HIDDEN = frozenset("script style noscript template head title textarea select option button iframe object embed canvas svg math audio video datalist dialog".split())
@@ -40,9 +46,11 @@ BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that can be a region.
+REGIONS = frozenset("article main section div body center details table td blockquote figure search".split())
 IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id and role values that mark what is not the article.
+#: Words of class, id and role values that speak against a line.
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-links comment comments commentlist contentinfo cookie cookies "
     "consent disqus dialog footer gdpr menu menubar nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion "
@@ -50,7 +58,7 @@ ASIDE_WORDS = frozenset(
 )
 _MARK = re.compile(r"[A-Za-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
+_SPACE = re.compile(r"\s+")
 
 
 def is_aside(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
@@ -79,45 +87,37 @@ def has_aside_words(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+@dataclass
+class Line:
+    """A block of text, the tags since the line before, and the innermost element around it."""
+
+    text: str
+    tags: int
+    element: int
+    in_article: bool
+
+
 class _Lines(HTMLParser):
-    """Lays a page out as lines of (text, tags, in the article)."""
+    """Lays a page out as lines, and keeps the tree of elements that could be regions or have words."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, int, bool, tuple[int, ...]]] = []  # with the worded elements around it
+        self.found: list[Line] = []
         self.parts: list[str] = []
         self.tags = 0
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, left out, article, worded element or -1
+        self.open: list[tuple[str, bool, bool, int]] = []  # tag, left out, article, element around it
+        self.names: Counter[str] = Counter()  # of open elements
         self.left_out = self.articles = 0
-        self.worded: list[bool] = []  # whether an element that its words mark holds an article
-        self.around: list[int] = []
+        self.parent, self.marked, self.worded, self.region = [-1], [False], [False], [True]
+        self.at = 0
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip(" ")
         if text:
-            self.found.append((text, self.tags, self.articles > 0, tuple(self.around)))
+            self.found.append(Line(text, self.tags, self.at, self.articles > 0))
             self.tags = 0
         self.parts.clear()
 
-    def lines(self) -> list[tuple[str, int, bool]]:
-        """Lines outside what words leave out: never an element with an article or most of the text."""
-        size = [0] * len(self.worded)
-        for text, _, _, around in self.found:
-            for k in around:
-                size[k] += len(text)
-        whole = sum(len(text) for text, _, _, _ in self.found)
-        marked = sum(len(text) for text, _, inside, _ in self.found if inside)
-        most = max(whole / 2, FAR_MORE * marked)
-        out = {k for k, holds in enumerate(self.worded) if not holds and size[k] <= most}
-        kept, tags = [], 0
-        for text, n, inside, around in self.found:
-            if out.isdisjoint(around):
-                kept.append((text, tags + n, inside))
-                tags = 0
-            else:
-                tags += n
-        return kept
-
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag in BLOCKS:
@@ -128,20 +128,21 @@ class _Lines(HTMLParser):
             self._close("p")
         if tag == "li" and self.open and self.open[-1][0] == "li":
             self._close("li")
-        if tag not in IN_HEAD and self.open and any(t == "head" for t, _, _, _ in self.open):
+        if tag not in IN_HEAD and self.names["head"]:
             self._close("head")  # its end tag may be omitted
         article = tag in ("article", "main")
         out = tag in HIDDEN and not (tag == "math" and self.articles) or is_aside(tag, attrs, self.articles > 0)
-        worded = -1
-        if not out and has_aside_words(tag, attrs):
+        worded = not out and has_aside_words(tag, attrs)
+        if worded:
             self.flush()
-            worded = len(self.worded)
-            self.worded.append(False)
-            self.around.append(worded)
-        if article and not self.left_out:
-            for k in self.around:
-                self.worded[k] = True
-        self.open.append((tag, out, article, worded))
+        self.open.append((tag, out, article, self.at))
+        self.names[tag] += 1
+        if worded or tag in REGIONS:
+            self.parent.append(self.at)
+            self.marked.append(article and not self.left_out)
+            self.worded.append(worded)
+            self.region.append(tag in REGIONS)
+            self.at = len(self.parent) - 1
         self.left_out += out
         self.articles += article
 
@@ -153,15 +154,17 @@ class _Lines(HTMLParser):
             self.handle_starttag(tag, attrs)
 
     def _close(self, tag: str) -> None:
+        if not self.names[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                if any(worded >= 0 for _, _, _, worded in self.open[k:]):
+                if self.at != self.open[k][3]:
                     self.flush()
-                for _, out, article, worded in self.open[k:]:
+                for name, out, article, _ in self.open[k:]:
                     self.left_out -= out
                     self.articles -= article
-                    if worded >= 0:
-                        self.around.remove(worded)
+                    self.names[name] -= 1
+                self.at = self.open[k][3]
                 del self.open[k:]
                 return
             # An inner end tag does not close the region around it.
@@ -183,59 +186,109 @@ class _Lines(HTMLParser):
     def unknown_decl(self, data):
         """CDATA sections are left out, as browsers do in HTML."""
 
-
-def page_lines(html: str) -> list[tuple[str, int, bool]]:
-    """(text, tags, in the article) of each block with text, in page order."""
+    def up(self, own: np.ndarray) -> np.ndarray:
+        """For each element, the sum of ``own`` over it and all below it."""
+        total = own.tolist()
+        for k in range(len(total) - 1, 0, -1):
+            total[self.parent[k]] += total[k]
+        return np.array(total)
+
+    def against(self, size: np.ndarray, in_article: np.ndarray) -> np.ndarray:
+        """Elements inside one whose words speak against it: never one with an article or most of the text."""
+        own = np.zeros(len(self.parent))
+        np.add.at(own, [x.element for x in self.found], size)
+        most = max(size.sum() / 2, FAR_MORE * size[in_article].sum())
+        bad = np.array(self.worded) & (self.up(np.array(self.marked, float)) == 0) & (self.up(own) <= most)
+        for k in range(1, len(bad)):
+            bad[k] |= bad[self.parent[k]]
+        return bad
+
+
+def page_lines(html: str) -> _Lines:
+    """The lines of a page, in page order, with their elements."""
     parser = _Lines()
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.lines()
+    return parser
 
 
-def content_lines(ratios: np.ndarray) -> np.ndarray:
-    """Which lines are content: Gaussian smoothing, then a threshold between two clusters.
-
-    The threshold moves to the middle of the cluster means until it rests; a page whose lines
-    are all alike is one cluster, content as a whole, and so is one whose cluster means are within
-    ``APART``. A line at the border of the content, which smoothing lowers, is content if its own
-    ratio is over half the threshold.
-    """
+def smoothed(ratios: np.ndarray) -> np.ndarray:
+    """Ratios under a Gaussian over neighbouring lines; at the ends over those that are there."""
     n = len(ratios)
     kernel = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
-    smooth = np.convolve(ratios, kernel)[REACH : REACH + n] / np.convolve(np.ones(n), kernel)[REACH : REACH + n]
+    return np.convolve(ratios, kernel)[REACH : REACH + n] / np.convolve(np.ones(n), kernel)[REACH : REACH + n]
+
+
+def cluster_threshold(smooth: np.ndarray) -> float:
+    """Threshold between two clusters of smoothed ratios.
+
+    It moves to the middle of the cluster means until it rests. Lines that are all alike, or whose
+    cluster means are within ``APART``, are one cluster: its threshold is below all of them.
+    """
+    one = min(float(smooth.min()) * (1 - 1e-9), float(smooth.mean()) / APART)
     if np.ptp(smooth) <= 1e-9 * max(1.0, smooth.max()):
-        return np.ones(n, bool)
+        return one
     at = smooth.mean()
     for _ in range(ROUNDS):
         high = smooth > at
         if high.all() or not high.any():
-            return np.ones(n, bool)
+            return one
         moved = (smooth[high].mean() + smooth[~high].mean()) / 2
         if abs(moved - at) < 1e-9:
             break
         at = moved
     high = smooth > at
     if not high.any() or high.all() or smooth[high].mean() < APART * smooth[~high].mean():
-        return np.ones(n, bool)
-    return high | (ratios > at / 2)
+        return one
+    return float(at)
 
 
-def main_text(html: str) -> str:
-    """Main text of a page: blocks in page order, joined by an empty line; empty if there is none.
+def content_lines(ratios: np.ndarray, prior: np.ndarray | float = 1.0) -> np.ndarray:
+    """Which lines are content: their smoothed ratio times their prior is over the threshold.
 
-    Where the page marks an article, its lines are the content region, and if they hold at least
-    ``ENOUGH`` of what the page has left, no other line joins them. Where they hold less, or none
-    are marked, the clusters decide, and marked lines stay.
+    A line at the border of the content, which smoothing lowers, is content if its own ratio times
+    its prior is over half the threshold.
     """
-    lines = page_lines(html)
-    if not lines:
+    smooth = smoothed(ratios)
+    at = cluster_threshold(smooth)
+    return (smooth * prior > at) | (ratios * prior > at / 2) & (np.asarray(prior) >= 1)
+
+
+def region_lines(page: _Lines) -> np.ndarray:
+    """Which lines of a page are its main text."""
+    size = np.array([len(x.text) for x in page.found])
+    marked = np.array([x.in_article for x in page.found])
+    element = np.array([x.element for x in page.found])
+    against = page.against(size, marked)[element]
+    prior = np.ones(len(size))
+    if size[marked].sum() >= ENOUGH * size.sum():
+        prior = np.where(marked, PRIOR, 1 / PRIOR)
+    prior[against] = 1 / PRIOR**2
+    content = content_lines(size / np.array([max(1, x.tags) for x in page.found]), prior)
+    # The region: the element, of equal ones the innermost, whose content outweighs the rest by the
+    # most. What words and clusters agree to cut weighs nothing.
+    own = np.zeros(len(page.parent))
+    np.add.at(own, element, np.where(content, size, np.where(against, 0, -size)))
+    weight = np.where(page.region, page.up(own), -np.inf)
+    best = len(weight) - 1 - int(weight[::-1].argmax())
+    inside = np.zeros(len(weight), bool)
+    inside[best] = True
+    for k in range(best + 1, len(weight)):
+        inside[k] |= inside[page.parent[k]]
+    chosen = inside[element]
+    whole = page.marked[best] and prior.max() > 1
+    if whole or 2 * (content & chosen).sum() >= (chosen & ~against).sum():
+        return chosen & (content | ~against)
+    return chosen & content
+
+
+def main_text(html: str) -> str:
+    """Main text of a page: blocks in page order, joined by an empty line; empty if there is none."""
+    page = page_lines(html)
+    if not page.found:
         return ""
-    marked = np.array([inside for _, _, inside in lines])
-    size = np.array([len(t) for t, _, _ in lines])
-    if size[marked].sum() < ENOUGH * size.sum():
-        marked |= content_lines(np.array([len(t) / max(1, n) for t, n, _ in lines]))
-    return "\n\n".join(t for (t, _, _), keep in zip(lines, marked) if keep)
+    return "\n\n".join(x.text for x, keep in zip(page.found, region_lines(page)) if keep)
 
 
 def main_text_column(html: Column) -> Column:
