@@ -12,6 +12,7 @@ scores are the sum over its subwords, so prediction adds rows of a small table.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from dataclasses import dataclass
 from itertools import chain
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm.shared import table
+from driftloom.llm.shared import free_name, table
 
 #: Slots of hashed subwords, width of embeddings, letters of an n-gram.
 SLOTS, WIDTH, NGRAMS = 1 << 15, 16, (2, 3)
@@ -33,7 +34,9 @@ WANTED_ACCURACY = 0.99
 UNKNOWN = "und"
 CACHED_WORDS, CACHED_GRAMS, LONG_WORD = 600_000, 200_000, 40
 
-_WORD = re.compile(r"[^\W\d_]+")
+# Word characters without what counts, not spells (fractions, Roman and circled numerals): \p{L}.
+_NUMERALS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 
 class _Slots(dict):
@@ -94,7 +97,8 @@ def _matrix(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     """Learn from (text, label) rows; a fifth of them is held back for calibration.
 
-    No rows give a model without labels. The result depends on the rows, not on their order.
+    No rows give a model without labels. The result depends on the rows, not on their order; equal
+    scores go to the label that is first by name.
     """
     rows = sorted(r for r in rows if _WORD.search(r[0]))
     labels = sorted({y for _, y in rows})
@@ -239,11 +243,11 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> Data
 
     Texts that are null or without a letter get ``und`` with score 0, as all do where nothing
     was learned. A ``rejected`` prediction is less certain than the calibrated limit. Rows are
-    read one by one; columns with these names are replaced.
+    read one by one, so ties and repeated rows need no rule; columns with these names are replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    found = docs.withColumn("_lang", predicted_column(F.col(text_col), sent))
-    return found.withColumns({c: F.col(f"_lang.{c}") for c in ("lang_pred", "score", "rejected")}).drop("_lang")
+    sent, lang = docs.sparkSession.sparkContext.broadcast(model), free_name(docs, "lang")
+    found = docs.withColumn(lang, predicted_column(F.col(text_col), sent))
+    return found.withColumns({c: F.col(f"{lang}.{c}") for c in ("lang_pred", "score", "rejected")}).drop(lang)
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
