@@ -1,12 +1,15 @@
 """Personal data (operator 5).
 
 Base spans come from four patterns. The method adds spans to them: a skip-chain conditional
-random field over the tokens that could be personal data. Neighbouring tokens share chain
-potentials; equal or similar tokens anywhere in the document share skip potentials; loopy
+random field labels every other token that could be personal data. Neighbouring candidates share
+chain potentials; equal or similar tokens anywhere in the document share skip potentials; loopy
 message passing makes their labels consistent, so a number that is a phone in one place is one
-where its plus sign is missing too.
+where its plus sign is missing too. A candidate becomes a span if its belief is high, by whatever
+evidence: its own features, its neighbours in the chain, or its repeats.
 
-Weights are learned in numpy from a bounded sample of texts whose base spans are the labels.
+Weights are learned in numpy from a bounded sample of texts whose base spans are the labels. In a
+second view of each text the base spans are masked: they have the features of their bare repeats
+(digits only, local part only), so the field learns to recover what the patterns don't see.
 Words without digit, ``@`` or a part of a found address carry the label "none" with certainty
 and are left out of the graph, so its size follows the candidates and not the text.
 """
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,18 +26,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm.shared import table
+from driftloom.llm.shared import free_name, table
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
-#: Texts to learn from, chosen by a hash of the text; passes over them; step; weight decay.
-SAMPLE_TEXTS, PASSES, STEP, DECAY = 3_000, 8, 0.1, 1e-4
+#: Texts to learn from, chosen by a hash of the text, at most about; bytes of all of them and of one text.
+SAMPLE_TEXTS, SAMPLE_BYTES, SAMPLE_TEXT_BYTES = 3_000, 16 << 20, 1 << 18
+#: Passes over them; step; weight decay.
+PASSES, STEP, DECAY = 8, 0.1, 1e-4
 #: Message passing: rounds, share of the old message, and the belief from which a span is added.
 ROUNDS, DAMPING, MIN_BELIEF = 12, 0.3, 0.9
-#: Tokens that are further apart (characters) share no chain potential.
-CHAIN_GAP = 12
-#: Parts of an address shorter than this are too common to look for.
-MIN_PART = 6
+#: Neighbours at most so many characters apart share the potentials of close ones, others those of far ones.
+CLOSE = 12
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -42,6 +46,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile("[0-9]")
+# A number that is written like a phone; it ends where a base span starts.
+_DIALLED = re.compile(r"\+[0-9]+(?:[ .-]?(?:\([0-9]+\)|[0-9]+))+")
 _CANDIDATE = re.compile(r"[+(]*[0-9@](?:[^\s,;:!?]|[,;:!?](?=[0-9@]))*|[^\s0-9@]*[0-9@]\S*")
 
 Span = tuple[int, int]
@@ -95,15 +101,19 @@ _NO_GAPS = {ord(" "): None, ord("-"): None}
 
 @dataclass
 class Graph:
-    """Candidate tokens of one text, their features, chain edges and skip edges."""
+    """Candidate tokens of one text, their features, chain edges (close and far) and skip edges."""
 
     spans: list[Span]
     features: list[tuple[int, ...]]
-    chain: list[tuple[int, int]]
+    close: list[tuple[int, int]]
+    far: list[tuple[int, int]]
     skip: list[tuple[int, int]]
 
+    def edges(self) -> list[list[tuple[int, int]]]:
+        return [self.close, self.far, self.skip]
 
-FEATURES = 64
+
+FEATURES = 128
 
 
 def _bucket(name: str, value: object) -> int:
@@ -115,8 +125,8 @@ def _bucket(name: str, value: object) -> int:
 
 
 def _features(token: str, before: str) -> tuple[int, ...]:
-    digits = sum(c.isdigit() for c in token)
-    letters = sum(c.isalpha() for c in token)
+    numbers = "".join(_DIGITS.findall(token))
+    digits, letters = len(numbers), sum(c.isalpha() for c in token)
     return (
         _bucket("bias", 0),
         _bucket("digits", min(digits, 20)),
@@ -126,43 +136,61 @@ def _features(token: str, before: str) -> tuple[int, ...]:
         _bucket("shape", re.sub("[a-z]+", "a", re.sub("[0-9]+", "0", token.lower()))[:12]),
         _bucket("plus", "+" in token or before.endswith("+")),
         _bucket("only", digits == len(token)),
+        _bucket("sum", luhn(numbers) if 16 <= digits <= 19 else None),
     )
 
 
-def candidate_graph(text: str, base: dict[str, list[Span]]) -> Graph:
-    """Tokens: base spans, other runs with a digit or @, and repeats of addresses' local parts."""
-    spans = sorted({s for found in base.values() for s in found})
-    taken, k = [], 0
-    for m in _CANDIDATE.finditer(text):
-        while k < len(spans) and spans[k][1] <= m.start():
+def _bare(token: str) -> str:
+    """What a repeat of a base span looks like when its marks are missing."""
+    return token.split("@")[0] if "@" in token else "".join(_DIGITS.findall(token)) if token.startswith("+") else token.replace(" ", "").replace("-", "")
+
+
+def _in_gaps(found: Iterator[re.Match], taken: list[Span]) -> Iterator[Span]:
+    """Matches that overlap none of the sorted spans."""
+    k = 0
+    for m in found:
+        while k < len(taken) and taken[k][1] <= m.start():
             k += 1
-        if k == len(spans) or spans[k][0] >= m.end():
-            a, b = m.span()
-            while b > a and text[b - 1] in ".,;:!?)\"'":
-                b -= 1
-            if b > a:
-                taken.append((a, b))
+        if k == len(taken) or taken[k][0] >= m.end():
+            yield m.span()
+
+
+def candidate_graph(text: str, base: dict[str, list[Span]], masked: bool = False) -> Graph:
+    """Tokens: base spans, numbers written like phones, other runs with a digit or @, and repeats of
+    addresses' local parts.
+
+    A local part that is one word of letters is any word, and no candidate. ``masked`` gives base
+    spans the features of their bare repeats.
+    """
+    own = sorted({s for found in base.values() for s in found})
+    ends = [0, *[b for _, b in own]]
+    gaps = zip(ends, [*[a for a, _ in own], len(text)])
+    dialled = [m.span() for a, b in gaps if a < b for m in _DIALLED.finditer(text, a, b)] if "+" in text else []
+    tokens = sorted([*own, *dialled])
+    taken = []
+    for a, b in _in_gaps(_CANDIDATE.finditer(text), tokens):
+        while b > a and text[b - 1] in ".,;:!?)\"'":
+            b -= 1
+        if b > a:
+            taken.append((a, b))
+    tokens = sorted([*tokens, *taken])
     parts = {text[a:b].split("@")[0] for a, b in base["email"]}
-    parts = [p for p in parts if len(p) >= MIN_PART]
+    parts = sorted((p for p in parts if not p.isalpha()), key=len, reverse=True)
     if parts:
-        again = re.compile(r"(?<![\w@.])(?:" + "|".join(map(re.escape, sorted(parts, key=len, reverse=True))) + r")(?![\w@])")
-        seen = sorted([*spans, *taken])
-        k = 0
-        for m in again.finditer(text):
-            while k < len(seen) and seen[k][1] <= m.start():
-                k += 1
-            if k == len(seen) or seen[k][0] >= m.end():
-                taken.append(m.span())
-    tokens = sorted([*spans, *taken])
-    chain = [(i, i + 1) for i in range(len(tokens) - 1) if 0 <= tokens[i + 1][0] - tokens[i][1] <= CHAIN_GAP]
+        again = re.compile(r"(?<![\w@.])(?:" + "|".join(map(re.escape, parts)) + r")(?![\w@])")
+        tokens = sorted([*tokens, *_in_gaps(again.finditer(text), tokens)])
+    chain = [(i, i + 1) for i in range(len(tokens) - 1) if tokens[i + 1][0] >= tokens[i][1]]
+    close = [(i, j) for i, j in chain if tokens[j][0] - tokens[i][1] <= CLOSE]
+    far = [(i, j) for i, j in chain if tokens[j][0] - tokens[i][1] > CLOSE]
     skip, last = [], {}
     for i, (a, b) in enumerate(tokens):
         for key in _link_keys(text[a:b]):
             if key in last and last[key] != i:
                 skip.append((last[key], i))  # to the last one only: links stay linear in repeats
             last[key] = i
-    features = [_features(text[a:b], text[max(0, a - 2) : a]) for a, b in tokens]
-    return Graph(tokens, features, chain, sorted(set(skip)))
+    mask = set(own) if masked else ()
+    features = [_features(_bare(text[a:b]), "") if (a, b) in mask else _features(text[a:b], text[max(0, a - 2) : a]) for a, b in tokens]
+    return Graph(tokens, features, close, far, sorted(set(skip)))
 
 
 def _link_keys(token: str) -> list[str]:
@@ -172,36 +200,35 @@ def _link_keys(token: str) -> list[str]:
     if len(digits) >= 7:
         keys.append("#" + digits)
     local = token.casefold().split("@")[0]
-    if len(local) >= MIN_PART and not local.isdigit():
+    if not local.isalpha() and not local.isdigit():
         keys.append("@" + local)
     return keys
 
 
 @dataclass
 class Field:
-    """Weights: of features per label, and of label pairs on chain and skip edges."""
+    """Weights: of features per label, and of label pairs on close, far and skip edges."""
 
     unary: np.ndarray
-    chain: np.ndarray
-    skip: np.ndarray
+    pairs: list[np.ndarray]
 
     @classmethod
     def blank(cls) -> Field:
         n = NONE + 1
-        return cls(np.zeros((FEATURES, n)), np.zeros((n, n)), np.zeros((n, n)))
+        return cls(np.zeros((FEATURES, n)), [np.zeros((n, n)) for _ in range(3)])
 
     def scores(self, g: Graph) -> np.ndarray:
         return self.unary[np.array(g.features, np.int64)].sum(axis=1)
 
     def beliefs(self, g: Graph, clamped: dict[int, int]) -> np.ndarray:
         """Label probabilities of each token by loopy message passing; clamped tokens are known."""
-        n, labels = len(g.spans), NONE + 1
+        labels = NONE + 1
         unary = self.scores(g)
         for i, y in clamped.items():
             unary[i] = -50.0
             unary[i, y] = 0.0
-        edges = np.array([*g.chain, *g.skip], np.int64).reshape(-1, 2)
-        weight = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(self.skip[None], len(g.skip), 0)])
+        edges = np.array([e for kind in g.edges() for e in kind], np.int64).reshape(-1, 2)
+        weight = np.concatenate([np.repeat(w[None], len(kind), 0) for w, kind in zip(self.pairs, g.edges())])
         # Message 2e goes along edge e and message 2e+1 against it.
         source, target = edges.ravel(), edges[:, ::-1].ravel()
         weights = np.stack([weight, weight.transpose(0, 2, 1)], 1).reshape(-1, labels, labels)
@@ -227,35 +254,47 @@ def _known(g: Graph, base: dict[str, list[Span]]) -> dict[int, int]:
     return {at[s]: k for k, kind in enumerate(KINDS) for s in base[kind]}
 
 
-def learn(texts: list[str]) -> Field:
-    """Fit a field by pseudo-likelihood: each token given the labels of its neighbours.
+def _labelled(text: str) -> Iterator[tuple[Graph, np.ndarray, np.ndarray]]:
+    """(graph, labels, trusted) of a text as it is, and with its base spans masked.
 
-    Labels are the base spans, and "none" for other candidates; a candidate that is linked with
-    a base span has no label, as it is what the field is asked about, and counts as its kind for
-    the skip weights.
+    Labels are the base spans, and "none" for other candidates. A candidate that a skip edge links
+    with a base span is what the field is asked about: it counts as that kind for the skip
+    weights and teaches nothing else. One written like a phone teaches nothing.
     """
+    base = base_spans(text)
+    for masked in (False, True):
+        g = candidate_graph(text, base, masked)
+        known = _known(g, base)
+        if not g.spans or masked and not known:
+            continue
+        y = np.full(len(g.spans), NONE)
+        for i, k in known.items():
+            y[i] = k
+        trusted = np.array([i in known or not _DIALLED.fullmatch(text[a:b]) for i, (a, b) in enumerate(g.spans)])
+        near = defaultdict(list)
+        for a, b in g.skip:
+            near[a].append(b)
+            near[b].append(a)
+        todo = list(known)
+        while todo:
+            i = todo.pop()
+            for j in near[i]:
+                if y[j] == NONE:
+                    y[j], trusted[j] = y[i], False
+                    todo.append(j)
+        yield g, y, trusted
+
+
+def learn(texts: list[str]) -> Field:
+    """Fit a field by pseudo-likelihood: each token given the labels of its neighbours."""
     field, n = Field.blank(), NONE + 1
-    data = []
-    for text in texts:
-        base = base_spans(text)
-        g = candidate_graph(text, base)
-        if g.spans:
-            known = _known(g, base)
-            y = np.full(len(g.spans), NONE)
-            for i, k in known.items():
-                y[i] = k
-            trusted = np.ones(len(g.spans), bool)
-            for _ in range(2):
-                for a, b in g.skip:
-                    for i, j in ((a, b), (b, a)):
-                        if y[i] == NONE and y[j] != NONE:
-                            y[i], trusted[i] = y[j], False
-            data.append((g, y, trusted))
-    total = [np.zeros_like(w) for w in (field.unary, field.chain, field.skip)]
+    data = [x for text in texts for x in _labelled(text)]
+    weights = [field.unary, *field.pairs]
+    total = [np.zeros_like(w) for w in weights]
     for _ in range(PASSES):
         for g, y, trusted in data:
             score = field.scores(g)
-            for edges, w in ((g.chain, field.chain), (g.skip, field.skip)):
+            for edges, w in zip(g.edges(), field.pairs):
                 for a, b in edges:
                     score[a] += w[:, y[b]]
                     score[b] += w[y[a], :]
@@ -263,56 +302,37 @@ def learn(texts: list[str]) -> Field:
             p /= p.sum(axis=1, keepdims=True)
             slope = -p
             slope[np.arange(len(y)), y] += 1
-            grads = [np.zeros_like(field.unary), np.zeros((n, n)), np.zeros((n, n))]
+            grads = [np.zeros_like(w) for w in weights]
             for i, f in enumerate(g.features):
                 if trusted[i]:
                     np.add.at(grads[0], list(f), slope[i])
-            for k, edges in ((1, g.chain), (2, g.skip)):
+            for k, edges in enumerate(g.edges(), 1):
                 for a, b in edges:
-                    if k == 2 or trusted[a] and trusted[b]:
+                    if k == 3 or trusted[a] and trusted[b]:
                         grads[k][:, y[b]] += slope[a]
                         grads[k][y[a], :] += slope[b]
-            for w, grad, t in zip((field.unary, field.chain, field.skip), grads, total):
+            for w, grad, t in zip(weights, grads, total):
                 t += grad**2
                 w += STEP * grad / np.sqrt(t + 1e-8) - STEP * DECAY * w
     return field
 
 
 def added_spans(text: str, base: dict[str, list[Span]], field: Field) -> dict[str, list[Span]]:
-    """Spans that the field finds and that overlap no base span."""
+    """Spans that the field finds among the candidates that are no base spans; they overlap none."""
     out: dict[str, list[Span]] = defaultdict(list)
-    if not any(base.values()):
-        return out  # nothing to be consistent with
+    if "@" not in text and not _DIGITS.search(text):
+        return out  # no candidate
     g = candidate_graph(text, base)
     known = _known(g, base)
     if len(known) == len(g.spans):
-        return out
-    linked = _reached(len(g.spans), g.skip, known)
-    if len(linked) == len(known):
-        return out
+        return out  # nothing to label
     p = field.beliefs(g, known)
-    for i in sorted(linked - known.keys()):
-        k = int(p[i].argmax())
-        if k != NONE and p[i, k] >= MIN_BELIEF:
-            out[KINDS[k]].append(g.spans[i])
+    for i in np.flatnonzero((p.argmax(axis=1) != NONE) & (p.max(axis=1) >= MIN_BELIEF)).tolist():
+        if i not in known:
+            out[KINDS[int(p[i].argmax())]].append(g.spans[i])
     return out
 
 
-def _reached(n: int, skip: list[tuple[int, int]], known: dict[int, int]) -> set[int]:
-    """Tokens that skip edges connect with a base span; only these can be added."""
-    near = defaultdict(list)
-    for a, b in skip:
-        near[a].append(b)
-        near[b].append(a)
-    seen, todo = set(known), list(known)
-    while todo:
-        for x in near[todo.pop()]:
-            if x not in seen:
-                seen.add(x)
-                todo.append(x)
-    return seen
-
-
 SPAN = "struct<kind:string,start:bigint,end:bigint,base:boolean>"
 
 
@@ -337,18 +357,20 @@ def spans_column(text: Column, field) -> Column:
 
 
 def training_texts(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """At most about SAMPLE_TEXTS whole texts that hold a digit and an @ or +, by a hash of the text."""
-    has = docs.filter(F.col(text_col).rlike("[0-9]") & F.col(text_col).rlike("[@+]")).select(F.col(text_col).alias("t"))
-    n = has.count()
-    share = F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < min(1 << 20, int((1 << 20) * SAMPLE_TEXTS / max(1, n)) + 1)
-    return sorted(r.t for r in has.filter(share).distinct().collect())
+    """At most about SAMPLE_TEXTS whole texts, and SAMPLE_BYTES, that hold a digit and an @ or +, by a hash of the text."""
+    size = F.octet_length(F.col(text_col)).cast("long")
+    has = docs.filter(F.col(text_col).rlike("[0-9]") & F.col(text_col).rlike("[@+]") & (size <= SAMPLE_TEXT_BYTES)).select(F.col(text_col).alias("t"))
+    n, total = has.agg(F.count("*"), F.sum(F.octet_length("t").cast("long"))).first()
+    share = min(1.0, SAMPLE_TEXTS / max(1, n), SAMPLE_BYTES / max(1, total or 0))
+    return sorted(r.t for r in has.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < int((1 << 20) * share) + 1).distinct().collect())
 
 
 def with_spans(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> DataFrame:
     """Add the array of spans of each row's text.
 
-    Positions are code points, the end exclusive. Null and blank texts have no spans. Rows are
-    read one by one, so ties and repeated rows need no rule. ``out_col`` is replaced if there.
+    Positions are code points, the end exclusive. Null and blank texts have no spans, and an empty
+    table gives no rows. Rows are read one by one, so ties and repeated rows need no rule.
+    ``out_col`` is replaced if there.
     """
     field = docs.sparkSession.sparkContext.broadcast(learn(training_texts(docs, text_col)))
     return docs.withColumn(out_col, spans_column(F.col(text_col), field))
@@ -357,24 +379,31 @@ def with_spans(docs: DataFrame, text_col: str = "text", out_col: str = "pii") ->
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; of overlapping spans, the first.
 
-    Null texts stay null.
+    A text is cut in one pass over its spans. Null texts stay null.
     """
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at"))
 
-    def step(a, s):
-        piece = F.concat(F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        moved = F.struct(F.concat(a["parts"], F.array(piece)).alias("parts"), (-s["back"]).alias("at"))
-        return F.when(s["start"] >= a["at"], moved).otherwise(a)
+    def cut(texts: pa.Array, rows: pa.Array) -> pa.Array:
+        out = []
+        for t, row in zip(texts, rows):
+            told = t.as_py()
+            if told is not None and len(row):
+                parts, at = [], 0
+                for start, back, kind in sorted((x["start"], -x["end"], x["kind"]) for x in row.as_py()):
+                    if start >= at:
+                        parts += [told[at:start], f"[{kind.upper()}]"]
+                        at = -back
+                told = "".join([*parts, told[at:]])
+            out.append(told)
+        return pa.array(out, pa.string())
 
-    tail = lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, start, step, tail))
+    return F.arrow_udf(cut, "string")(text, spans)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` with the spans of ``text_col`` replaced; all other columns stay."""
-    found = with_spans(docs, text_col, "_pii").withColumn(text_col, redacted(F.col(text_col), F.col("_pii")))
-    return found.select(*docs.columns)
+    """Rows of ``docs`` with the spans of ``text_col`` replaced; all other columns stay, whatever their names."""
+    spans = free_name(docs, "pii")
+    found = with_spans(docs, text_col, spans)
+    return found.withColumn(text_col, redacted(F.col(text_col), F.col(spans))).drop(spans)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

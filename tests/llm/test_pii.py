@@ -92,3 +92,67 @@ def test_nulls_empties_redaction_and_digests(spark, sf):
         assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(len(base[k]) for k in P.KINDS)
         assert set(filter(None, told.split(","))) <= set(r.spans.split(","))
+
+
+def _field(spark, sf):
+    texts = P.training_texts(spark.read.parquet(f"{sf}/documents.parquet"))
+    return texts, P.learn(texts)
+
+
+def test_field_labels_every_document_with_open_candidates(spark, monkeypatch):
+    """Messages pass in each document that has a candidate beside its base spans, linked or not."""
+    sf = "/root/testdata/sf0.01"
+    texts, field = _field(spark, sf)
+    asked, beliefs = [], P.Field.beliefs
+    monkeypatch.setattr(P.Field, "beliefs", lambda self, g, known: asked.append(len(g.spans)) or beliefs(self, g, known))
+    rows = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    open_ = 0
+    for text in rows:
+        base = P.base_spans(text)
+        open_ += len(P.candidate_graph(text, base).spans) > len({s for v in base.values() for s in v})
+        P.added_spans(text, base, field)
+    assert len(asked) == open_ > 10
+
+
+def test_spans_without_a_repeat_are_added(spark):
+    """What a pattern drops whole, as two values stand side by side: the field's own evidence adds the parts."""
+    _, field = _field(spark, "/root/testdata/sf0.1")
+    text = "thonble. Shre +1 (826) 555-4081 190.137.223.204 du and 7536784127813050 4845168114407329 end, 2353820953013749 here"
+    base = P.base_spans(text)
+    assert base == plain(text) and not base["phone"] and not base["card"]
+    more = {(k, text[a:b]) for k, spans in P.added_spans(text, base, field).items() for a, b in spans}
+    assert more == {("phone", "+1 (826) 555-4081"), ("card", "7536784127813050"), ("card", "4845168114407329")}
+
+
+def test_precision_and_recall_on_planted_repeats(spark):
+    """Bare repeats of a phone and of an address's local part among numbers that are neither."""
+    found, right, planted = 0, 0, 0
+    for r in P.with_spans(_corpus(spark)).collect():
+        phone = re.sub("[^0-9]", "", r.text[slice(*plain(r.text)["phone"][0])])
+        wanted = {("phone", phone), ("email", f"person{r.doc_id}.x")} if r.doc_id % 2 else set()
+        added = [(s.kind, r.text[s.start : s.end]) for s in r.pii if not s.base]
+        planted += len(wanted)
+        found += len(added)
+        right += sum(x in wanted for x in added)
+    assert right / found > 0.95 and right / planted > 0.8
+
+
+def test_many_candidates_and_clashing_names(spark):
+    _, field = _field(spark, "/root/testdata/sf0.01")
+    rng = random.Random(3)
+    text = " ".join(str(rng.randrange(10**rng.randrange(3, 18))) for _ in range(60_000)) + " +1 (826) 555-4081, 18265554081"
+    base = P.base_spans(text)
+    assert base == plain(text)
+    spans = [s for v in P.added_spans(text, base, field).values() for s in v]
+    assert all(b <= c or d <= a for a, b in spans for v in base.values() for c, d in v)
+    docs = spark.createDataFrame([(1, "mail a@b.cc now", 5, "k")], "doc_id long, text string, _pii int, pii string")
+    out = P.redact(docs)
+    assert out.columns == docs.columns and tuple(out.first()) == (1, "mail [EMAIL] now", 5, "k")
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"+{k} " + "word " * 200) for k in range(400)], "doc_id long, text string")
+    monkeypatch.setattr(P, "SAMPLE_BYTES", 100_000)
+    assert 0 < sum(map(len, P.training_texts(docs))) < 200_000
+    monkeypatch.setattr(P, "SAMPLE_TEXT_BYTES", 100)
+    assert P.training_texts(docs) == []
