@@ -2,31 +2,34 @@
 
 Method: training suffix arrays. Spark's tasks are the shards: a task sorts the word suffixes of
 the training texts it has into suffix arrays and binary-searches every test suffix in them. The
-search yields the longest verbatim match of each test suffix, where it lies, and all occurrences
-of a test window; affected documents are then marked and removed.
+search yields the longest verbatim match of each test suffix and where it lies; suffixes that
+match a whole window lead to all its occurrences. ``longest_matches`` merges the shards' matches,
+and affected documents are marked and removed.
 
-Words are compared by a 64-bit hash while sorting and searching. Every occurrence that counts is
-then compared byte by byte, so a collision can't mark a word.
+Words are compared by a 64-bit hash while sorting and searching. Every occurrence and every match
+that counts is then compared byte by byte, so a collision can't mark a word.
 
-The test side is sent to the tasks in blocks of at most ``BLOCK_WORDS`` words, each with its own
-pass over the training texts, so no broadcast grows with the test set.
+The test side is cut in Spark into pieces that share all but the first words of a window, and sent
+to the tasks in blocks of about ``BLOCK_WORDS`` words. Each block has its own pass over the training
+texts, written before the next block is read; then its broadcast is destroyed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm.shared import Scratch, table
+from driftloom.llm.shared import Scratch, free_name, table
 
 WINDOW = 10
-#: Words of the test side in one broadcast; training words in one suffix array.
-BLOCK_WORDS, SHARD_WORDS = 2_000_000, 1_500_000
+#: Words of the test side in one broadcast (about 60 MB with its windows); training words in one suffix array.
+BLOCK_WORDS, SHARD_WORDS = 150_000, 1_500_000
 #: Bytes that are cut into words at once; longer texts are cut in steps that end between words.
 SLAB_BYTES = 4 << 20
 
@@ -92,109 +95,149 @@ def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
     """Starts of the suffixes of ``words``, sorted by their first ``depth`` words or more.
 
-    Prefix doubling: ranks by one word, then by two, four and so on.
+    Prefix doubling: ranks by one word, then by two, four and so on. A step sorts only suffixes
+    that some other still equals.
     """
     n = len(words)
-    _, rank = np.unique(words, return_inverse=True)
+    _, first = np.unique(words, return_inverse=True)
+    order = np.argsort(first, kind="stable")
+    # A rank is the place of the first suffix that is equal so far, so that other ranks stay.
+    own = first[order]
+    head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if n else np.empty(0, np.int64)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(head, np.diff(np.r_[head, n]))
+    slots = np.flatnonzero(np.repeat(np.diff(np.r_[head, n]) > 1, np.diff(np.r_[head, n])))
     length = 1
-    order = np.argsort(rank, kind="stable")
-    while length < depth and n:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - length)] = rank[length:] + 1
-        key = rank.astype(np.int64) * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]])
+    while length < depth and len(slots):
+        some = order[slots]
+        second = np.zeros(len(some), np.int64)
+        inside = some + length < n
+        second[inside] = rank[some[inside] + length] + 1
+        key = rank[some] * (n + 1) + second
+        by = np.argsort(key, kind="stable")
+        some, key = some[by], key[by]
+        order[slots] = some
+        new = np.r_[True, key[1:] != key[:-1]]
+        head = np.flatnonzero(new)
+        sizes = np.diff(np.r_[head, len(some)])
+        rank[some] = np.repeat(slots[head], sizes)
+        slots = slots[np.repeat(sizes > 1, sizes)]
         length *= 2
     return order
 
 
-def _search(words: np.ndarray, order: np.ndarray, tests: np.ndarray, lengths: np.ndarray, after: bool) -> np.ndarray:
-    """For each row of ``tests``, the first suffix not below (``after``: above) its first words.
+def _search(words: np.ndarray, order: np.ndarray, others: np.ndarray, starts: np.ndarray, lengths: np.ndarray, after: bool) -> np.ndarray:
+    """For each sequence ``others[start : start + length]``, the first suffix not below (``after``: above) it.
 
-    All rows are searched at once; a step compares word by word, as far as rows still agree.
+    All sequences are searched at once; a step compares word by word, as far as they still agree.
     """
-    low, high = np.zeros(len(tests), np.int64), np.full(len(tests), len(order), np.int64)
+    low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(order), np.int64)
     while (open_ := np.flatnonzero(low < high)).size:
         mid = (low[open_] + high[open_]) // 2
         at = order[mid]
-        sign = np.zeros(len(open_), np.int8)  # of the suffix against the test
-        same = np.arange(len(open_))
-        for k in range(tests.shape[1]):
-            same = same[lengths[open_[same]] > k]
-            if not same.size:
-                break
+        sign = np.zeros(len(open_), np.int8)  # of the suffix against the sequence
+        same, k = np.arange(len(open_)), 0
+        while (same := same[lengths[open_[same]] > k]).size:
             place = at[same] + k
             word = np.where(place < len(words), words[np.minimum(place, len(words) - 1)], 0)
-            want = tests[open_[same], k]
+            want = others[starts[open_[same]] + k]
             sign[same] = np.where(word < want, -1, np.where(word > want, 1, 0))
             same = same[word == want]
+            k += 1
         below = sign <= 0 if after else sign < 0
         low[open_[below]] = mid[below] + 1
         high[open_[~below]] = mid[~below]
     return low
 
 
-def match_lengths(words: np.ndarray, order: np.ndarray, tests: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Longest match (words, capped by the row's length) of each test row and its place, or -1.
+def longest_common(words: np.ndarray, order: np.ndarray, others: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longest match in ``words`` of the first words of each sequence, and its place, or -1.
 
     The longest common prefix with a sorted suffix array is with a neighbour of the place where
-    the row would be inserted.
+    the sequence would be inserted.
     """
-    at = _search(words, order, tests, lengths, after=False)
-    best, place = np.zeros(len(tests), np.int64), np.full(len(tests), -1, np.int64)
+    at = _search(words, order, others, starts, lengths, after=False)
+    best, place = np.zeros(len(starts), np.int64), np.full(len(starts), -1, np.int64)
     for shift in (0, -1):
         near = at + shift
-        ok = (near >= 0) & (near < len(order))
-        start = order[np.clip(near, 0, max(0, len(order) - 1))] if len(order) else np.zeros(len(tests), np.int64)
-        alive, n = ok.copy(), np.zeros(len(tests), np.int64)
-        for k in range(tests.shape[1]):
-            inside = alive & (start + k < len(words)) & (lengths > k)
-            alive = inside & (words[np.minimum(start + k, max(0, len(words) - 1))] == tests[:, k]) if len(words) else np.zeros(len(tests), bool)
-            n += alive
-        better = n > best
-        best, place = np.where(better, n, best), np.where(better, start, place)
+        some = np.flatnonzero((near >= 0) & (near < len(order)))
+        own = order[near[some]]
+        n, same, k = np.zeros(len(some), np.int64), np.arange(len(some)), 0
+        while (same := same[(lengths[some[same]] > k) & (own[same] + k < len(words))]).size:
+            same = same[words[own[same] + k] == others[starts[some[same]] + k]]
+            n[same] += 1
+            k += 1
+        better = n > best[some]
+        best[some[better]], place[some[better]] = n[better], own[better]
     return best, place
 
 
+def match_lengths(words: np.ndarray, order: np.ndarray, tests: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``longest_common`` of the rows of a table of words, each of its own length."""
+    return longest_common(words, order, tests.ravel(), np.arange(len(tests)) * tests.shape[1], lengths)
+
+
 @dataclass
 class TestBlock:
-    """Distinct windows of a block of test items: padded hashes, lengths, joined words, items."""
+    """A block of test items as one array of word hashes, and their windows.
+
+    ``words`` ends each item with a 0; ``left`` has the words from each place to its item's end.
+    ``places`` has a place of each distinct window, ``lengths`` its words, ``joined`` its bytes,
+    ``items`` the items it is in.
+    """
 
-    rows: np.ndarray
+    words: np.ndarray
+    left: np.ndarray
+    owner: np.ndarray
+    begin: np.ndarray
+    spelled: list[bytes]
+    places: np.ndarray
     lengths: np.ndarray
     joined: list[bytes]
     items: list[list[int]]
     names: list[str]
+    shift: list[int]
 
 
-def test_block(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> TestBlock:
-    """Windows of (id as text, text) items; equal windows are one row with all their items."""
+def test_block(items: list[tuple], window: int = WINDOW) -> TestBlock:
+    """Block of (id as text, text[, words before it in its item]); equal windows are one, with all their items."""
     found: dict[bytes, list[int]] = {}
-    hashes: dict[bytes, np.ndarray] = {}
-    for k, (_, text) in enumerate(items):
-        low, s, e, h = words_of((text or "").encode())
+    where: dict[bytes, tuple[int, int]] = {}
+    words, left, owner, begin, spelled, at = [], [], [], [], [], 0
+    for k, item in enumerate(items):
+        low, s, e, h = words_of((item[1] or "").encode())
+        told = [low[a:b].tobytes() for a, b in zip(s, e)]
         n = min(window, len(h))
         for i in range(len(h) - n + 1 if n else 0):
-            joined = b" ".join(low[a:b].tobytes() for a, b in zip(s[i : i + n], e[i : i + n]))
+            joined = b" ".join(told[i : i + n])
             mine = found.setdefault(joined, [])
-            hashes[joined] = h[i : i + n]
+            where.setdefault(joined, (at + i, n))
             if not mine or mine[-1] != k:
                 mine.append(k)
-    rows = np.zeros((len(found), window), np.uint64)
-    for r, joined in enumerate(found):
-        rows[r, : len(hashes[joined])] = hashes[joined]
-    return TestBlock(rows, np.array([len(hashes[j]) for j in found], np.int64), list(found), list(found.values()), [x for x, _ in items])
+        words.append(np.r_[h, np.uint64(0)])
+        left.append(np.arange(len(h), -1, -1))
+        owner.append(np.full(len(h) + 1, k))
+        begin.append(at)
+        spelled += [*told, b""]
+        at += len(h) + 1
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+    return TestBlock(
+        join(words, np.uint64), join(left, np.int64), join(owner, np.int64), np.array(begin, np.int64), spelled,
+        np.array([where[j][0] for j in found], np.int64), np.array([where[j][1] for j in found], np.int64),
+        list(found), list(found.values()), [x[0] for x in items], [x[2] if len(x) > 2 else 0 for x in items],
+    )
 
 
-RESULT = "struct<n_words:bigint,spans:array<struct<first:bigint,last:bigint>>,items:array<string>>"
+MATCH = "struct<length:bigint,first:bigint,item:string,start:bigint>"
+RESULT = f"struct<n_words:bigint,spans:array<struct<first:bigint,last:bigint>>,items:array<string>,matches:array<{MATCH}>>"
 
 
-def _shard_hits(texts: list, block: TestBlock) -> Iterator[tuple[int, list[tuple[int, int]], set[int]]]:
-    """(n_words, spans, items) of each text of one shard.
+def _shard_hits(texts: list, block: TestBlock, window: int = WINDOW) -> Iterator[tuple[int, list[tuple[int, int]], set[int], list[tuple]]]:
+    """(n_words, spans, items, matches) of each text of one shard.
 
-    A span is the first and last word of a run of hit words; an item is an index of the block.
+    A span is the first and last word of a run of hit words; an item is an index of the block. A
+    match (length, first word, item, word of the item) is the shard's longest of a test suffix
+    that holds a window, where it lies in this text; those that go on from one before are left out.
     """
     sizes = [len(t[3]) for t in texts]
     starts = np.cumsum([0, *[n + 1 for n in sizes]])
@@ -203,20 +246,38 @@ def _shard_hits(texts: list, block: TestBlock) -> Iterator[tuple[int, list[tuple
         words[at : at + len(t[3])] = t[3]
     hits: dict[int, list[tuple[int, int]]] = {}
     items: dict[int, set[int]] = {}
-    if len(block.rows):
-        order = suffix_array(words, block.rows.shape[1])
-        low = _search(words, order, block.rows, block.lengths, after=False)
-        high = _search(words, order, block.rows, block.lengths, after=True)
-        for r in np.flatnonzero(low < high):
-            length = int(block.lengths[r])
-            places = order[low[r] : high[r]]
+    matches: dict[int, list[tuple]] = {}
+
+    def spelled(owner: int, first: int, n: int) -> list[bytes]:
+        raw, s, e, _ = texts[owner]
+        return [raw[a:b].tobytes() for a, b in zip(s[first : first + n], e[first : first + n])]
+
+    if len(block.places):
+        # Every test suffix is searched; the order is as deep as the longest of them.
+        order = suffix_array(words, int(block.left.max()))
+        suffixes = np.flatnonzero(block.left > 0)
+        best, place = longest_common(words, order, block.words, suffixes, block.left[suffixes])
+        long_ = np.zeros(len(block.words), np.int64)
+        long_[suffixes] = best
+        there = np.flatnonzero(long_[block.places] >= block.lengths)
+        at, length = block.places[there], block.lengths[there]
+        low = _search(words, order, block.words, at, length, after=False)
+        high = _search(words, order, block.words, at, length, after=True)
+        for r, a, b, n in zip(there.tolist(), low.tolist(), high.tolist(), length.tolist()):
+            places = order[a:b]
             owners = np.searchsorted(starts, places, side="right") - 1
             for owner, first in zip(owners.tolist(), (places - starts[owners]).tolist()):
-                bytes_, s, e, _ = texts[owner]
-                own = b" ".join(bytes_[a:b].tobytes() for a, b in zip(s[first : first + length], e[first : first + length]))
-                if own == block.joined[r]:
-                    hits.setdefault(owner, []).append((first, first + length - 1))
+                if b" ".join(spelled(owner, first, n)) == block.joined[r]:
+                    hits.setdefault(owner, []).append((first, first + n - 1))
                     items.setdefault(owner, set()).update(block.items[r])
+        enough = best >= np.minimum(window, block.left[block.begin[block.owner[suffixes]]])
+        goes_on = np.r_[False, (suffixes[1:] == suffixes[:-1] + 1) & (place[1:] == place[:-1] + 1) & enough[:-1]]
+        for k in np.flatnonzero(enough & ~goes_on).tolist():
+            owner = int(np.searchsorted(starts, place[k], side="right")) - 1
+            first, suffix, item = int(place[k] - starts[owner]), int(suffixes[k]), int(block.owner[suffixes[k]])
+            own, test = spelled(owner, first, int(best[k])), block.spelled[suffix : suffix + int(best[k])]
+            n = next((i for i, (x, y) in enumerate(zip(own, test)) if x != y), len(own))
+            matches.setdefault(owner, []).append((n, first, item, suffix - int(block.begin[item]) + block.shift[item]))
     for k, n in enumerate(sizes):
         spans: list[tuple[int, int]] = []
         for first, last in sorted(hits.get(k, ())):
@@ -224,19 +285,20 @@ def _shard_hits(texts: list, block: TestBlock) -> Iterator[tuple[int, list[tuple
                 spans[-1] = (spans[-1][0], max(spans[-1][1], last))
             else:
                 spans.append((first, last))
-        yield n, spans, items.get(k, set())
+        yield n, spans, items.get(k, set()), matches.get(k, [])
 
 
-def hits_column(text: Column, block) -> Column:
+def hits_column(text: Column, block, window: int = WINDOW) -> Column:
     """``RESULT`` of each whole text against a broadcast test block."""
 
     def find(texts: pa.Array) -> pa.Array:
         out, shard, words = [], [], 0
+        names = block.value.names
 
         def flush():
-            for n, spans, items in _shard_hits(shard, block.value):
-                names = sorted({block.value.names[i] for i in items if block.value.names[i] is not None})
-                out.append({"n_words": n, "spans": [{"first": a, "last": b} for a, b in spans], "items": names})
+            for n, spans, items, matches in _shard_hits(shard, block.value, window):
+                told = [{"length": a, "first": b, "item": names[c], "start": d} for a, b, c, d in matches]
+                out.append({"n_words": n, "spans": [{"first": a, "last": b} for a, b in spans], "items": sorted({names[i] for i in items if names[i] is not None}), "matches": told})
             shard.clear()
 
         for t in texts.cast(pa.large_binary()):
@@ -247,44 +309,86 @@ def hits_column(text: Column, block) -> Column:
                 words = 0
         flush()
         span = pa.struct([("first", pa.int64()), ("last", pa.int64())])
-        return pa.array(out, pa.struct([("n_words", pa.int64()), ("spans", pa.list_(span)), ("items", pa.list_(pa.string()))]))
+        match = pa.struct([("length", pa.int64()), ("first", pa.int64()), ("item", pa.string()), ("start", pa.int64())])
+        return pa.array(out, pa.struct([("n_words", pa.int64()), ("spans", pa.list_(span)), ("items", pa.list_(pa.string())), ("matches", pa.list_(match))]))
 
     return F.arrow_udf(find, RESULT)(text)
 
 
-def _blocks(spark: SparkSession, benchmark: DataFrame, scratch: Scratch, window: int) -> Iterator[TestBlock]:
-    """The test side in blocks of bounded size, read one after the other.
+def _pieces(window: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, text, shift, n) of items cut into pieces of ``most`` words, which share ``window`` - 1 words."""
+    for batch in batches:
+        out: list[tuple] = []
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            low, s, e, h = words_of((text or "").encode())
+            for at in range(0, max(1, len(h) - window + 1), most):
+                end = min(len(h), at + most + window - 1)
+                out.append((item, low[s[at] : e[end - 1]].tobytes().decode() if end > at else "", at, end - at))
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 4, kinds)], ["item_id", "text", "shift", "n"])
 
-    A single item larger than a block is a block by itself.
-    """
-    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text", size.alias("size"))
-    total = items.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, -(-total // (BLOCK_WORDS * 4)))
-    if parts == 1:
-        yield test_block([(r.item_id, r.text) for r in items.select("item_id", "text").collect()], window)
-        return
-    dealt = scratch.cut(items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))), "tests")
-    for k in range(parts):
-        yield test_block([(r.item_id, r.text) for r in dealt.filter(F.col("part") == k).select("item_id", "text").collect()], window)
+
+def _blocks(spark: SparkSession, benchmark: DataFrame, scratch: Scratch, window: int) -> tuple[int, Iterator[TestBlock]]:
+    """How many blocks of bounded size the test side has, and the blocks, read one after the other."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    cut = items.mapInArrow(partial(_pieces, window, BLOCK_WORDS), "item_id string, text string, shift long, n long")
+    cut = scratch.cut(cut, "tests")
+    parts = max(1, -(-(cut.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS))
+    part = F.pmod(F.xxhash64("item_id", "text", "shift"), F.lit(parts))
+
+    def read() -> Iterator[TestBlock]:
+        for k in range(parts):
+            rows = cut.filter(part == k).select("item_id", "text", "shift").collect()  # about BLOCK_WORDS words
+            yield test_block(sorted(map(tuple, rows), key=str), window)
+
+    return parts, read()
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Add ``n_words``, ``hit_spans`` and ``hit_items`` (sorted as strings) to each document.
+    """Add ``n_words``, ``hit_spans``, ``hit_items`` (sorted as strings) and ``matches`` to each document.
 
     A word is hit if it lies in any occurrence of a window: ``window`` consecutive words of an
     item, or all words of a shorter item. Null and blank texts and items have no words, so an
     empty benchmark hits nothing. An item with a null id hits but is not listed; items that
-    share an id are one. Columns with these names are replaced.
+    share an id are one. ``matches`` has the longest match of each test suffix that holds a window,
+    at one place of each shard. Columns with these names are replaced.
+    """
+    spark, hits = docs.sparkSession, free_name(docs, "hits")
+    parts, blocks = _blocks(spark, benchmark, scratch, window)
+    for k, block in enumerate(blocks):
+        sent = spark.sparkContext.broadcast(block)
+        found = hits_column(F.col(text_col), sent, window)
+        if parts == 1:
+            docs = docs.withColumn(hits, found)
+            break
+        # One block's hits are added to those before and written, so one broadcast is held at a time.
+        now = free_name(docs.withColumn(hits, F.lit(0)), "now")
+        whole = docs.withColumn(now, found)
+        if k:
+            one, two = F.col(hits), F.col(now)
+            merged = F.struct(
+                one["n_words"].alias("n_words"), F.array_sort(F.concat(one["spans"], two["spans"])).alias("spans"),
+                F.array_sort(F.array_distinct(F.concat(one["items"], two["items"]))).alias("items"), F.concat(one["matches"], two["matches"]).alias("matches"),
+            )
+        else:
+            merged = F.col(now)
+        docs = scratch.cut(whole.withColumn(hits, merged).drop(now), f"hits-{k}")
+        sent.destroy()
+        if k:
+            scratch.drop(f"hits-{k - 1}")
+    names = {"n_words": "n_words", "hit_spans": "spans", "hit_items": "items", "matches": "matches"}
+    return docs.withColumns({n: F.col(hits)[f] for n, f in names.items()}).drop(hits)
+
+
+def longest_matches(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(item, start, length, key, first): the longest verbatim match of each test suffix over all shards.
+
+    ``found`` comes from ``with_hits``. Suffixes whose match goes on from the one before are part of
+    it; of equally long matches the one with the least key and place stays.
     """
-    spark = docs.sparkSession
-    names = []
-    for k, block in enumerate(_blocks(spark, benchmark, scratch, window)):
-        names.append(f"_hits_{k}")
-        docs = docs.withColumn(names[-1], hits_column(F.col(text_col), spark.sparkContext.broadcast(block)))
-    spans = F.array_sort(F.concat(*[F.col(f"{n}.spans") for n in names])) if len(names) > 1 else F.col(f"{names[0]}.spans")
-    items = F.array_sort(F.array_distinct(F.concat(*[F.col(f"{n}.items") for n in names]))) if len(names) > 1 else F.col(f"{names[0]}.items")
-    return docs.withColumns({"n_words": F.col(f"{names[0]}.n_words"), "hit_spans": spans, "hit_items": items}).drop(*names)
+    each = found.select(key, F.inline("matches"))
+    best = F.min(F.struct((-F.col("length")).alias("short"), F.col(key).alias(key), F.col("first").alias("first"))).alias("m")
+    return each.groupBy("item", "start").agg(best).select("item", "start", (-F.col("m.short")).alias("length"), F.col(f"m.{key}").alias(key), F.col("m.first").alias("first"))
 
 
 def n_hit() -> Column:
@@ -299,8 +403,9 @@ def n_hit() -> Column:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Rows of ``docs`` in which no test window occurs, with the same columns."""
-    marked = with_hits(docs.withColumn("_text", F.col(text_col)).select(F.struct(*docs.columns).alias("_row"), "_text"), benchmark, scratch, "_text", window)
-    return marked.filter(F.size("hit_spans") == 0).select("_row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = with_hits(docs.select(row, F.col(text_col).alias("searched")), benchmark, scratch, "searched", window)
+    return marked.filter(F.size("hit_spans") == 0).select("row.*")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,6 +419,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.array_max(F.transform("hit_spans", lambda s: s["last"] - s["first"] + 1)).alias("longest_hit_run"),
     )
 
 

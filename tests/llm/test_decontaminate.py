@@ -113,3 +113,83 @@ def test_cutting_in_slabs(monkeypatch):
     for a, b in zip(D.words_of(text.encode()), whole):
         assert np.array_equal(a, b)
     assert [whole[0][a:b].tobytes().decode() for a, b in zip(whole[1], whole[2])] == words(text)
+
+
+def longest_brute(docs, items, window=10):
+    """{(item, start): length} of test suffixes that hold a window, without those that go on from one before."""
+    texts = [words(t) for _, t in docs]
+    out = {}
+    for name, item in items:
+        iw = words(item)
+        need = min(window, len(iw))
+        for i in range(len(iw)):
+            best = 0
+            for w in texts:
+                for j in range(len(w)):
+                    n = 0
+                    while i + n < len(iw) and j + n < len(w) and w[j + n] == iw[i + n]:
+                        n += 1
+                    best = max(best, n)
+            if need and best >= need:
+                out[name, i] = max(best, out.get((name, i), 0))
+    return out
+
+
+@pytest.mark.parametrize("block", [150_000, 25])
+def test_longest_match_and_place_of_each_test_suffix(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "BLOCK_WORDS", block)
+    rng = random.Random(6)
+    vocab = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(rng.choices(vocab, k=rng.choice([3, 14, 22])))) for k in range(8)]
+    docs = []
+    for k in range(30):
+        own = " ".join(rng.choices(vocab, k=25))
+        if k % 3 == 0:
+            w = rng.choice(items)[1].split()
+            at = rng.randrange(len(w))
+            own += " " + " ".join(w[at : at + rng.randrange(1, 22)]) + " " + " ".join(rng.choices(vocab, k=5))
+        docs.append((k, own))
+    found = D.with_hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), Scratch(spark, "t"))
+    got = {(int(r.item), r.start): r for r in D.longest_matches(found).collect()}
+    want = longest_brute(docs, items)
+    texts, tests = {k: words(t) for k, t in docs}, {k: words(t) for k, t in items}
+    for (item, start), r in got.items():
+        assert texts[r.doc_id][r.first : r.first + r.length] == tests[item][start : start + r.length]
+        if block > 25:
+            assert r.length == want[item, start]
+    if block > 25:
+        heads = {k for k in want if want.get((k[0], k[1] - 1)) != want[k] + 1}
+        assert heads and heads <= got.keys() <= want.keys()
+    else:
+        assert got
+
+
+def test_whole_query_against_brute_force(spark):
+    """Each document of a table against every window of every item, by a plain set of windows."""
+    sf = "/root/testdata/sf0.01"
+    items = [(str(r.item_id), words(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    table = {}
+    for name, w in items:
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            table.setdefault(n, {}).setdefault(tuple(w[i : i + n]), set()).add(name)
+    rows = {r.doc_id: r for r in D.op6_decontaminate(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        w, hit, names = words(d.text), set(), set()
+        for n, wanted in table.items():
+            for j in range(len(w) - n + 1):
+                if tuple(w[j : j + n]) in wanted:
+                    hit |= {*range(j, j + n)}
+                    names |= wanted[tuple(w[j : j + n])]
+        r = rows[d.doc_id]
+        told = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(names), told, bool(hit))
+
+
+def test_clashing_columns_stay(spark):
+    docs, bench = planted(spark)
+    docs = docs.selectExpr("doc_id", "text", "1 as _row", "2 as hits", "3 as now", "4 as matches", "5 as row")
+    kept = D.remove_contaminated(docs, bench, Scratch(spark, "t"))
+    assert kept.columns == docs.columns and {tuple(r)[2:] for r in kept.collect()} == {(1, 2, 3, 4, 5)}
