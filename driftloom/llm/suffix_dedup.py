@@ -6,7 +6,8 @@ that can hold equal strings at all:
 
 1. Each string of LENGTH bytes has one anchor, the least hashed GRAM-byte string inside it. Equal
    strings have equal anchors at equal places, so only places with equal anchors can match. One
-   shuffle groups the anchors; an anchor that occurs once proves its strings unique.
+   shuffle groups the anchors; an anchor that occurs once proves its strings unique. Tasks combine
+   equal regions before it, so what is in very many texts costs its anchor's task few rows.
 2. An anchor's region is all strings that share it. Equal regions are one entry, with their
    first place; a region that occurs again is a repeat as a whole.
 3. Where an anchor has different regions, suffix arrays decide: a task concatenates its regions
@@ -18,7 +19,7 @@ that can hold equal strings at all:
    still has very many different regions, a fixed passage at the rim of which texts differ, is taken
    apart into its strings, which are grouped by a 128-bit digest, so that no task holds them all.
 
-Whole copies of a text are found first, by length and two hashes, and give no anchors.
+Whole copies of a text are found first, by their SHA-256, and give no anchors.
 """
 
 from __future__ import annotations
@@ -103,29 +104,54 @@ def slabs(n: int) -> Iterator[tuple[int, int]]:
         at += SLAB_BYTES
 
 
-ANCHOR = "array<struct<anchor:bigint,region:bigint,place:bigint>>"
+ANCHOR = "doc long, th long, anchor long, region long, place long, again boolean, deal long"
 #: A place packs start, number of strings and offset of the anchor into one long.
 _N_BITS, _OFFSET_BITS = 7, 7
+#: Anchors that a task combines before they are shuffled.
+CHUNK_ANCHORS = 400_000
 
 
-def anchors_column(text: Column) -> Column:
-    """All anchors of each whole text."""
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of whole texts (doc, th, text), combined in chunks before the shuffle.
 
-    def find(texts: pa.Array) -> pa.Array:
-        ends, parts = [0], [[], [], []]
-        for t in texts.cast(pa.large_binary()):
-            raw, n = np.frombuffer(t.as_py() or b"", np.uint8), 0
+    Of equal regions in a chunk only the first by (doc, th, start) is dealt out by its anchor. The
+    others are repeats whatever comes from elsewhere: they are marked ``again`` and dealt evenly,
+    so a passage that is in every document sends a few rows of a chunk to its anchor's task.
+    """
+
+    def combined(held: list[tuple]) -> pa.RecordBatch:
+        doc, th, anchor, region, place = map(np.concatenate, zip(*held))
+        order = np.lexsort((place, th, doc, region, anchor))
+        a, r = anchor[order], region[order]
+        again = np.zeros(len(order), bool)
+        again[order[1:]] = (a[1:] == a[:-1]) & (r[1:] == r[:-1])
+        own = [x[order] for x in (doc, th, place)]
+        # Rows that are given twice are one place, not a repeat of each other: they share a mark.
+        own = [x[order] for x in (doc, th, place)]
+        twice = (a[1:] == a[:-1]) & (r[1:] == r[:-1]) & np.logical_and.reduce([x[1:] == x[:-1] for x in own])
+        lead = np.arange(len(order))
+        lead[1:][twice] = 0
+        again[order] = again[order][np.maximum.accumulate(lead)]
+        even = _mixed((doc ^ place * 31 ^ th).view(np.uint64)).view(np.int64)
+        columns = [doc, th, anchor.view(np.int64), region.view(np.int64), place, again, np.where(again, even, anchor.view(np.int64))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "th", "anchor", "region", "place", "again", "deal"])
+
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        texts = batch.column(2).cast(pa.large_binary())
+        for doc, th, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
+            raw = np.frombuffer(t.as_py() or b"", np.uint8)
             for a, b in slabs(len(raw)):
                 h, region, start, count, offset = anchors(raw[a:b])
                 packed = (start + a) << (_N_BITS + _OFFSET_BITS) | count << _OFFSET_BITS | offset
-                for out, x in zip(parts, (h.view(np.int64), region.view(np.int64), packed)):
-                    out.append(x)
-                n += len(h)
-            ends.append(ends[-1] + n)
-        columns = [pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in parts]
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["anchor", "region", "place"]))
-
-    return F.arrow_udf(find, ANCHOR)(text)
+                held.append((np.full(len(h), doc, np.int64), np.full(len(h), th, np.int64), h, region, packed))
+                size += len(h)
+            if size >= CHUNK_ANCHORS:
+                yield combined(held)
+                held, size = [], 0
+    if held:
+        yield combined(held)
 
 
 def _start(place: Column) -> Column:
@@ -283,15 +309,18 @@ def repeats(firsts: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     ``firsts`` has (doc, th, text), a row for each distinct text: its least document and hash.
     ``texts`` has at least these rows; regions are cut from it without finding the firsts again.
     """
-    found = firsts.select("doc", "th", F.inline(anchors_column(F.col("text"))))
-    # One shuffle by anchor serves the count of places, the regions and their first places.
-    same = Window.partitionBy("anchor")
-    first = F.min(F.struct("doc", "th", _start(F.col("place")).alias("start"))).over(Window.partitionBy("anchor", "region"))
-    seen = found.withColumn("places", F.count("*").over(same)).filter("places > 1").withColumn("first", first)
-    seen = scratch.cut(seen.withColumn("again", F.col("first") != F.struct("doc", "th", _start(F.col("place")).alias("start"))), "seen", release=True)
+    found = firsts.select("doc", "th", "text").mapInArrow(_anchor_rows, ANCHOR)
+    # One shuffle, of what tasks have combined, serves the count of places, the regions and their first places.
+    same = Window.partitionBy("deal")
+    me = F.struct("doc", "th", _start(F.col("place")).alias("start"))
+    first = F.min(me).over(Window.partitionBy("deal", "region"))
+    seen = found.withColumn("places", F.count("*").over(same)).filter("places > 1 or again").withColumn("first", first)
+    seen = seen.withColumn("again", F.col("again") | (F.col("first") != me)).select("doc", "th", "anchor", "region", "place", "again")
+    seen = scratch.cut(seen, "seen", release=True)
     whole = seen.filter("again").select("doc", "th", _start(F.col("place")).alias("start"), _count(F.col("place")).alias("n"))
     # Regions that occur first, of anchors with several regions.
-    alone = seen.filter(~F.col("again")).drop("again", "first", "places").repartition("anchor").distinct().withColumn("regions", F.count("*").over(same)).filter("regions > 1")
+    alone = seen.filter(~F.col("again")).drop("again").repartition("anchor").distinct()
+    alone = alone.withColumn("regions", F.count("*").over(Window.partitionBy("anchor"))).filter("regions > 1")
     alone = scratch.cut(alone.select("doc", "th", "anchor", "regions", "place"), "regions")
     wanted = alone.groupBy("doc", "th").agg(F.collect_list(F.struct("anchor", "regions", "place")).alias("r"))
     raw = F.encode("text", "utf-8")
@@ -373,7 +402,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     keyed = docs.select("doc_id", text.alias("text")).withColumns({
         "doc": F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")),
         "th": F.xxhash64("text"),
-        "copy": F.struct(F.xxhash64("text"), F.crc32("text"), F.octet_length("text")),
+        "copy": F.sha2("text", 256),
     })
     ids = scratch.cut(keyed.filter(F.octet_length("text") >= LENGTH).select("doc", "th", "copy"), "ids")
     first = ids.groupBy("copy").agg(F.min(F.struct("doc", "th")).alias("first"))
