@@ -6,6 +6,7 @@ Documents stay JSON text; members are exploded to rows and compared by full oute
 from __future__ import annotations
 
 import difflib
+import json
 import re
 from collections.abc import Iterator
 
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftloom.operators.listings import clean
+
 #: Similarity of descriptions from which a removed and an added tool are one that was renamed.
 RENAME_SIMILARITY = 0.6
 
@@ -22,7 +25,7 @@ def members(docs: DataFrame, keys: list[str], document: str, path: str, name: st
     """(keys, name, value, at): named members of a JSON array; of equal names the last one wins."""
     items = F.from_json(F.get_json_object(document, f"$.{path}"), "array<string>")
     rows = docs.select(*keys, F.posexplode(items).alias("at", "value"))
-    rows = rows.withColumn("name", F.nullif(F.trim(F.get_json_object("value", f"$.{name}")), F.lit(""))).filter("name is not null")
+    rows = rows.withColumn("name", clean(F.get_json_object("value", f"$.{name}"))).filter("name is not null")
     last = Window.partitionBy(*keys, "name").orderBy(F.desc("at"))
     return rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
 
@@ -54,14 +57,17 @@ def tool_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFr
     return b.join(a, [*keys, "name"], "full_outer").select(*keys, F.col("name").alias("tool"), F.explode(kinds).alias("kind"))
 
 
-def parameter_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+def parameter_changes(before: DataFrame, after: DataFrame, keys: list[str], tools: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(keys, tool, name, kind) between the parameters of tools that both sides have.
 
+    ``tools`` are the members of both sides; without them a tool is known by its parameters only.
+
     A rest of the schema that differs is told only where type and description are equal.
     """
     b = before.select(*keys, "tool", "name", F.col("value").alias("b"), F.col("required").alias("rb"))
     a = after.select(*keys, "tool", "name", F.col("value").alias("a"), F.col("required").alias("ra"))
-    there = b.select(*keys, "tool").distinct().union(a.select(*keys, "tool").distinct()).groupBy(*keys, "tool").count().filter("count = 2").drop("count")
+    own = [t.select(*keys, F.col("name").alias("tool")) for t in tools] if tools else [b.select(*keys, "tool").distinct(), a.select(*keys, "tool").distinct()]
+    there = own[0].join(own[1], [*keys, "tool"])
     differ = lambda f: ~F.get_json_object("b", f"$.{f}").eqNullSafe(F.get_json_object("a", f"$.{f}"))
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     kinds = _kind([
@@ -104,13 +110,20 @@ def _similarity(a: str | None, b: str | None) -> float:
     return difflib.SequenceMatcher(None, cut(a or ""), cut(b or ""), autojunk=False).ratio()
 
 
+def _alike(old: dict, new: dict) -> float:
+    """1 for equal schemas that have parameters, else the similarity of descriptions that both have."""
+    if old["schema"] and old["schema"] == new["schema"] and json.loads(old["schema"]).get("properties"):
+        return 1.0
+    return _similarity(old["text"], new["text"]) if old["text"] and new["text"] else 0.0
+
+
 def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         out = []
         for r in f.itertuples():
             left = list(r.added)
             for old in r.removed:
-                scored = [(1.0 if old["schema"] and old["schema"] == x["schema"] else _similarity(old["text"], x["text"]), k) for k, x in enumerate(left)]
+                scored = [(_alike(old, x), k) for k, x in enumerate(left)]
                 best = max(scored, key=lambda s: (s[0], -s[1]), default=(0.0, -1))
                 if best[0] >= RENAME_SIMILARITY:
                     out.append((r.transition, old["name"], left.pop(best[1])["name"], best[0]))
@@ -123,7 +136,7 @@ def renames(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     Removed tools choose in document order, each the most similar tool that is left. The sequence
     is of one document's tools, never of a table.
     """
-    own = lambda t: t.select(F.col(key).cast("string").alias("transition"), "name", "at", F.get_json_object("value", "$.inputSchema").alias("schema"), F.get_json_object("value", "$.description").alias("text"))
+    own = lambda t: t.select(F.col(key).cast("string").alias("transition"), "name", "at", F.get_json_object("value", "$.inputSchema").alias("schema"), clean(F.get_json_object("value", "$.description")).alias("text"))
     b, a = own(before), own(after)
     listed = lambda x, y, n: x.join(y.select("transition", "name"), ["transition", "name"], "left_anti").groupBy("transition").agg(F.array_sort(F.collect_list(F.struct("at", "name", "schema", "text"))).alias(n))
     both = listed(b, a, "removed").join(listed(a, b, "added"), "transition")

@@ -31,10 +31,11 @@ def repository(document: Column) -> Column:
     return clean(F.when(raw.startswith("{"), F.get_json_object(raw, "$.url")).otherwise(raw))
 
 
-def endpoints(document: Column) -> Column:
-    """Sorted URLs of the remotes; repeated URLs count."""
+def endpoints(document: Column, distinct: bool = False) -> Column:
+    """Sorted URLs of the remotes; repeated URLs count, but not in the set form."""
     urls = F.transform(_items(document, "$.server.remotes"), lambda r: clean(F.get_json_object(r, "$.url")))
-    return F.array_sort(F.array_compact(urls))
+    found = F.array_sort(F.array_compact(urls))
+    return F.array_distinct(found) if distinct else found
 
 
 def primary_endpoint(document: Column) -> Column:
@@ -66,8 +67,10 @@ def secret_inputs(document: Column) -> Column:
 
     def secrets(item: Column, path: str, mark: str) -> Column:
         inputs = F.coalesce(F.from_json(F.get_json_object(item, path), "array<string>"), F.array().cast("array<string>"))
-        named = F.filter(inputs, lambda x: F.get_json_object(x, "$.isSecret") == "true")
-        return F.transform(named, lambda x: F.concat(F.lit(mark), F.coalesce(F.get_json_object(x, "$.name"), F.lit("?"))))
+        # The JSON text of a true is not that of "true".
+        own = lambda x: F.from_json(x, "map<string,string>")
+        named = F.filter(inputs, lambda x: F.coalesce(x.rlike(r'"isSecret"\s*:\s*true\b') & (own(x)["isSecret"] == "true") & clean(own(x)["name"]).isNotNull(), F.lit(False)))
+        return F.transform(named, lambda x: F.concat(F.lit(mark), clean(own(x)["name"])))
 
     headers = F.flatten(F.transform(_items(document, "$.server.remotes"), lambda r: secrets(r, "$.headers", "header:")))
     variables = F.flatten(F.transform(_items(document, "$.server.packages"), lambda p: secrets(p, "$.environmentVariables", "env:")))

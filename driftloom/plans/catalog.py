@@ -13,32 +13,9 @@ from pyspark.sql.window import Window
 
 from driftloom.functions import canonical, text
 from driftloom.operators import chain, changes, divergence, ingest, severity, stats
+from driftloom.plans.registry import oracle_sql, query, queries  # noqa: F401
 from driftloom.session import table
 
-_QUERIES: dict = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    """Register a function of (spark, sf_dir) under its name, with its SQL if there is one."""
-
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if oracle:
-            _ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def queries() -> dict:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
-
-
 def order_steps(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(
         F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("obs_id"), F.col("o_orderdate").cast("timestamp").alias("at"),
@@ -460,3 +437,6 @@ def q55_reconcile_probes(spark, d):
     a = t.select("doc_id", F.when(F.col("toxic") == 1, "timeout").otherwise("ok").alias("status"), F.col("quality").cast("string").alias("hash"))
     b = t.select("doc_id", F.when(F.col("doc_id") % 7 == 0, "unreachable").otherwise("ok").alias("status"), F.when(F.col("doc_id") % 3 == 0, 1).otherwise(F.col("quality")).cast("string").alias("hash"))
     return ingest.reconcile(a, b, "doc_id").groupBy("status").agg(F.count("*").alias("n"))
+
+
+from driftloom.plans import manifests  # noqa: E402, F401  registers its queries

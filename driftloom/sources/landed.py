@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom.operators.listings import clean
+
 _TRACE = r"^(?:\[pid\s+\d+\]\s+|\d+\s+)?(\d+\.\d+)\s+(\w+)\((.*)$"
 
 
@@ -35,7 +37,7 @@ def version_rows(spark: SparkSession, path: str) -> DataFrame:
     """(name, published_at, is_latest, status, document, malformed) of landed listing lines."""
     doc = spark.read.text(path).withColumnRenamed("value", "document")
     meta = "$._meta['io.modelcontextprotocol.registry/official']"
-    name = F.nullif(F.trim(F.get_json_object("document", "$.server.name")), F.lit(""))
+    name = clean(F.get_json_object("document", "$.server.name"))
     return doc.select(
         name.alias("name"),
         F.try_to_timestamp(F.get_json_object("document", f"{meta}.publishedAt")).alias("published_at"),
