@@ -17,18 +17,19 @@ def in_order() -> WindowSpec:
     return Window.partitionBy("key").orderBy("at", "obs_id")
 
 
-def verdicts(steps: DataFrame, since: Column | None = None, until: Column | None = None, unchanged: bool = False) -> DataFrame:
+def verdicts(steps: DataFrame, since: Column | None = None, until: Column | None = None, unchanged: bool = False, identity: list[str] | None = None) -> DataFrame:
     """Emitted steps with ``verdict``, ``from_obs``, ``from_at``, ``from_content`` and ``change_id``.
 
     The previous state is the last present one, however many absences lie between. ``until`` cuts
     the history before the walk; ``since`` only cuts what is emitted, so that the state before it
     is still known. An absence before any presence, a repeated absence, and an equal state emit
-    nothing; a return is emitted even if the state is the same.
+    nothing; a return is emitted even if the state is the same. ``identity`` columns of the
+    previous state come back as ``from_<name>``.
     """
     if until is not None:
         steps = steps.filter(F.col("at") < until)
     before = in_order().rowsBetween(Window.unboundedPreceding, -1)
-    state = F.when(~F.col("absent"), F.struct("obs_id", "at", "content"))
+    state = F.when(~F.col("absent"), F.struct("obs_id", "at", "content", *(identity or [])))
     walked = steps.withColumns({
         "previous": F.last(state, ignorenulls=True).over(before),
         "gone": F.coalesce(F.lag("absent").over(in_order()), F.lit(False)),
@@ -52,10 +53,27 @@ def verdicts(steps: DataFrame, since: Column | None = None, until: Column | None
         "from_obs": F.when(~fresh, F.col("previous.obs_id")),
         "from_at": F.when(~fresh, F.col("previous.at")),
         "from_content": F.when(~fresh, F.col("previous.content")),
+        **{f"from_{c}": F.when(~fresh, F.col(f"previous.{c}")) for c in identity or []},
     })
     return out.withColumn("change_id", change_id(F.col("key"), F.col("from_obs"), F.col("obs_id"))).drop("previous", "gone")
 
 
+def with_identity(found: DataFrame, predecessors: DataFrame, identity: list[str]) -> DataFrame:
+    """Verdicts with ``replaced`` and ``renamed``.
+
+    A mutation is a replacement if an identity column is set on both sides and differs; gaining or
+    losing one is not. A new key with a predecessor (key, predecessor) was renamed.
+    """
+    moved = F.exists(F.array(*[F.coalesce(F.col(c) != F.col(f"from_{c}"), F.lit(False)) for c in identity]), lambda x: x)
+    joined = found.join(predecessors.select("key", "predecessor"), "key", "left")
+    verdict = (
+        F.when((F.col("verdict") == "mutated") & moved, "replaced")
+        .when((F.col("verdict") == "new") & F.col("predecessor").isNotNull(), "renamed")
+        .otherwise(F.col("verdict"))
+    )
+    return joined.withColumn("verdict", verdict)
+
+
 def change_id(key: Column, from_obs: Column, to_obs: Column) -> Column:
     """Sixteen hex digits that name a change by its key and both observations."""
     text = F.concat_ws("|", key.cast("string"), F.coalesce(from_obs.cast("string"), F.lit("-")), to_obs.cast("string"))

@@ -439,4 +439,4 @@ def q55_reconcile_probes(spark, d):
     return ingest.reconcile(a, b, "doc_id").groupBy("status").agg(F.count("*").alias("n"))
 
 
-from driftloom.plans import manifests  # noqa: E402, F401  registers its queries
+from driftloom.plans import manifests, release  # noqa: E402, F401  register their queries
