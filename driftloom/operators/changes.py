@@ -30,24 +30,61 @@ def json_keys_changed(before: Column, after: Column) -> Column:
 def predecessors(identities: DataFrame) -> DataFrame:
     """(key, predecessor): another key that ended before this one began, by repository, else endpoint.
 
-    Two equi joins with a residual inequality; the repository wins, then the least key.
+    The repository wins, then the least key. No pairs are made: the ends and beginnings of an
+    identity are one sequence in time, and what counts at a beginning is the least key that has
+    ended. A month of an identity is one sequence; the months before it come as their minimum.
     """
-    new = identities.alias("n")
     found = None
     for rank, col in enumerate(("repo", "endpoint")):
-        same = (F.col(f"n.{col}") == F.col(f"o.{col}")) & (F.col("n.key") != F.col("o.key")) & (F.col("o.last_seen") <= F.col("n.first_seen"))
-        pairs = new.join(identities.alias("o"), same).select(F.col("n.key").alias("key"), F.lit(rank).alias("rank"), F.col("o.key").alias("old"))
-        best = pairs.groupBy("key", "rank").agg(F.min("old").alias("old"))
+        best = _least_ended(identities.select(F.col(col).alias("id"), "key", "first_seen", "last_seen").filter("id is not null"))
+        best = best.select("key", F.lit(rank).alias("rank"), "old")
         found = best if found is None else found.unionByName(best)
     return found.groupBy("key").agg(F.min_by("old", "rank").alias("predecessor"))
 
 
+def _least_ended(spans: DataFrame) -> DataFrame:
+    """(key, old): the least other key of the same ``id`` that ended at or before the key's beginning."""
+    event = lambda t, begins: F.struct(F.col(t).alias("t"), F.lit(begins).alias("begins"))
+    events = spans.select("id", "key", F.inline(F.array(event("last_seen", 0), event("first_seen", 1)))).withColumn("part", F.date_trunc("month", F.col("t").cast("timestamp")))
+    ended = F.when(F.col("begins") == 0, F.col("key"))
+    order = Window.partitionBy("id", "part").orderBy("t", "begins", "key")
+    upto, past = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    following = F.when((F.lead("begins").over(order) == 0) & (F.lead("t").over(order) == F.col("t")), F.lead("key").over(order))
+    # A key can end at its own beginning; if it is the least, the next least is beside its end.
+    seen = events.withColumns({"least": F.min(ended).over(upto), "others": F.least(F.min(ended).over(past), following)})
+    parts = events.groupBy("id", "part").agg(F.min(ended).alias("own"))
+    earlier = Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select("id", "part", F.min("own").over(earlier).alias("before"))
+    joined = seen.join(before, ["id", "part"])
+    at = joined.groupBy("key").agg(
+        F.max(F.when(F.col("begins") == 1, F.least("least", "before"))).alias("least"), F.max(F.when(F.col("begins") == 0, F.least("others", "before"))).alias("others")
+    )
+    old = F.when(F.col("least") != F.col("key"), F.col("least")).otherwise(F.col("others"))
+    return at.filter("least is not null").select("key", old.alias("old")).filter("old is not null")
+
+
+#: Parts of a group that are ranked by themselves before the few that are left are ranked together.
+RANK_PARTS = 64
+
+
+def first_of(rows: DataFrame, group: str, order: list[Column | str], k: Column | int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows split in (the first ``k`` of each group by ``order``, the rest), where ``k`` is ``most`` at most.
+
+    Parts of a group rank first, so a task never sorts a whole group.
+    """
+    part = F.pmod(F.xxhash64(*order), F.lit(RANK_PARTS))
+    near = rows.withColumn("_part", part).withColumn("_n", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order))).drop("_part")
+    few = near.filter(F.col("_n") <= most).withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    rest = near.filter(F.col("_n") > most).unionByName(few.filter(F.col("_n") > k))
+    return few.filter(F.col("_n") <= k).drop("_n"), rest.drop("_n")
+
+
 def budgeted(rows: DataFrame, group: str, order: str, allowed: Column, budget: int) -> DataFrame:
-    """``chosen`` or a reason for each row: the first ``budget`` allowed rows of a group."""
-    w = Window.partitionBy(group).orderBy(F.col("_ok").desc(), order)
-    ranked = rows.withColumn("_ok", allowed).withColumn("_n", F.row_number().over(w))
-    reason = F.when(~F.col("_ok"), "not_allowed").when(F.col("_n") > budget, "over_budget").otherwise("chosen")
-    return ranked.withColumn("outcome", reason).drop("_ok", "_n")
+    """``outcome`` of each row: the first ``budget`` allowed rows of a group are chosen, the others have a reason."""
+    chosen, over = first_of(rows.filter(allowed), group, [F.col(order)], budget, budget)
+    refused = rows.filter(~F.coalesce(allowed, F.lit(False)))
+    told = lambda df, outcome: df.withColumn("outcome", F.lit(outcome))
+    return told(chosen, "chosen").unionByName(told(over, "over_budget")).unionByName(told(refused, "not_allowed"))
 
 
 def allocate(sizes: dict[str, int], total: int, floor: int = 5) -> dict[str, int]:
@@ -70,8 +107,8 @@ def stratified(rows: DataFrame, stratum: str, key: str, total: int, seed: int, f
     quota = F.lit(0)
     for s, q in allocate(sizes, total, floor).items():
         quota = F.when(F.col(stratum) == s, q).otherwise(quota)
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), key), key)
-    return rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= quota).drop("_n")
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    return first_of(rows, stratum, [order, F.col(key)], quota, total)[0]
 
 
 def replay(changes: DataFrame, policies: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Capability patterns of declared texts, in output order.
 DECLARED = {
@@ -99,6 +100,28 @@ def observed(call: Column, args: Column) -> Column:
     return F.get(observed_all(call, args), 0)
 
 
+def counts_in_windows(windows: DataFrame, events: DataFrame, session: str, call: str, part: str = "day") -> DataFrame:
+    """(call, n): events (session, at) inside each closed window (session, call, start, end); windows without one are left out.
+
+    No pairs are made: events, starts and ends of a session are one sequence, and a window's count
+    is the running count at its end less that before its start. A ``part`` of the time of a session
+    is one sequence; parts before it come as their totals.
+    """
+    none = F.lit(None)
+    rows = events.select(session, F.col("at"), F.lit(1).alias("turn"), none.cast(windows.schema[call].dataType).alias(call))
+    for col, turn in (("start", 0), ("end", 2)):
+        rows = rows.unionByName(windows.select(session, F.col(col).alias("at"), F.lit(turn).alias("turn"), call))
+    rows = rows.withColumn("part", F.date_trunc(part, F.col("at").cast("timestamp")))
+    own = F.when(F.col("turn") == 1, 1).otherwise(0)
+    running = F.sum(own).over(Window.partitionBy(session, "part").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0))
+    totals = rows.groupBy(session, "part").agg(F.sum(own).alias("own"))
+    earlier = Window.partitionBy(session).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(session, "part", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("before"))
+    marks = rows.withColumn("n", running).join(before, [session, "part"]).filter("turn <> 1")
+    sign = F.when(F.col("turn") == 2, 1).otherwise(-1)
+    return marks.groupBy(call).agg(F.sum(sign * (F.col("n") + F.col("before"))).alias("n")).filter("n > 0")
+
+
 def in_windows(events: DataFrame, windows: DataFrame, session: str) -> DataFrame:
     """Events inside the closed windows (start, end, tool) of their session.
 

@@ -149,3 +149,41 @@ def coverage_ratio(runs: DataFrame, size: str) -> DataFrame:
 def health_report(checks: DataFrame) -> DataFrame:
     """One row: ``ok`` is whether all checks are, ``failed`` names those that are not."""
     return checks.agg(F.bool_and("ok").alias("ok"), F.array_join(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("name")))), ",").alias("failed"))
+
+
+def after_key(rows: DataFrame, key: str, last: DataFrame) -> DataFrame:
+    """Rows whose key is above the last one that was done (one row ``last``; null: none was)."""
+    return rows.join(F.broadcast(last)).filter(F.col("last").isNull() | (F.col(key) > F.col("last"))).drop("last")
+
+
+def gate(expected: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows that are missing or spurious, each as often as it is; none means that both sides agree."""
+    return expected.exceptAll(seen).withColumn("fault", F.lit("missing")).unionByName(seen.exceptAll(expected).withColumn("fault", F.lit("spurious")))
+
+
+def augmented(rules: Column, model: Column) -> Column:
+    """Capabilities of the rules, and those that a model adds; no model, or none of its, takes any away."""
+    return F.array_union(rules, F.coalesce(model, F.array().cast("array<string>")))
+
+
+def resolved(items: DataFrame, labels: DataFrame, item: str, layer: str, fallback: str) -> DataFrame:
+    """Items with the rows of the layer they were drawn from; an item without a layer takes the fallback."""
+    own = items.withColumn(layer, F.coalesce(F.col(layer), F.lit(fallback)))
+    return own.join(labels, [item, layer])
+
+
+def response_of(body: Column, wanted: Column) -> Column:
+    """The message that answers request ``wanted`` in a body of one message or a list of them.
+
+    Without one of that id a lone reply (a result or an error) stands for it; else null.
+    """
+    listed = F.coalesce(F.from_json(F.when(F.ltrim(body).startswith("["), body), "array<string>"), F.when(F.ltrim(body).startswith("{"), F.array(body)))
+    get = lambda m, n: F.get_json_object(m, f"$.{n}")
+    replies = F.filter(listed, lambda m: get(m, "result").isNotNull() | get(m, "error").isNotNull())
+    own = F.filter(replies, lambda m: get(m, "id") == wanted.cast("string"))
+    return F.coalesce(F.get(own, 0), F.when(F.size(replies) == 1, F.get(replies, 0)))
+
+
+def trimmed(values: Column, longest: int = 1500, most: int = 40) -> Column:
+    """The first ``most`` texts for a prompt, each cut after ``longest`` characters with a mark."""
+    return F.transform(F.slice(values, 1, most), lambda v: F.when(F.length(v) > longest, F.concat(F.substring(v, 1, longest), F.lit("..."))).otherwise(v))

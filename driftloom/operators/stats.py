@@ -23,31 +23,39 @@ def histogram(rows: DataFrame, value: Column, ceilings: list[tuple[str, float |
     return names.join(counts, "k", "left").select("bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def nearest_rank(rows: DataFrame, value: str, fractions: list[float]) -> DataFrame:
-    """(fraction, value): the element at min(n - 1, floor(f * n)) of the sorted values.
+def elements_at(rows: DataFrame, value: str, places) -> DataFrame:
+    """(fraction, value): elements of the sorted values; ``places`` gives (fraction, place) pairs for their number.
 
-    Values are counted first; places in the running count need no sort of all rows in one task
-    beyond the distinct values of a range.
+    Values are counted first and the counts kept for the three passes over them: edges of ranges,
+    totals of ranges, and the running count inside a range. No task sorts more than a range.
     """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    # Sorted in two steps: within ranges of the value, then the ranges' totals.
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    if not total:
-        return rows.sparkSession.createDataFrame([], f"fraction double, {value} double")
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c")).persist()
     edges = counts.stat.approxQuantile("v", [k / 64 for k in range(1, 64)], 0.01)
     part = reduce(lambda a, e: a + (F.col("v") > F.lit(e)).cast("int"), sorted(set(edges)), F.lit(0))
     ranged = counts.withColumn("part", part)
-    before, at = {}, 0
+    before, total = {}, 0
     for r in ranged.groupBy("part").agg(F.sum("c").alias("c")).orderBy("part").collect():
-        before[r.part], at = at, at + r.c
+        before[r.part], total = total, total + r.c
+    if not total:
+        return rows.sparkSession.createDataFrame([], f"fraction double, {value} double")
     start = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv]), F.col("part").cast("long"))
     upto = F.sum("c").over(Window.partitionBy("part").orderBy("v")) + start
-    places = [(f, min(total - 1, int(f * total))) for f in fractions]
-    wanted = F.explode(F.array(*[F.struct(F.lit(f).alias("fraction"), F.lit(p).cast("long").alias("place")) for f, p in places]))
+    wanted = F.explode(F.array(*[F.struct(F.lit(float(f)).alias("fraction"), F.lit(p).cast("long").alias("place")) for f, p in places(total)]))
     placed = ranged.withColumns({"to": upto}).select("v", "c", "to", wanted.alias("w"))
     return placed.filter((F.col("w.place") < F.col("to")) & (F.col("w.place") >= F.col("to") - F.col("c"))).select(F.col("w.fraction").alias("fraction"), F.col("v").cast("double").alias(value))
 
 
+def nearest_rank(rows: DataFrame, value: str, fractions: list[float]) -> DataFrame:
+    """(fraction, value): the element at min(n - 1, floor(f * n)) of the sorted values."""
+    return elements_at(rows, value, lambda n: [(f, min(n - 1, int(f * n))) for f in fractions])
+
+
+def median(rows: DataFrame, value: str) -> DataFrame:
+    """One row: the mean of the two middle values, which are one for an odd number; null without values."""
+    middle = elements_at(rows, value, lambda n: [(0, (n - 1) // 2), (1, n // 2)])
+    return middle.agg(F.avg(value).alias(f"median_{value}"))
+
+
 def kappa(pairs: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """Cohen's kappa of two raters' labels: n, observed, expected, kappa (null if expected is 1)."""
     by = by or []

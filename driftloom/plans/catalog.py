@@ -166,13 +166,14 @@ def q16_nearest_rank(spark, d):
 @query(_GAPS + "SELECT count(*) AS n, median(gap) AS median_days, min(gap) AS min_days, max(gap) AS max_days FROM g")
 def q17_gap_summary(spark, d):
     g = chain.transitions(order_steps(spark, d))
-    return g.agg(F.count("*").alias("n"), F.median("gap_days").alias("median_days"), F.min("gap_days").alias("min_days"), F.max("gap_days").alias("max_days"))
+    bounds = g.agg(F.count("gap_days").alias("n"), F.min("gap_days").alias("min_days"), F.max("gap_days").alias("max_days"))
+    return bounds.join(F.broadcast(stats.median(g, "gap_days").withColumnRenamed("median_gap_days", "median_days")))  # one row each
 
 
 @query(_GAPS + "SELECT concat(coalesce(was_status, '?'), ' -> ', status) AS step, count(*) AS n FROM g GROUP BY step")
 def q18_status_transitions(spark, d):
-    rows = order_steps(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("obs_id"), "o_orderstatus"), "obs_id")
-    t = chain.transitions(rows.withColumn("content", F.col("o_orderstatus")))
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("obs_id"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderstatus").alias("content"))
+    t = chain.transitions(rows)
     return t.groupBy(F.concat_ws(" -> ", F.coalesce("was", F.lit("?")), "content").alias("step")).agg(F.count("*").alias("n"))
 
 
@@ -240,8 +241,8 @@ def q25_identity_moved(spark, d):
 SELECT call, count(*) AS n FROM w JOIN events e ON e.user_id = w.user_id AND e.ts BETWEEN a AND b GROUP BY call""")
 def q26_events_in_windows(spark, d):
     e = table(spark, d, "events")
-    w = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("call"), F.col("ts").alias("a"), F.expr("ts + interval 1 hour").alias("b"))
-    return w.join(e.select("user_id", "ts"), "user_id").filter("ts between a and b").groupBy("call").agg(F.count("*").alias("n"))
+    w = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("call"), F.col("ts").alias("start"), F.expr("ts + interval 1 hour").alias("end"))
+    return divergence.counts_in_windows(w, e.select("user_id", F.col("ts").alias("at")), "user_id", "call")
 
 
 @query("""WITH x AS (SELECT p_type, p_size, min(p_brand) AS v FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL), y AS (SELECT p_type, p_size, min(p_brand) AS v FROM part WHERE p_partkey % 2 = 1 GROUP BY ALL)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftloom.functions import canonical
 from driftloom.functions.fixed import AUTH_HINTS, CREDENTIAL_HINTS, DEPENDENCY_HINTS, HIGH_SIGNAL_FLAGS
 from driftloom.operators import chain, exercise, ingest, records, release
 from driftloom.plans import catalog
 from driftloom.plans.registry import query
 from driftloom.session import table
+from driftloom.streaming import walk
 
 _KINDS = "list_filter([CASE l_returnflag WHEN 'A' THEN 'tool_added' WHEN 'N' THEN 'tool_description_changed' ELSE 'schema_param_added' END, CASE WHEN l_linenumber = 1 THEN 'tool_removed' END], lambda x: x IS NOT NULL)"
 _FLAGS = "list_filter([CASE WHEN l_discount >= 0.07 THEN 'network_param_added' END, CASE WHEN l_tax >= 0.05 THEN 'tool_count_grew' END], lambda x: x IS NOT NULL)"
@@ -329,3 +331,75 @@ _SCHEMA = """concat('{"properties":{"base_url":{"type":"string"},"inner":{"prope
 def q96_schema_profiles(spark, d):
     found = table(spark, d, "part").select("p_partkey", exercise.schema_capabilities(F.expr(_SCHEMA)).alias("c"))
     return found.select("p_partkey", F.array_join(F.array_sort(F.array_distinct(F.transform("c", lambda x: x["capability"]))), ",").alias("capabilities"))
+
+
+@query("SELECT event_id, sha256(concat('{\"a\":{\"type\":\"', event_type, '\"},\"required\":[\"a\",\"b\"],\"z\":', user_id, '}')) AS sha FROM events")
+def q97_canonical_documents(spark, d):
+    """Keys out of order, keys that change on every answer, and a list whose order means nothing."""
+    text = """concat('{"z":', user_id, ',"requestId":"', event_id, '","required":["b","a"],"a":{"Time-stamp":1,"type":"', event_type, '","mcp_session_id":"s"}}')"""
+    return table(spark, d, "events").select("event_id", canonical.canonical_hash(F.expr(text)).alias("sha"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey > (SELECT max(o_custkey) // 2 FROM orders WHERE o_orderstatus = 'P')")
+def q98_keyset_resume(spark, d):
+    last = table(spark, d, "orders").filter("o_orderstatus = 'P'").agg(F.expr("max(o_custkey) div 2").alias("last"))
+    return records.after_key(table(spark, d, "customer").select("c_custkey"), "c_custkey", last)
+
+
+@query("""WITH a AS (SELECT p_brand, p_type FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_brand, p_type FROM part WHERE p_partkey % 2 = 1)
+SELECT p_brand, p_type, 'missing' AS fault FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT p_brand, p_type, 'spurious' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+def q99_fixture_gate(spark, d):
+    t = table(spark, d, "part")
+    return records.gate(t.filter("p_partkey % 2 = 0").select("p_brand", "p_type"), t.filter("p_partkey % 2 = 1").select("p_brand", "p_type"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'network,subprocess' WHEN p_size % 3 = 1 THEN 'network' ELSE 'network,filesystem_read' END AS capabilities FROM part")
+def q100_augmented(spark, d):
+    model = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("network"), F.lit("subprocess"))).when(F.col("p_size") % 3 == 2, F.array(F.lit("filesystem_read")))
+    return table(spark, d, "part").select("p_partkey", F.array_join(records.augmented(F.array(F.lit("network")), model), ",").alias("capabilities"))
+
+
+@query("""WITH i AS (SELECT doc_id, CASE WHEN toxic = 0 THEN 'manifest' ELSE 'registry' END AS layer FROM labels), d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'registry' ELSE 'manifest' END AS layer, source FROM documents)
+SELECT layer, count(*) AS n FROM i JOIN d USING (doc_id, layer) GROUP BY layer""")
+def q101_items_by_layer(spark, d):
+    items = table(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "registry").alias("layer"))
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "registry").otherwise("manifest").alias("layer"), "source")
+    return records.resolved(items, rows, "doc_id", "layer", "manifest").groupBy("layer").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 3 = 0 THEN CAST(event_id AS VARCHAR) WHEN user_id % 3 = 1 THEN '7' END AS answer FROM events")
+def q102_responses(spark, d):
+    body = """case user_id % 3 when 0 then concat('[{"id":1,"result":"no"},{"id":', event_id + 10, ',"result":"', event_id, '"},{"method":"note"}]')
+    when 1 then concat('{"id":-1,"result":"7"}') else concat('[{"id":-1,"result":"7"},{"id":-2,"error":"8"}]') end"""
+    return table(spark, d, "events").select("event_id", F.get_json_object(records.response_of(F.expr(body), F.col("event_id") + 10), "$.result").alias("answer"))
+
+
+@query("SELECT conv_id, list_reduce(list_transform(list(text ORDER BY turn)[1:3], lambda x: CASE WHEN length(x) > 50 THEN substr(x, 1, 50) || '...' ELSE x END), lambda a, b: a || '|' || b) AS shown FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def q103_trimmed(spark, d):
+    rows = table(spark, d, "conversations").filter("text is not null")
+    said = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))  # turns of one conversation
+    return said.select("conv_id", F.array_join(records.trimmed(F.transform("t", lambda x: x["text"]), 50, 3), "|").alias("shown"))
+
+
+@query(f"WITH {catalog._EVENT_STEPS}{catalog._WALK}SELECT verdict, count(*) AS n FROM v GROUP BY verdict")
+def q52_stream_walk(spark, d):
+    """The walk as a stream over the events that have landed, which gives what the batch gives."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/[e]vents.parquet")  # a pattern may also be a file
+    steps = events.select(
+        F.col("user_id").alias("key"), F.col("event_id").alias("obs_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("content"), (F.col("event_type") == "error").alias("absent"),
+    )
+    return walk.landed(spark, walk.stream_verdicts(steps)).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query("SELECT host, n FROM (SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, count(*) AS n FROM pages GROUP BY host) ORDER BY n DESC, host LIMIT 1")
+def q104_busiest_host(spark, d):
+    return release.top(table(spark, d, "pages").select(F.lower(F.parse_url("url", F.lit("AUTHORITY"))).alias("host")), "host", 1)
+
+
+@query("SELECT verdict, content, CASE WHEN grouping(content) = 1 THEN 'all' ELSE 'each' END AS level, count(*) AS n FROM (" + f"WITH {catalog._STEPS}{catalog._WALK}SELECT verdict, content FROM v) GROUP BY GROUPING SETS ((verdict, content), (verdict))")
+def q105_tallies(spark, d):
+    """Tallies of verdicts by content, and of each verdict as a whole, in one pass."""
+    v = chain.verdicts(catalog.order_steps(spark, d))
+    level = F.when(F.grouping("content") == 1, "all").otherwise("each").alias("level")
+    return v.rollup("verdict", "content").agg(level, F.count("*").alias("n"), F.grouping("verdict").alias("g")).filter("g = 0").select("verdict", "content", "level", "n")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from driftloom.session import shared_folder
+
 OUTPUT = "key long, obs_id long, verdict string"
 STATE = "content string, seen boolean, gone boolean"
 
@@ -33,3 +36,14 @@ def _walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
 def stream_verdicts(steps: DataFrame) -> DataFrame:
     """Verdicts of a stream of steps (key, obs_id, at, content, absent) that comes in order."""
     return steps.groupBy("key").applyInPandasWithState(_walk, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def landed(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """What a stream gives for all input that is there now, as a table in the shared folder.
+
+    The sink and its checkpoint are there too, so a query that is stopped goes on where it was.
+    """
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
