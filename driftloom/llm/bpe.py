@@ -40,11 +40,11 @@ LATIN_PIECES = (
 )
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 #: Cached pieces of one worker; a piece over LONG_PIECE characters is not cached.
-CACHE_PIECES, LONG_PIECE = 600_000, 64
+CACHE_PIECES, LONG_PIECE = 300_000, 64
 #: Pieces that are cut before their new ones are merged together; a longer text is cut in parts.
-CHUNK_PIECES = 200_000
+CHUNK_PIECES = 100_000
 #: New pieces that share one array of trees; pieces over LONG_PIECE characters have a tree each.
-MANY = 8_000
+MANY = 4_000
 
 
 def byte_chars() -> list[str]:

@@ -29,7 +29,7 @@ from driftloom.llm.shared import Scratch, free_name, table
 
 WINDOW = 10
 #: Words of the test side in one broadcast (about 60 MB with its windows); training words in one suffix array.
-BLOCK_WORDS, SHARD_WORDS = 150_000, 1_500_000
+BLOCK_WORDS, SHARD_WORDS = 150_000, 750_000
 #: Bytes that are cut into words at once; longer texts are cut in steps that end between words.
 SLAB_BYTES = 4 << 20
 

@@ -33,6 +33,8 @@ SHINGLE, SEED, MAX_BITS = 3, 42, 2
 PAIRS = list(combinations(range(4), 2))
 #: Children of a tree node; fingerprints of an upper node from which it has nodes of its own below.
 FAN_OUT, HOT_NODE = 16, 50_000
+#: Nodes of a level that a block of queries visits at once; a block with more is halved.
+MOST_VISITS = 1_000_000
 #: Rows of whole groups that a task gathers before it compares them; shingles hashed at once.
 CHUNK_ROWS, CHUNK_SHINGLES = 200_000, 65_536
 
@@ -127,8 +129,11 @@ class GrayForest:
             out.append(np.where(low == high, low, -1))
         return out
 
-    def near(self, queries: np.ndarray, roots: np.ndarray, label: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, entry) index pairs below the queries' upper nodes, within ``limit`` bits and of different labels."""
+    def near(self, queries: np.ndarray, roots: np.ndarray, label: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """(query, entry) index pairs below the queries' upper nodes, within ``limit`` bits and of different labels.
+
+        None where several queries would visit over ``MOST_VISITS`` nodes of a level at once.
+        """
         alike = self._one_label(label)
         q, node = queries, roots
         apart = np.zeros(len(q), np.uint8)
@@ -139,6 +144,8 @@ class GrayForest:
             q, node, apart = q[keep], node[keep], apart[keep]
             below = self.first[k]
             count = below[node + 1] - below[node]
+            if len(queries) > 1 and count.sum() > MOST_VISITS:
+                return None
             node = np.repeat(below[node] - np.cumsum(count) + count, count) + np.arange(count.sum())
             q, apart = np.repeat(q, count), np.repeat(apart, count)
         apart = apart + np.bitwise_count((self.codes[q] ^ self.codes[node]) & self.inner[node])
@@ -153,12 +160,15 @@ def shard_links(group: np.ndarray, codes: np.ndarray, limit: int = MAX_BITS) ->
     """
     forest, label = GrayForest(group, codes), np.arange(len(codes))
     roots = np.searchsorted(forest.group, group)
-    step = max(4096, len(codes) // 64)
-    for at in range(0, len(codes), step):
-        some = np.arange(at, min(at + step, len(codes)))
-        q, entry = forest.near(some, roots[some], label, limit)
-        if len(q):
-            label = _join(label, q, entry)
+    step = max(1024, len(codes) // 64)
+    todo = [np.arange(at, min(at + step, len(codes))) for at in range(0, len(codes), step)][::-1]
+    while todo:
+        some = todo.pop()
+        found = forest.near(some, roots[some], label, limit)
+        if found is None:  # the first half links first, which prunes for the second
+            todo += [some[len(some) // 2 :], some[: len(some) // 2]]
+        elif len(found[0]):
+            label = _join(label, *found)
     linked = np.flatnonzero(label != np.arange(len(label)))
     return codes[linked], codes[label[linked]]
 

@@ -128,7 +128,9 @@ def test_every_fingerprint_is_searched_in_the_hierarchy(spark, sf, monkeypatch):
     searched, found, near = [], [], S.GrayForest.near
 
     def watched(self, queries, roots, label, limit):
-        q, entry = near(self, queries, roots, label, limit)
+        if (pair := near(self, queries, roots, label, limit)) is None:
+            return None
+        q, entry = pair
         searched.append(len(queries))
         found.extend(zip(self.codes[q].tolist(), self.codes[entry].tolist()))
         return q, entry
@@ -161,3 +163,11 @@ def test_clashing_column_names_stay(spark):
     kept = S.keep_one(docs, Scratch(spark, "t"))
     assert kept.columns == docs.columns
     assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
+
+
+@pytest.mark.parametrize("most", [1, 50])
+def test_small_blocks_change_nothing(monkeypatch, most):
+    codes = _gray(_clustered(600, random.Random(3)))
+    want = S.tree_labels(codes)
+    monkeypatch.setattr(S, "MOST_VISITS", most)
+    assert np.array_equal(S.tree_labels(codes), want)
