@@ -1,4 +1,4 @@
-"""Corpus operators for training data: ten operators and the queries that apply them.
+"""Corpus operators for training data: thirteen operators and the queries that apply them.
 
 Nothing outside this subpackage imports it.
 """
@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("langid", "bpe", "quality_rules", "simhash", "near_copies", "decontaminate", "pii", "quality_classifier", "html_text", "sharding", "suffix_dedup")
+_MODULES = ("langid", "bpe", "quality_rules", "simhash", "near_copies", "decontaminate", "pii", "quality_classifier", "html_text", "sharding", "suffix_dedup", "neighbours", "lexical", "whitening")
 
 
 def _loaded():
