@@ -11,14 +11,13 @@ scores are the sum over its subwords, so prediction adds rows of a small table.
 
 from __future__ import annotations
 
-import re
-import sys
 import zlib
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +33,7 @@ WANTED_ACCURACY = 0.99
 UNKNOWN = "und"
 CACHED_WORDS, CACHED_GRAMS, LONG_WORD = 600_000, 200_000, 40
 
-# Word characters without what counts, not spells (fractions, Roman and circled numerals): \p{L}.
-_NUMERALS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_WORD = regex.compile(r"\p{L}+")
 
 
 class _Slots(dict):

@@ -27,11 +27,11 @@ from driftloom.llm.vectors import finite_rows
 #: Neighbours given, neighbours kept for each vector, and new or old ones that join in a round.
 NEAREST, DEGREE, SAMPLED = 20, 32, 16
 #: Best partners that a member of a group proposes; rounds at most, and share of new neighbours that ends them.
-PROPOSED, ROUNDS, SETTLED = 8, 10, 0.02
+PROPOSED, ROUNDS, SETTLED = 8, 10, 0.03
 #: Vectors of a first group (sorted by a random code), and how many such sorts.
 RUN, SORTS, SPLITS = 512, 2, 16
 #: Best found that a search keeps, those followed in a round, rounds at most, and those scored exactly.
-POOL, FOLLOWED, SEARCH_ROUNDS, SCORED = 384, 96, 10, 96
+POOL, FOLLOWED, SEARCH_ROUNDS, SCORED = 320, 144, 10, 96
 #: Vectors whose groups are handled at once.
 PART = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
