@@ -217,7 +217,6 @@ def _merged(turn: int, state: pa.Table, found: pa.Table) -> pa.Table:
 def neighbour_graph(points: DataFrame, count: int, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
     """``STATE`` of encoded vectors: each with its nearest found, nearest first, by NN-descent."""
     parts = max(1, -(-count // PART))
-    coarse = max(1, parts // 8)
     first = None
     for k in range(SORTS):
         dealt = points.select("u", "dir", "norm", "lift", f"code{k}").repartitionByRange(max(1, min(parts // 4, 4096)), f"code{k}", F.xxhash64("u"))
@@ -226,7 +225,7 @@ def neighbour_graph(points: DataFrame, count: int, scratch: Scratch, rounds: int
     empty = points.select("u", "dir", "norm", "lift", F.expr("cast(array() as array<bigint>)").alias("nbr"), F.expr("cast(array() as array<float>)").alias("sim"), F.expr("cast(array() as array<boolean>)").alias("new"))
 
     def merge(state: DataFrame, found: DataFrame, turn: int) -> DataFrame:
-        sides = state.groupBy(_part(F.col("u"), coarse)).cogroup(found.groupBy(_part(F.col("u"), coarse)))
+        sides = state.groupBy(_part(F.col("u"), parts)).cogroup(found.groupBy(_part(F.col("u"), parts)))
         return scratch.cut(sides.applyInArrow(partial(_merged, turn), STATE), f"graph-{turn}", release=True)
 
     state = merge(empty, first, 0)
@@ -351,11 +350,10 @@ def search(state: DataFrame, asked: DataFrame, count: int, scratch: Scratch) ->
     start = state.join(asked.withColumnRenamed("q", "u"), "u", "left_semi")
     pools = start.select(F.col("u").alias("q"), F.col("dir").alias("qdir"), F.array("u").alias("ids"), F.array(F.col("norm")).alias("sims"), own("boolean", False).alias("done"))
     pools = scratch.cut(pools, "pools-0", release=True)
-    spread = max(1, parts // 8)
     for turn in range(1, SEARCH_ROUNDS + 2):
         asks = pools.mapInArrow(_asks, "q long, qdir binary, limit float, node long")
         found = asks.groupBy(_part(F.col("node"), parts)).cogroup(index.groupBy(_part(F.col("node"), parts))).applyInArrow(_followed, "u long, v long, sim float")
-        sides = pools.groupBy(_part(F.col("q"), spread)).cogroup(found.groupBy(_part(F.col("u"), spread)))
+        sides = pools.groupBy(_part(F.col("q"), parts)).cogroup(found.groupBy(_part(F.col("u"), parts)))
         pools = scratch.cut(sides.applyInArrow(_pooled, POOLS), f"pools-{turn}", release=True)
         scratch.drop(f"pools-{turn - 1}")
         if pools.filter(F.exists("done", lambda x: ~x)).isEmpty():
