@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftloom.functions.typed import changed_members
+
 
 def named_diff(before: DataFrame, after: DataFrame, keys: list[str], name: str, value: str) -> DataFrame:
     """Members by name: ``added``, ``removed``, ``changed`` or ``same``, with both values."""
@@ -21,10 +23,8 @@ def named_diff(before: DataFrame, after: DataFrame, keys: list[str], name: str,
 
 
 def json_keys_changed(before: Column, after: Column) -> Column:
-    """Sorted top-level keys whose values differ between two JSON objects; null is absent."""
-    b, a = (F.coalesce(F.from_json(x, "map<string,string>"), F.create_map().cast("map<string,string>")) for x in (before, after))
-    keys = F.array_sort(F.array_union(F.map_keys(b), F.map_keys(a)))
-    return F.filter(keys, lambda k: ~F.try_element_at(b, k).eqNullSafe(F.try_element_at(a, k)))
+    """Sorted top-level keys whose values differ between two JSON objects as Python compares; null is absent."""
+    return changed_members(before, after, "python")
 
 
 def predecessors(identities: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Change sets of documents: one row a change, with its kind, path, both sides and detail.
 
-Documents are canonical JSON text, so sub-documents compare as text. A change is a struct of
+Documents are canonical JSON text, so sub-documents compare as text, in which strings keep their quotes. A change is a struct of
 ``at`` (its place in the report: section, name, step, part), ``kind``, ``path``, ``tool``,
 ``before``, ``after`` and ``detail``. Only named members are joined; what is inside one tool is
 compared by array expressions, without a shuffle.
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions.fixed import MANIFEST_PARTS, TOOL_PARTS
 from driftloom.functions.text import token_diff
+from driftloom.functions.typed import changed_members, object_text, typed_at, typed_members
 from driftloom.operators import documents, listings
 from driftloom.operators.severity import TEXT_KINDS
 
@@ -59,7 +60,7 @@ def _if(test: Column, change: Column) -> Column:
 def _tool_changes(section: int, tool: Column, b: Column, a: Column) -> Column:
     """Changes between two states of one tool, in report order."""
     get = F.get_json_object
-    differ = lambda path: ~get(b, path).eqNullSafe(get(a, path))
+    differ = lambda path: ~typed_at(b, path).eqNullSafe(typed_at(a, path))
     at = lambda *names: F.concat_ws("/", F.lit("tools"), tool, *[F.lit(n) if isinstance(n, str) else n for n in names])
     out = [
         _if(differ(f"$.{f}"), _change(section, tool, k, None, kind, at(f), tool, get(b, f"$.{f}"), get(a, f"$.{f}")))
@@ -77,7 +78,7 @@ def _tool_changes(section: int, tool: Column, b: Column, a: Column) -> Column:
 
     def edited(n: Column) -> Column:
         x, y = item(pb, n), item(pa, n)
-        kind, text = ~get(x, "$.type").eqNullSafe(get(y, "$.type")), ~get(x, "$.description").eqNullSafe(get(y, "$.description"))
+        kind, text = (~typed_at(x, f"$.{f}").eqNullSafe(typed_at(y, f"$.{f}")) for f in ("type", "description"))
         return F.concat(
             _if(kind, _change(section, tool, 5, n, "param_type_changed", where(n), tool, get(x, "$.type"), get(y, "$.type"))),
             _if(text, _change(section, tool, 5, n, "param_description_changed", where(n), tool, get(x, "$.description"), get(y, "$.description"))),
@@ -88,11 +89,10 @@ def _tool_changes(section: int, tool: Column, b: Column, a: Column) -> Column:
     out.append(F.flatten(each(both, edited)))
     out.append(each(F.array_intersect(F.array_except(ra, rb), ka), lambda n: _change(section, tool, 6, n, "param_became_required", where(n), tool, F.lit(None), F.lit(None))))
     out.append(each(F.array_intersect(F.array_except(rb, ra), both), lambda n: _change(section, tool, 7, n, "param_became_optional", where(n), tool, F.lit(None), F.lit(None))))
-    frame = lambda x: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_filter(parts_of(get(x, "$.inputSchema")), lambda k, _: ~k.isin("properties", "required"))))))
+    frame = lambda x: object_text(F.map_filter(typed_members(get(x, "$.inputSchema")), lambda k, _: ~k.isin("properties", "required")))
     out.append(_if(frame(b) != frame(a), _change(section, tool, 8, None, "tool_field_changed", at("inputSchema"), tool, frame(b), frame(a))))
     tb, ta = parts_of(b), parts_of(a)
-    others = F.array_except(F.array_union(F.map_keys(tb), F.map_keys(ta)), F.array(*map(F.lit, TOOL_PARTS)))
-    changed = F.filter(others, lambda n: ~item(tb, n).eqNullSafe(item(ta, n)))
+    changed = F.array_except(changed_members(b, a), F.array(*map(F.lit, TOOL_PARTS)))
     out.append(each(changed, lambda n: _change(section, tool, 9, n, "tool_field_changed", at(n), tool, item(tb, n), item(ta, n))))
     return F.concat(*out)
 
@@ -136,10 +136,9 @@ def manifest_changes(pairs: DataFrame, key: str, before: str, after: str) -> Dat
     top = []
     for k, (part, kind) in enumerate((("serverInfo", "server_info_changed"), ("capabilities", "capabilities_changed"))):
         p, q = F.get_json_object(before, f"$.{part}"), F.get_json_object(after, f"$.{part}")
-        top.append(_if(~p.eqNullSafe(q), _change(6, F.lit(None).cast("string"), k, None, kind, F.lit(part), None, p, q)))
+        top.append(_if(~typed_at(F.col(before), f"$.{part}").eqNullSafe(typed_at(F.col(after), f"$.{part}")), _change(6, F.lit(None).cast("string"), k, None, kind, F.lit(part), None, p, q)))
     tb, ta = parts_of(F.col(before)), parts_of(F.col(after))
-    others = F.array_sort(F.array_except(F.array_union(F.map_keys(tb), F.map_keys(ta)), F.array(*map(F.lit, MANIFEST_PARTS))))
-    changed = F.filter(others, lambda n: ~F.try_element_at(tb, n).eqNullSafe(F.try_element_at(ta, n)))
+    changed = F.array_except(changed_members(F.col(before), F.col(after)), F.array(*map(F.lit, MANIFEST_PARTS)))
     top.append(F.transform(changed, lambda n: _change(7, n, 0, None, "manifest_field_changed", n, None, F.try_element_at(tb, n), F.try_element_at(ta, n))))
     return _told(rows.unionByName(pairs.select(key, F.explode(F.concat(*top)).alias("c"))), keys)
 
@@ -169,8 +168,7 @@ def listing_rows(pairs: DataFrame, key: str, before: str, after: str) -> DataFra
         one(7, "registry_status_changed", "_meta/status", differ(*status), *status),
     ]
     pb, pa = parts_of(get(b, "$.server")), parts_of(get(a, "$.server"))
-    others = F.array_sort(F.array_except(F.array_union(F.map_keys(pb), F.map_keys(pa)), F.array(*map(F.lit, listings.MODELLED))))
-    changed = F.filter(others, lambda n: ~F.try_element_at(pb, n).eqNullSafe(F.try_element_at(pa, n)))
+    changed = F.array_except(changed_members(get(b, "$.server"), get(a, "$.server")), F.array(*map(F.lit, listings.MODELLED)))
     found.append(F.transform(changed, lambda n: _change(1, n, 0, None, "server_field_changed", F.concat(F.lit("server/"), n), None, F.try_element_at(pb, n), F.try_element_at(pa, n))))
     return _told(pairs.select(key, F.explode(F.concat(*found)).alias("c")), [key])
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftloom.functions.typed import string_at, typed_at
+
 # Capability patterns of declared texts, in output order.
 DECLARED = {
     "network": (
@@ -29,7 +31,7 @@ DECLARED = {
         r"authentication|authorization|oauth|login|signin|bearer|session)\b"
     ),
 }
-#: The same of parameter names, and of formats of parameters.
+# The same of parameter names, and of formats of parameters.
 PARAMETERS = {
     "network": r"(url|uri|endpoint|host|hostname|domain|webhook|callback|address|link|server|proxy|port|api_base|base_url)",
     "filesystem_read": r"(path|file|filename|filepath|dir|directory|folder|source|input_file|location|document)",
@@ -38,7 +40,7 @@ PARAMETERS = {
     "credential_access": r"(token|api_?key|apikey|secret|password|passwd|credential|auth|bearer|access_token|client_secret)",
 }
 NETWORK_FORMATS = ["uri", "url", "iri", "hostname", "idn-hostname", "ipv4", "ipv6"]
-#: Reads that tell nothing: a runtime that loads itself, name lookup and trust stores.
+# Reads that tell nothing (a runtime that loads itself, name lookup and trust stores), and paths of secrets.
 NOISE = (
     r"^(/usr/|/lib/|/lib64/|/proc/|/sys/|/dev/|/etc/ld\.so|/etc/localtime|/etc/nsswitch\.conf|/etc/host\.conf|/etc/gai\.conf|/srv/server/node_modules/"
     r"|/srv/server/venv/|/srv/probe/|/home/prober/\.npm/|/home/prober/\.cache/|/etc/ssl/|/etc/pki/|/etc/ca-certificates|/usr/share/ca-)"
@@ -66,7 +68,7 @@ def declared_parameter(name: Column, schema: Column) -> Column:
     hit = lambda c: F.struct(F.lit(c).alias("capability"), name.alias("evidence"))
     named = [F.when(low.rlike(p), hit(c)) for c, p in PARAMETERS.items()]
     named.append(F.when(form.isin(*NETWORK_FORMATS), hit("network")))
-    return F.concat(F.array_compact(F.array(*named)), declared(F.get_json_object(schema, "$.description")))
+    return F.concat(F.array_compact(F.array(*named)), declared(string_at(schema, "$.description")))
 
 
 def declared_tool(tool: Column) -> Column:
@@ -75,7 +77,7 @@ def declared_tool(tool: Column) -> Column:
     text = F.concat_ws(" ", F.regexp_replace(get("$.name"), "[_-]", " "), get("$.description"))
     props = F.from_json(F.coalesce(get("$.inputSchema.properties"), get("$.input_schema.properties")), "map<string,string>")
     params = F.flatten(F.transform(F.map_entries(props), lambda e: declared_parameter(e["key"], e["value"])))
-    writes = F.when(get("$.annotations.readOnlyHint") == "false", F.struct(F.lit("filesystem_write").alias("capability"), F.lit("annotations.readOnlyHint is false").alias("evidence")))
+    writes = F.when(typed_at(tool, "$.annotations.readOnlyHint") == "false", F.struct(F.lit("filesystem_write").alias("capability"), F.lit("annotations.readOnlyHint is false").alias("evidence")))
     none = F.array().cast("array<struct<capability:string,evidence:string>>")
     return F.concat(declared(text), F.coalesce(params, none), F.array_compact(F.array(writes)))
 

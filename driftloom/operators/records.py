@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftloom.functions.fixed import AUTH_CODES, AUTH_HINTS, AUTH_STATUSES, CAPABILITY_CLASSES, CREDENTIAL_HINTS, DEPENDENCY_HINTS, LAUNCH_STATUS
+from driftloom.functions.typed import typed_at
 
 
 def to_iso(at: Column) -> Column:
@@ -116,7 +117,7 @@ def candidates(listings: DataFrame, key: str, document: str, versions: str) -> D
     first = F.get(F.filter(packages, lambda p: F.coalesce(fits(p), F.lit(False))), 0)
     remotes = F.coalesce(F.from_json(get(document, "$.server.remotes"), "array<string>"), F.array().cast("array<string>"))
     some = listings.withColumn("_p", first).filter(F.col("_p").isNotNull() & (F.size(remotes) == 0))
-    secret = F.exists(F.coalesce(F.from_json(get("_p", "$.environmentVariables"), "array<string>"), F.array().cast("array<string>")), lambda v: F.coalesce(get(v, "$.isSecret") == "true", F.lit(False)))
+    secret = F.exists(F.coalesce(F.from_json(get("_p", "$.environmentVariables"), "array<string>"), F.array().cast("array<string>")), lambda v: F.coalesce(typed_at(v, "$.isSecret") == "true", F.lit(False)))
     stratum = F.concat_ws("/", get("_p", "$.registryType"), version_bucket(F.col(versions)), F.when(secret, "secret").otherwise("nosecret"))
     return some.select(key, get("_p", "$.registryType").alias("registry_type"), get("_p", "$.identifier").alias("identifier"), stratum.alias("stratum"))
 
