@@ -24,7 +24,7 @@ def tokens(text: Column) -> Column:
 
 def split_name(name: Column) -> Column:
     """A name in snake, kebab, dotted or camel case as words with spaces."""
-    parts = F.split(name, r"[_\-.\s]+|(?<=[a-z0-9])(?=[A-Z])")
+    parts = F.split(name, rf"[_\-.{_BLANK}]+|(?<=[a-z0-9])(?=[A-Z])")
     return F.array_join(F.array_remove(parts, ""), " ")
 
 

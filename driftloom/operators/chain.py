@@ -17,7 +17,7 @@ def in_order() -> WindowSpec:
     return Window.partitionBy("key").orderBy("at", "obs_id")
 
 
-def verdicts(steps: DataFrame, since: Column | None = None, until: Column | None = None, unchanged: bool = False, identity: list[str] | None = None) -> DataFrame:
+def verdicts(steps: DataFrame, since: Column | None = None, until: Column | None = None, unchanged: bool = False, identity: list[str] | None = None, part: str | None = None) -> DataFrame:
     """Emitted steps with ``verdict``, ``from_obs``, ``from_at``, ``from_content`` and ``change_id``.
 
     The previous state is the last present one, however many absences lie between. ``until`` cuts
@@ -25,15 +25,21 @@ def verdicts(steps: DataFrame, since: Column | None = None, until: Column | None
     is still known. An absence before any presence, a repeated absence, and an equal state emit
     nothing; a return is emitted even if the state is the same. ``identity`` columns of the
     previous state come back as ``from_<name>``.
+
+    With ``part`` (a unit of ``date_trunc``) a key's history is walked in parts of time, each from the
+    state that the parts before it leave, which is one row a part: so no task holds a long history whole.
     """
     if until is not None:
         steps = steps.filter(F.col("at") < until)
     before = in_order().rowsBetween(Window.unboundedPreceding, -1)
     state = F.when(~F.col("absent"), F.struct("obs_id", "at", "content", *(identity or [])))
-    walked = steps.withColumns({
-        "previous": F.last(state, ignorenulls=True).over(before),
-        "gone": F.coalesce(F.lag("absent").over(in_order()), F.lit(False)),
-    })
+    if part is None:
+        walked = steps.withColumns({
+            "previous": F.last(state, ignorenulls=True).over(before),
+            "gone": F.coalesce(F.lag("absent").over(in_order()), F.lit(False)),
+        })
+    else:
+        walked = _walked_in_parts(steps, state, part)
     had = F.col("previous").isNotNull()
     same = F.col("previous.content").eqNullSafe(F.col("content"))
     verdict = (
@@ -58,6 +64,21 @@ def verdicts(steps: DataFrame, since: Column | None = None, until: Column | None
     return out.withColumn("change_id", change_id(F.col("key"), F.col("from_obs"), F.col("obs_id"))).drop("previous", "gone")
 
 
+def _walked_in_parts(steps: DataFrame, state: Column, part: str) -> DataFrame:
+    """Steps with ``previous`` and ``gone``; equal to one window over the key."""
+    cut = steps.withColumn("_part", F.date_trunc(part, F.col("at").cast("timestamp")))
+    order = Window.partitionBy("key", "_part").orderBy("at", "obs_id")
+    place = F.struct("at", "obs_id")
+    ends = cut.groupBy("key", "_part").agg(
+        F.max_by(state, F.when(~F.col("absent"), place)).alias("_last"), F.max_by("absent", place).alias("_gone"),
+    )
+    parts = Window.partitionBy("key").orderBy("_part")
+    carried = ends.select("key", "_part", F.last("_last", ignorenulls=True).over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("_came"), F.lag("_gone").over(parts).alias("_was"))
+    own = cut.withColumns({"_own": F.last(state, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "_lag": F.lag("absent").over(order)})
+    both = own.join(carried, own["key"].eqNullSafe(carried["key"]) & own["_part"].eqNullSafe(carried["_part"])).drop(carried["key"], carried["_part"])
+    return both.withColumns({"previous": F.coalesce("_own", "_came"), "gone": F.coalesce("_lag", "_was", F.lit(False))}).drop("_part", "_own", "_came", "_lag", "_was")
+
+
 def with_identity(found: DataFrame, predecessors: DataFrame, identity: list[str]) -> DataFrame:
     """Verdicts with ``replaced`` and ``renamed``.
 

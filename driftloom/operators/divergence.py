@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftloom.functions.typed import string_at, typed_at
+from driftloom.operators.stats import wilson
 
 # Capability patterns of declared texts, in output order.
 DECLARED = {
@@ -124,20 +125,63 @@ def counts_in_windows(windows: DataFrame, events: DataFrame, session: str, call:
     return marks.groupBy(call).agg(F.sum(sign * (F.col("n") + F.col("before"))).alias("n")).filter("n > 0")
 
 
-def in_windows(events: DataFrame, windows: DataFrame, session: str) -> DataFrame:
-    """Events inside the closed windows (start, end, tool) of their session.
+def call_windows(calls: DataFrame, settle: float = 0.75) -> DataFrame:
+    """Closed windows (.., start, end) of calls (.., start, end as seconds): the end comes ``settle`` seconds later.
 
-    An equi join on the session with a residual range; an event counts in each window it is in.
+    A failed call without an end has a window of the settle time.
     """
-    return windows.join(events, session).filter((F.col("at") >= F.col("start")) & (F.col("at") <= F.col("end")))
+    return calls.withColumn("end", F.coalesce("end", "start") + F.lit(settle))
+
+
+def in_windows(events: DataFrame, windows: DataFrame, session: str, width: float | None = None) -> DataFrame:
+    """Events (session, at) inside the closed windows (start, end, ..) of their session, in each that they are in.
+
+    Times are seconds or timestamps. The time of a session is cut into buckets of ``width`` seconds (by
+    default twice the mean length of a window), a window stands in every bucket that it touches and an
+    event in one, so rows meet by (session, bucket): a session with a third of all events is spread over
+    its buckets, and pairs are made only of what is near in time.
+    """
+    seconds = lambda df, c: F.unix_micros(c) / 1e6 if df.schema[c].dataType.typeName() == "timestamp" else F.col(c).cast("double")
+    for c in ("start", "end"):
+        if windows.schema[c].dataType.typeName() == "timestamp_ntz":
+            windows = windows.withColumn(c, F.col(c).cast("timestamp"))
+    if events.schema["at"].dataType.typeName() == "timestamp_ntz":
+        events = events.withColumn("at", F.col("at").cast("timestamp"))
+    if width is None:
+        mean = windows.agg(F.avg(seconds(windows, "end") - seconds(windows, "start"))).first()[0]
+        width = max(2 * (mean or 0), 1e-3)
+    bucket = lambda x: F.floor(x / F.lit(float(width)))
+    spread = windows.filter(F.col("start") <= F.col("end")).withColumn("bucket", F.explode(F.sequence(bucket(seconds(windows, "start")), bucket(seconds(windows, "end")))))
+    met = spread.join(events.withColumn("bucket", bucket(seconds(events, "at"))), [session, "bucket"])
+    return met.filter((F.col("at") >= F.col("start")) & (F.col("at") <= F.col("end"))).drop("bucket")
 
 
 def undeclared(seen: DataFrame, said: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, capability, evidence): observed but not declared, with at most three pieces of evidence.
+    """(keys, capability, evidence): observed but not declared, with the least three pieces of evidence.
 
-    Evidence is a report's sample of a group that is aggregated by its distinct texts first.
+    Distinct texts are ranked in parts before they are ranked as a whole, so no row or task gathers them all.
     """
     rest = seen.join(said.select(*keys, "capability").distinct(), [*keys, "capability"], "left_anti")
-    distinct = rest.select(*keys, "capability", "evidence").distinct()
-    least = F.slice(F.array_sort(F.collect_set("evidence")), 1, 3)
-    return distinct.groupBy(*keys, "capability").agg(least.alias("evidence"))
+    distinct = rest.select(*keys, "capability", "evidence").distinct().withColumn("part", F.pmod(F.xxhash64("evidence"), F.lit(64)))
+    for by in (["part"], []):
+        order = Window.partitionBy(*keys, "capability", *by).orderBy(F.asc_nulls_last("evidence"))
+        distinct = distinct.withColumn("n", F.row_number().over(order)).filter("n <= 3")
+    return distinct.groupBy(*keys, "capability").agg(F.array_sort(F.collect_list("evidence")).alias("evidence"))
+
+
+def report(exercised: DataFrame, seen: DataFrame, said: DataFrame, classes: Column, keys: list[str]) -> DataFrame:
+    """(class, tools, exercised, rate, low, high): distinct tools that diverge, as a whole (class ``all``) and by class.
+
+    ``exercised`` has the tools (``keys``) that gave a result, ``seen`` and ``said`` their capabilities;
+    ``classes`` is the class of the column ``capability``. Rates have Wilson bounds; without exercised
+    tools they are 0.
+    """
+    found = undeclared(seen, said, keys).join(exercised.select(*keys).distinct(), keys, "left_semi").select(*keys, classes.alias("class"))
+    each = found.select(*keys, F.explode(F.array(F.lit("all"), F.col("class"))).alias("class")).distinct()
+    tools = each.groupBy("class").agg(F.count("*").alias("tools"))
+    whole = exercised.select(*keys).distinct().agg(F.count("*").alias("exercised"))
+    base = whole.select(F.lit("all").alias("class"), "exercised")
+    rows = base.join(tools, "class", "full_outer").drop("exercised").join(F.broadcast(whole)).withColumn("tools", F.coalesce("tools", F.lit(0)).cast("long"))  # one row
+    low, high = wilson(F.col("tools"), F.col("exercised"))
+    rate = F.when(F.col("exercised") > 0, F.col("tools") / F.col("exercised")).otherwise(0.0)
+    return rows.select("class", "tools", "exercised", rate.alias("rate"), low.alias("low"), high.alias("high"))
