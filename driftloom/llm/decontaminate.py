@@ -22,7 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.llm.shared import Scratch, free_name, table
@@ -355,40 +355,55 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, text_col:
     """
     spark, hits = docs.sparkSession, free_name(docs, "hits")
     parts, blocks = _blocks(spark, benchmark, scratch, window)
-    for k, block in enumerate(blocks):
-        sent = spark.sparkContext.broadcast(block)
-        found = hits_column(F.col(text_col), sent, window)
-        if parts == 1:
-            docs = docs.withColumn(hits, found)
-            break
-        # One block's hits are added to those before and written, so one broadcast is held at a time.
-        now = free_name(docs.withColumn(hits, F.lit(0)), "now")
-        whole = docs.withColumn(now, found)
-        if k:
-            one, two = F.col(hits), F.col(now)
-            merged = F.struct(
-                one["n_words"].alias("n_words"), F.array_sort(F.concat(one["spans"], two["spans"])).alias("spans"),
-                F.array_sort(F.array_distinct(F.concat(one["items"], two["items"]))).alias("items"), F.concat(one["matches"], two["matches"]).alias("matches"),
-            )
-        else:
-            merged = F.col(now)
-        docs = scratch.cut(whole.withColumn(hits, merged).drop(now), f"hits-{k}")
-        sent.destroy()
-        if k:
-            scratch.drop(f"hits-{k - 1}")
+    if parts == 1:
+        docs = docs.withColumn(hits, hits_column(F.col(text_col), spark.sparkContext.broadcast(next(blocks)), window))
+    else:
+        docs = _hits_of_blocks(docs, blocks, scratch, text_col, window, hits)
     names = {"n_words": "n_words", "hit_spans": "spans", "hit_items": "items", "matches": "matches"}
     return docs.withColumns({n: F.col(hits)[f] for n, f in names.items()}).drop(hits)
 
 
+def _hits_of_blocks(docs: DataFrame, blocks: Iterator[TestBlock], scratch: Scratch, text_col: str, window: int, hits: str) -> DataFrame:
+    """Add ``RESULT`` over several blocks, of which one is broadcast at a time.
+
+    Texts are written once, with a number for each row; a block writes the hits of the rows that it
+    hits, and these are put together by row.
+    """
+    row = free_name(docs, "row")
+    rows = scratch.cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows", release=True)
+    found = None
+    for k, block in enumerate(blocks):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        hit = rows.select(F.col(row).alias("row"), hits_column(F.col(text_col), sent, window).alias("h")).select("row", "h.*")
+        if k:  # the first block tells how many words each text has
+            hit = hit.filter((F.size("spans") > 0) | (F.size("matches") > 0))
+        hit = scratch.cut(hit, f"hits-{k}")
+        sent.destroy()
+        found = hit if found is None else found.unionByName(hit)
+    all_ = lambda c: F.flatten(F.collect_list(c))
+    whole = F.struct(
+        F.max("n_words").alias("n_words"), F.array_sort(all_("spans")).alias("spans"), F.array_sort(F.array_distinct(all_("items"))).alias("items"), all_("matches").alias("matches"),
+    )
+    merged = found.groupBy(F.col("row").alias(row)).agg(whole.alias(hits))
+    return rows.join(merged, row).drop(row)
+
+
 def longest_matches(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """(item, start, length, key, first): the longest verbatim match of each test suffix over all shards.
 
     ``found`` comes from ``with_hits``. Suffixes whose match goes on from the one before are part of
-    it; of equally long matches the one with the least key and place stays.
+    it; of equally long matches the one with the least key and place stays. Matches of an item's pieces
+    that lie side by side in one document, as those on both sides of a cut, are one.
     """
-    each = found.select(key, F.inline("matches"))
-    best = F.min(F.struct((-F.col("length")).alias("short"), F.col(key).alias(key), F.col("first").alias("first"))).alias("m")
-    return each.groupBy("item", "start").agg(best).select("item", "start", (-F.col("m.short")).alias("length"), F.col(f"m.{key}").alias(key), F.col("m.first").alias("first"))
+    each = found.select(F.col(key).alias("key"), F.inline("matches")).filter("item is not null")
+    side = Window.partitionBy("item", "key", F.col("first") - F.col("start")).orderBy("start")
+    reach = F.max(F.col("start") + F.col("length")).over(side.rowsBetween(Window.unboundedPreceding, -1))
+    apart = each.withColumn("run", F.sum(F.when(F.col("start") <= reach, 0).otherwise(1)).over(side))
+    runs = apart.groupBy("item", "key", (F.col("first") - F.col("start")).alias("side"), "run").agg(
+        F.min("start").alias("start"), F.min("first").alias("first"), F.max(F.col("start") + F.col("length")).alias("end")
+    )
+    best = F.min(F.struct((F.col("start") - F.col("end")).alias("short"), "key", "first")).alias("m")
+    return runs.groupBy("item", "start").agg(best).select("item", "start", (-F.col("m.short")).alias("length"), F.col("m.key").alias(key), F.col("m.first").alias("first"))
 
 
 def n_hit() -> Column:

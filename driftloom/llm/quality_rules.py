@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm.shared import WORD_GAP, Scratch, table
+from driftloom.llm.shared import WORD_GAP, Scratch, table, whole_row
 
 #: Limits of the contract: at least so many words, at most so many percent of them repeated.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -223,7 +223,11 @@ def learn(labelled: DataFrame) -> DecisionList:
 
 
 def labelled_rows(statistics: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows to learn from: statistics of labelled documents, ``bad`` where ``quality`` is 0."""
+    """Rows to learn from: statistics of labelled documents, ``bad`` where ``quality`` is 0.
+
+    A document counts once for each of its labels, so contradictory ones pull both ways; null ids and
+    null labels teach nothing.
+    """
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", (F.col("quality") == 0).alias("bad"))
     return statistics.select("doc_id", *FEATURES).join(marks, "doc_id")
 
@@ -248,7 +252,7 @@ def verdicts(statistics: DataFrame, rules: DecisionList) -> DataFrame:
 
 def kept_rows(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """Rows of ``docs`` that are kept, with the same columns."""
-    row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
+    row = docs.select(whole_row(docs).alias("_row"), F.col("text").alias("_text"))
     # A filter moves below deterministic projections and takes copies of their expressions along,
     # here one inside another; a row number keeps it above them.
     judged = verdicts(with_statistics(row, "_text"), rules).withColumn("_row_no", F.monotonically_increasing_id())

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftloom.session import shared_folder
 
 #: White space that separates words, as a character class of Java and Python patterns.
 WORD_GAP = r"[\x20\x09-\x0D]"
@@ -25,20 +27,9 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables.
-
-    It is the one that the cluster names in ``spark.checkpoint.dir``. Only a session without
-    the setting gets a folder of its own, and only where driver and executors are one process.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
 class Scratch:
@@ -50,7 +41,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         jvm = spark.sparkContext._jvm
         self._at = jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, text_col: str = "text", l
 def keep_one(docs: DataFrame, scratch: Scratch, text_col: str = "text", limit: int = MAX_BITS) -> DataFrame:
     """Rows of ``docs`` with one document of each component: the one with its least doc_id.
 
-    Of several rows with that id one stays. A component whose ids are all null keeps one row. All
+    Of several rows with that id the one with the least text stays, then with the least JSON. A component whose ids are all null keeps one row. All
     columns come back as they were, whatever their names. Texts are read for their fingerprints
     once; the ids that stay decide, and only rows whose id occurs again are looked at once more.
     """
@@ -297,7 +297,8 @@ def keep_one(docs: DataFrame, scratch: Scratch, text_col: str = "text", limit: i
     some = some.select(row.alias("row"), F.col("doc_id").alias("id"), fingerprint_column(F.col(text_col)).alias("fp"))
     chosen = staying.select(F.col("doc_id").alias("own"), F.col("fp").alias("print"), "root")
     found = some.join(chosen, F.col("id").eqNullSafe(F.col("own")) & (F.col("fp") == F.col("print")))
-    return once.unionByName(found.dropDuplicates(["root"]).select("row.*"))
+    tie = F.struct(F.col(f"row.{text_col}").cast("string"), F.to_json("row"))
+    return once.unionByName(found.groupBy("root").agg(F.min_by("row", tie).alias("row")).select("row.*"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

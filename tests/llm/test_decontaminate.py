@@ -193,3 +193,13 @@ def test_clashing_columns_stay(spark):
     docs = docs.selectExpr("doc_id", "text", "1 as _row", "2 as hits", "3 as now", "4 as matches", "5 as row")
     kept = D.remove_contaminated(docs, bench, Scratch(spark, "t"))
     assert kept.columns == docs.columns and {tuple(r)[2:] for r in kept.collect()} == {(1, 2, 3, 4, 5)}
+
+
+def test_a_match_across_a_cut_is_one(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_WORDS", 30)
+    item = [f"u{k}" for k in range(100)]
+    docs = [(1, " ".join(["x", *item[5:95], "y"])), (2, " ".join(item[40:60])), (3, "nothing here"), (3, None)]
+    found = D.with_hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"), Scratch(spark, "t"))
+    rows = {(r.item, r.start): (r.length, r.doc_id, r.first) for r in D.longest_matches(found).collect()}
+    assert rows[("7", 5)] == (90, 1, 1)
+    assert sorted((r.doc_id, r.n_words, r.n_hit) for r in found.withColumn("n_hit", D.n_hit()).collect()) == [(1, 92, 90), (2, 20, 20), (3, 0, 0), (3, 2, 0)]
