@@ -188,3 +188,32 @@ def response_of(body: Column, wanted: Column) -> Column:
 def trimmed(values: Column, longest: int = 1500, most: int = 40) -> Column:
     """The first ``most`` texts for a prompt, each cut after ``longest`` characters with a mark."""
     return F.transform(F.slice(values, 1, most), lambda v: F.when(F.length(v) > longest, F.concat(F.substring(v, 1, longest), F.lit("..."))).otherwise(v))
+
+
+def json_lines(rows: DataFrame) -> DataFrame:
+    """(value): each row as a line of JSON with its names sorted and its nulls kept."""
+    return rows.select(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    json_lines(rows).write.mode("overwrite").text(path)
+
+
+def probe_failure(kind: Column, name: Column, detail: Column) -> Column:
+    """struct(status, class, detail) of a failed probe: ``kind`` tells where it failed, ``name`` is the error's own.
+
+    A failure to connect whose text speaks of certificates is one of TLS. Details keep 500 characters.
+    """
+    secure = (kind == "connect") & F.coalesce(F.lower(detail).rlike("ssl|certificate|tls"), F.lit(False))
+    status = F.when(kind == "auth_required", "auth_required").when(kind == "timeout", "timeout").when(kind.isin("tls", "connect", "transport"), "unreachable").otherwise("protocol_error")
+    told = (
+        F.when(kind == "auth_required", "auth_required").when(kind == "protocol", "mcp_protocol_error").when((kind == "tls") | secure, "tls_error")
+        .when(kind == "connect", "connect_error").when(kind == "too_many_redirects", "too_many_redirects").otherwise(name)
+    )
+    return F.struct(status.alias("status"), told.alias("class"), F.substring(detail, 1, 500).alias("detail"))
+
+
+def run_totals(runs: DataFrame, by: str, stats: str, counters: list[str]) -> DataFrame:
+    """(by, runs, counters): sums of counters that stand in a run's JSON; those that are not there, or no numbers, count 0."""
+    value = lambda c: F.coalesce(F.get_json_object(stats, f"$.{c}").try_cast("long"), F.lit(0).cast("long"))
+    return runs.groupBy(by).agg(F.count("*").alias("runs"), *[F.sum(value(c)).alias(c) for c in counters])

@@ -73,6 +73,18 @@ def kappa(pairs: DataFrame, a: str, b: str, by: list[str] | None = None) -> Data
     )
 
 
+def rater_pairs(opinions: DataFrame, item: str, rater: str, label: str) -> DataFrame:
+    """(first, second, a, b): labels of each two raters, by name, of the same item; an item joins with its few raters."""
+    side = lambda who, what: opinions.filter(F.col(label).isNotNull()).select(item, F.col(rater).alias(who), F.col(label).alias(what))
+    return side("first", "a").join(side("second", "b"), item).filter("first < second")
+
+
+def kappa_gate(pairs: DataFrame, least: float, items: int) -> DataFrame:
+    """(first, second, n, kappa, passes): whether two raters agree well enough on enough items."""
+    told = kappa(pairs, "a", "b", ["first", "second"])
+    return told.select("first", "second", "n", "kappa", F.coalesce((F.col("n") >= items) & (F.col("kappa") >= least), F.lit(False)).alias("passes"))
+
+
 def wilson(hits: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     """Bounds of the Wilson interval; (0, 0) without trials."""
     p = hits / n

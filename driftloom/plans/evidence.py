@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.functions.typed import changed_members
-from driftloom.operators import chain, changesets, divergence, records
+from driftloom.operators import chain, changesets, divergence, records, stats
 from driftloom.operators.snapshots import Store, mirror
 from driftloom.plans import catalog
 from driftloom.plans.registry import query
-from driftloom.session import shared_folder, table
+from driftloom.session import own_folder, table
 from driftloom.streaming import late, ledger
 
 # Values that look alike without their types. The same text makes documents in both engines.
@@ -86,7 +84,7 @@ def q110_late_stream(spark, d):
     width = max(1, (span["last"] - span["first"]) // 6)
     delay = (span["last"] - span["first"]) // 2
     lands = F.floor((F.unix_millis("at") - F.lit(span["first"]) + F.pmod(F.xxhash64("obs_id"), F.lit(width))) / width)
-    at = f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}"
+    at = own_folder(spark, "landing")
     for k in range(8):  # whatever the table's size
         events.filter(lands == k).repartition(2).write.mode("append").parquet(at)
     steps = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(at)
@@ -98,7 +96,7 @@ def q110_late_stream(spark, d):
 def q111_exactly_once(spark, d):
     """Orders appended by a stream, appended again by its replay and once more by a later batch, beside a batch that was cut."""
     schema = table(spark, d, "orders").select("o_custkey", F.col("o_orderdate").cast("string").alias("stamp"), "o_orderpriority")
-    at = f"{shared_folder(spark)}/appended-{uuid.uuid4().hex}"
+    at = own_folder(spark, "appended")
     kept = ledger.Ledger(spark, at, "o_custkey long, stamp string, o_orderpriority string")
     sink = kept.sink(["o_custkey"], "stamp")
     landed = spark.readStream.schema(table(spark, d, "orders").schema).parquet(f"{d}/[o]rders.parquet")
@@ -166,7 +164,7 @@ def snapshot(spark: SparkSession, d: str, run: int) -> DataFrame:
 @query(f"""WITH {_STATES} SELECT key, min(eff)::DATE::VARCHAR AS first_seen, max(eff)::DATE::VARCHAR AS last_seen, sha256(arg_max(body, run)) AS sha, count(*) FILTER (fresh) AS observations FROM o GROUP BY key""")
 def q114_snapshot_cycles(spark, d):
     """Three snapshots in one store, the last two of them written twice."""
-    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    store = Store(spark, own_folder(spark, "store"))
     for run in (0, 1, 1, 2, 1, 2):
         store.write_run(run, snapshot(spark, d, run))
     servers = store.servers()
@@ -176,7 +174,7 @@ def q114_snapshot_cycles(spark, d):
 @query(f"WITH {_STATES} SELECT DISTINCT sha256(body) AS sha, 'missing' AS fault FROM o WHERE fresh AND sha256(body) LIKE '0%' AND body IN (SELECT body FROM r WHERE run = 0)")
 def q115_mirror_damage(spark, d):
     """A mirror made in two steps, of which the second copies one run; then bodies of its first run are lost."""
-    at = f"{shared_folder(spark)}/mirror-{uuid.uuid4().hex}"
+    at = own_folder(spark, "mirror")
     store, copy = Store(spark, f"{at}/store"), Store(spark, f"{at}/copy")
     for run in (0, 1):
         store.write_run(run, snapshot(spark, d, run))
@@ -187,3 +185,65 @@ def q115_mirror_damage(spark, d):
         raise AssertionError(f"the mirror copied {steps} runs")
     copy._write(store.read("blobs").filter("of_run = 0 and sha not like '0%'").drop("of_run"), "blobs", 0)
     return copy.damage()
+
+
+_RATERS = """u AS (SELECT doc_id, 'quality' AS rater, quality AS label FROM labels UNION ALL SELECT doc_id, 'toxic', 1 - toxic FROM labels UNION ALL SELECT doc_id, 'thirds', CAST(doc_id % 3 = 0 AS INTEGER) FROM labels WHERE doc_id % 5 > 0),
+p AS (SELECT a.rater AS first, b.rater AS second, a.label AS x, b.label AS y FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.rater < b.rater WHERE a.label IS NOT NULL AND b.label IS NOT NULL)"""
+
+
+@query(f"""WITH {_RATERS}, n AS (SELECT first, second, count(*) AS n, count(*) FILTER (x = y) / count(*)::DOUBLE AS observed,
+  (count(*) FILTER (x = 1) * count(*) FILTER (y = 1) + count(*) FILTER (x = 0) * count(*) FILTER (y = 0)) / (count(*)::DOUBLE * count(*)) AS expected FROM p GROUP BY ALL)
+SELECT first, second, n, CASE WHEN expected < 1 THEN (observed - expected) / (1 - expected) END AS kappa, coalesce(n >= 50 AND (observed - expected) / nullif(1 - expected, 0) >= 0.6, false) AS passes FROM n""")
+def q116_rater_kappas(spark, d):
+    """Agreement of each pair of raters beyond chance, and whether it is enough to go on."""
+    t = table(spark, d, "labels")
+    raters = [("quality", F.col("quality"), F.lit(True)), ("toxic", 1 - F.col("toxic"), F.lit(True)), ("thirds", (F.col("doc_id") % 3 == 0).cast("int"), F.col("doc_id") % 5 > 0)]
+    each = t.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("rater"), F.when(who, label.cast("int")).alias("label")) for n, label, who in raters])).alias("o")).select("doc_id", "o.*")
+    return stats.kappa_gate(stats.rater_pairs(each, "doc_id", "rater", "label"), 0.6, 50)
+
+
+_EVENT_LINES = """concat('{"at":"', strftime(eff, '%Y-%m-%d'), '","content":', coalesce('"' || content || '"', 'null'), ',"from_obs":', coalesce(from_id::VARCHAR, 'null'), ',"key":', key, ',"obs_id":', obs_id, ',"verdict":"', verdict, '"}')"""
+
+
+@query(f"WITH {catalog._STEPS}{catalog._WALK}SELECT {_EVENT_LINES} AS line FROM (SELECT key, obs_id, eff, verdict, CASE WHEN NOT absent THEN content END AS content, CASE WHEN verdict <> 'new' THEN from_id END AS from_id FROM v)")
+def q117_change_lines(spark, d):
+    """Change sets as lines of JSON with sorted names and nulls kept, as they are written and read again."""
+    v = chain.verdicts(catalog.order_steps(spark, d))
+    rows = v.select("verdict", "key", "obs_id", F.date_format("at", "yyyy-MM-dd").alias("at"), F.when(~F.col("absent"), F.col("content")).alias("content"), "from_obs")
+    at = own_folder(spark, "lines") + "/json"
+    records.write_lines(rows, at)
+    return spark.read.text(at).withColumnRenamed("value", "line")
+
+
+_FAILURES = ["auth_required", "protocol", "timeout", "tls", "connect", "too_many_redirects", "transport", "value", "other"]
+
+
+@query("""WITH f AS (SELECT event_id, event_id % 9 AS k, CASE WHEN event_id % 2 = 0 THEN 'SSL: CERTIFICATE expired' ELSE 'refused' END AS detail FROM events)
+SELECT CASE WHEN k = 0 THEN 'auth_required' WHEN k IN (1, 5, 7, 8) THEN 'protocol_error' WHEN k = 2 THEN 'timeout' ELSE 'unreachable' END AS status,
+CASE k WHEN 0 THEN 'auth_required' WHEN 1 THEN 'mcp_protocol_error' WHEN 3 THEN 'tls_error' WHEN 4 THEN CASE WHEN event_id % 2 = 0 THEN 'tls_error' ELSE 'connect_error' END WHEN 5 THEN 'too_many_redirects'
+ELSE 'Named' END AS class, count(*) AS n FROM f GROUP BY ALL""")
+def q118_probe_failures(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, _FAILURES)), (F.col("event_id") % 9 + 1).cast("int"))
+    told = F.when(F.col("event_id") % 2 == 0, "SSL: CERTIFICATE expired").otherwise("refused")
+    found = table(spark, d, "events").select(records.probe_failure(kind, F.lit("Named"), told).alias("f"))
+    return found.groupBy("f.status", "f.class").agg(F.count("*").alias("n"))
+
+
+_RUN_STATS = """concat('{"kept":', o_custkey, ',"pages":', o_orderkey % 10, CASE WHEN o_orderkey % 3 = 0 THEN concat(',"errors":', o_custkey % 4) ELSE '' END, '}')"""
+
+
+@query("SELECT o_orderpriority AS collector, count(*) AS runs, sum(o_orderkey % 10)::BIGINT AS pages, coalesce(sum(CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 4 END), 0)::BIGINT AS errors, 0::BIGINT AS gone FROM orders GROUP BY 1")
+def q119_run_totals(spark, d):
+    """Counters of runs, which stand in JSON, summed by collector; a counter that is not there counts 0."""
+    runs = table(spark, d, "orders").select(F.col("o_orderpriority").alias("collector"), F.expr(_RUN_STATS).alias("stats"))
+    return records.run_totals(runs, "collector", "stats", ["pages", "errors", "gone"])
+
+
+@query(catalog._GAPS + "SELECT was_status, count(*) AS n, avg(gap) AS mean_days, min(gap) AS least_days, max(gap) AS most_days FROM g GROUP BY was_status")
+def q120_gap_means(spark, d):
+    steps = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("obs_id"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderstatus").alias("content"),
+    )
+    return chain.transitions(steps).groupBy(F.col("was").alias("was_status")).agg(
+        F.count("*").alias("n"), F.avg("gap_days").alias("mean_days"), F.min("gap_days").alias("least_days"), F.max("gap_days").alias("most_days")
+    )

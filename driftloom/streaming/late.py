@@ -10,7 +10,6 @@ part needs of the parts before it is joined afterwards, from one row a part.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
-from driftloom.session import shared_folder
+from driftloom.session import own_folder
 
 OUTPUT = "key long, part timestamp, obs_id long, at timestamp, content string, absent boolean, place long"
 #: Steps that wait, as arrays, and how many of the part have been released.
@@ -55,7 +54,7 @@ def landed(spark: SparkSession, source: DataFrame, delay: str, part: str = "day"
 
     Steps still within ``delay`` of the latest fact wait in the state for the next run.
     """
-    at = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    at = own_folder(spark, "late")
     out = released(source, delay, part)
     query = out.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()

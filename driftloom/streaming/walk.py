@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from driftloom.session import shared_folder
+from driftloom.session import own_folder
 
 OUTPUT = "key long, obs_id long, verdict string"
 STATE = "content string, seen boolean, gone boolean"
@@ -43,7 +42,7 @@ def landed(spark: SparkSession, stream: DataFrame) -> DataFrame:
 
     The sink and its checkpoint are there too, so a query that is stopped goes on where it was.
     """
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = own_folder(spark, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
