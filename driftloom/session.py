@@ -8,12 +8,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch: what a Python worker holds of a table at once, however long its texts are.
+BATCH_BYTES = "4m"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """UTC timestamps, and this package on the path of Python workers."""
+    """UTC timestamps, Arrow batches of bounded bytes, and this package on the path of Python workers."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, paths) if x)
