@@ -50,3 +50,34 @@ CAPABILITY_CLASSES = {
     "network": "undeclared_network", "filesystem_read": "undeclared_filesystem", "filesystem_write": "undeclared_filesystem",
     "subprocess": "undeclared_subprocess", "credential_access": "undeclared_credential_access",
 }
+
+# Flags in output order.
+FLAGS = (
+    "network_param_added", "filesystem_param_added", "credential_param_added", "imperative_language_added", "tool_count_grew",
+    "destructive_hint_cleared", "readonly_hint_set", "description_grew_sharply", "endpoint_or_repo_moved",
+)
+# Words that tell what a parameter reaches, then phrases that address the model.
+NETWORK = r"(?U)\b(url|uri|endpoint|host|hostname|webhook|callback|proxy|upload|download|fetch|remote|address|ip|dns|port|origin|destination)\b"
+FILES = r"(?U)\b(path|filepath|filename|file|directory|dir|folder|cwd|workdir|root|glob)\b"
+CREDENTIALS = r"(?U)\b(token|key|apikey|secret|password|passwd|credential|credentials|auth|authorization|bearer|session)\b"
+ORDERS = [
+    "ignore previous", "ignore prior", "ignore all previous", "disregard previous", "disregard the above", "you must", "you should always",
+    "always call", "always use", "do not tell", "do not mention", "without telling", "without informing", "do not reveal", "never mention",
+    "never reveal", "before using any other", "before any other tool", "instead of", "system prompt", "new instructions", "important instruction", "override",
+]
+# Phrases and words of the rules that label a change; narrower than ORDERS, as a hit decides.
+INJECTION = [
+    "ignore previous", "ignore all previous", "ignore prior", "disregard previous", "disregard the above", "disregard any previous",
+    "do not tell the user", "do not inform the user", "without telling the user", "without informing the user", "do not reveal",
+    "never reveal to the user", "do not mention this", "never mention this", "before using any other tool", "before any other tool",
+    "always call this tool first", "ignore the system prompt", "ignore your instructions", "override your instructions",
+]
+AUTHORITY = [
+    "this tool takes precedence", "takes priority over", "highest priority", "trusted tool", "authoritative source", "must be used instead of",
+    "supersedes", "overrides other tools", "do not use other", "preferred over all",
+]
+EXFILTRATION = r"(?U)\b(webhook|callback|exfil|forward_to|send_to|post_to|report_to|notify_url|upload_url|destination_url|remote_url|sink)\b"
+COMMAND = r"(?U)\b(cmd|command|shell|exec|execute|script|eval|bash|sh|powershell|subprocess|system)\b"
+# Labels from the most severe on, and kinds of changed texts.
+PRECEDENCE = ["instruction_injection", "exfiltration_addition", "authority_escalation", "scope_expansion"]
+TEXT_KINDS = ["tool_description_changed", "param_description_changed", "server_description_changed", "prompt_changed"]

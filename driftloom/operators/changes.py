@@ -87,28 +87,39 @@ def budgeted(rows: DataFrame, group: str, order: str, allowed: Column, budget: i
     return told(chosen, "chosen").unionByName(told(over, "over_budget")).unionByName(told(refused, "not_allowed"))
 
 
-def allocate(sizes: dict[str, int], total: int, floor: int = 5) -> dict[str, int]:
-    """Quotas by proportion with a floor, capped by size; drift goes to the largest or smallest."""
-    n = sum(sizes.values())
-    quota = {s: min(k, max(floor, round(total * k / n))) for s, k in sizes.items()} if n else {}
-    while (drift := total - sum(quota.values())) != 0:
-        step = 1 if drift > 0 else -1
-        order = sorted(quota, key=lambda s: (sizes[s] * step, s))
-        moved = next((s for s in order if min(floor, sizes[s]) <= quota[s] + step <= sizes[s]), None)
-        if moved is None:
-            break
-        quota[moved] += step
-    return quota
+def quotas(sizes: DataFrame, stratum: str, size: str, total: int, floor: int = 5) -> DataFrame:
+    """(stratum, size, quota): quotas by proportion, with a floor and capped by size, that add up to ``total`` where they can.
+
+    What proportions give too much is taken from the largest strata, down to the floor; what is missing
+    goes to the smallest, up to their size. Each stratum gives what those before it leave over, so the room
+    before it, a running sum, tells its share. Strata of equal size go by name.
+    """
+    count = F.sum(size).over(Window.partitionBy())
+    share = F.rint(F.lit(total) * F.col(size) / count).cast("long")
+    start = F.least(F.col(size), F.greatest(F.lit(floor), share)).cast("long")
+    told = sizes.filter(F.col(size) > 0).select(stratum, F.col(size).cast("long").alias("size"), start.alias("start"))
+    told = told.withColumns({
+        "drift": F.lit(total) - F.sum("start").over(Window.partitionBy()),
+        "above": F.greatest(F.col("start") - floor, F.lit(0)), "below": F.col("size") - F.col("start"),
+    })
+
+    def moved(room: str, need: Column, order: Column) -> Column:
+        past = Window.orderBy(order, stratum).rowsBetween(Window.unboundedPreceding, -1)
+        return F.least(F.col(room), F.greatest(need - F.coalesce(F.sum(room).over(past), F.lit(0)), F.lit(0)))
+
+    less, more = moved("above", -F.col("drift"), F.desc("size")), moved("below", F.col("drift"), F.asc("size"))
+    return told.select(stratum, "size", (F.col("start") - less + more).alias("quota"))
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, total: int, seed: int, floor: int = 5) -> DataFrame:
-    """A fixed-size draw from each stratum in the order of a seeded hash of the key."""
-    sizes = {r[0]: r[1] for r in rows.groupBy(stratum).count().collect()}  # a row a stratum
-    quota = F.lit(0)
-    for s, q in allocate(sizes, total, floor).items():
-        quota = F.when(F.col(stratum) == s, q).otherwise(quota)
+    """A fixed-size draw from each stratum in the order of a seeded hash of the key.
+
+    Strata are few: their sizes and quotas are a row each.
+    """
+    own = quotas(rows.groupBy(stratum).agg(F.count("*").alias("size")), stratum, "size", total, floor)
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
-    return first_of(rows, stratum, [order, F.col(key)], quota, total)[0]
+    drawn = first_of(rows.join(own.select(stratum, F.col("quota").alias("_quota")), stratum), stratum, [order, F.col(key)], F.col("_quota"), total)[0]
+    return drawn.select(*rows.columns)
 
 
 def replay(changes: DataFrame, policies: DataFrame) -> DataFrame:

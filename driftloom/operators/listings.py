@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.functions.typed import typed_at
+
 # Modelled keys of the server object; the others are compared as they are.
 MODELLED = ("$schema", "name", "description", "version", "repository", "remotes", "packages")
 STATUS_PATH = "$._meta['io.modelcontextprotocol.registry/official'].status"
@@ -105,3 +107,22 @@ def replaced(before: Column, after: Column) -> Column:
     moved = repository(before) != repository(after)
     first = F.get(endpoints(before), 0) != F.get(endpoints(after), 0)
     return F.coalesce(moved, F.lit(False)) | F.coalesce(first, F.lit(False))
+
+
+def launch_arguments(package: Column) -> Column:
+    """Texts of a package's own arguments in their order: names of named ones, and values or else defaults.
+
+    A named argument without a name is left out, as is a positional one without a value; none is made up.
+    """
+    items = F.filter(F.from_json(F.get_json_object(package, "$.packageArguments"), "array<string>"), lambda i: i.startswith("{"))
+
+    def told(item: Column, path: str) -> Column:
+        word = F.get_json_object(item, path)
+        return F.when(typed_at(item, path).isin("true", "false"), F.initcap(word)).otherwise(word)
+
+    def texts(item: Column) -> Column:
+        value, name = F.coalesce(told(item, "$.value"), told(item, "$.default")), told(item, "$.name")
+        named = F.coalesce(F.get_json_object(item, "$.type") == "named", F.lit(False))
+        return F.when(~named, F.array(value)).when(F.coalesce(name, F.lit("")) != "", F.array(name, value)).otherwise(F.array().cast("array<string>"))
+
+    return F.coalesce(F.array_compact(F.flatten(F.transform(items, texts))), F.array().cast("array<string>"))

@@ -15,6 +15,12 @@ def to_iso(at: Column) -> Column:
     return F.date_format(at.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
+def from_iso(text: Column) -> Column:
+    """The time of a text in ISO 8601 with its offset from UTC; null for all else, a time without offset too."""
+    told = F.trim(text).rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9:.]+(Z|[+-][0-9]{2}:?[0-9]{2})$")
+    return F.when(told, F.try_to_timestamp(F.trim(text)))
+
+
 def is_digest(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^[0-9a-f]{64}\z"), F.lit(False))
 
@@ -217,3 +223,49 @@ def run_totals(runs: DataFrame, by: str, stats: str, counters: list[str]) -> Dat
     """(by, runs, counters): sums of counters that stand in a run's JSON; those that are not there, or no numbers, count 0."""
     value = lambda c: F.coalesce(F.get_json_object(stats, f"$.{c}").try_cast("long"), F.lit(0).cast("long"))
     return runs.groupBy(by).agg(F.count("*").alias("runs"), *[F.sum(value(c)).alias(c) for c in counters])
+
+
+def latest_stats(runs: DataFrame, by: str, started: str, finished: str, stats: str, values: dict[str, str]) -> DataFrame:
+    """(by, values): members of the JSON of the newest finished run of each ``by``, as Spark types by name.
+
+    A run whose JSON is no object has no values; without a finished run there is no row. Of runs
+    that began at once the one with the greatest text stands.
+    """
+    done = runs.filter(F.col(finished).isNotNull()).groupBy(by).agg(F.max_by(stats, F.struct(F.col(started), F.col(stats))).alias("_s"))
+    own = F.when(F.col("_s").rlike(r"^\s*\{"), F.col("_s"))
+    return done.select(by, *[F.get_json_object(own, f"$.{name}").try_cast(kind).alias(name) for name, kind in values.items()])
+
+
+#: Hours after which a backup is no longer fresh.
+BACKUP_HOURS = 36
+
+
+def backup_checks(backups: DataFrame, now: Column) -> DataFrame:
+    """(name, ok) of three checks over all backups (created_at as text, verified): present, freshness, verified.
+
+    The newest backup counts; one without a time that can be read is older than all others. A backup that was
+    not verified, and none at all, is no healthy one.
+    """
+    at = from_iso(F.col("created_at"))
+    last = backups.agg(F.count("*").alias("n"), F.max_by("verified", F.struct(at, F.col("verified"))).alias("verified"), F.max(at).alias("at"))
+    fresh = F.unix_micros(now) - F.unix_micros("at") <= BACKUP_HOURS * 3_600_000_000
+    told = {"backup.present": F.col("n") > 0, "backup.freshness": fresh, "backup.verified": F.col("verified")}
+    return last.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(ok, F.lit(False)).alias("ok")) for n, ok in told.items()])))
+
+
+def launch_observation(failure: Column, failure_detail: Column, first_hash: Column, second_hash: Column, destinations: Column) -> Column:
+    """struct(status, error_class, error_detail) of a server that was launched twice.
+
+    A failure stands as it is. Two launches whose documents differ are nondeterministic. What was reached
+    (``destinations``, an array of texts, each once and sorted) is told in the detail, and is
+    the class where there is no other.
+    """
+    failed, differs = failure.isNotNull(), ~first_hash.eqNullSafe(second_hash)
+    reached = F.array_sort(F.array_distinct(F.array_compact(destinations)))
+    some = F.coalesce(F.size(destinations) > 0, F.lit(False))
+    status = F.when(failed, launch_status(failure)).when(differs, "nondeterministic").otherwise("ok")
+    name = F.when(failed, failure).when(differs, "hash_disagreement").when(some, "attempted_egress")
+    listed = F.concat(F.lit("attempted egress to ['"), F.array_join(reached, "', '"), F.lit("']"))
+    other = F.when(differs, "the two launches produced different normalized manifests")
+    detail = F.when(failed, failure_detail).otherwise(F.when(some, F.concat_ws(" ", other, listed)).otherwise(other))
+    return F.struct(status.alias("status"), name.alias("error_class"), detail.alias("error_detail"))

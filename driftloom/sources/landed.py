@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.operators.listings import clean
+from driftloom.operators.records import from_iso
 
 _TRACE = r"^(?:\[pid\s+\d+\]\s+|\d+\s+)?(\d+\.\d+)\s+(\w+)\((.*)$"
 
@@ -14,7 +15,7 @@ def trace_events(spark: SparkSession, path: str) -> DataFrame:
     """(at, call, args) of system-call traces; lines that don't parse are skipped."""
     lines = spark.read.text(path)
     parts = lines.select(*[F.regexp_extract("value", _TRACE, k).alias(n) for k, n in ((1, "at"), (2, "call"), (3, "args"))])
-    return parts.filter("call <> ''").withColumn("at", F.col("at").cast("double"))
+    return parts.filter("call <> ''").withColumn("at", F.col("at").try_cast("double"))
 
 
 def sinkhole_events(spark: SparkSession, path: str) -> DataFrame:
@@ -34,17 +35,35 @@ def event_frames(body: Column) -> Column:
 
 
 def version_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(name, published_at, is_latest, status, document, malformed) of landed listing lines."""
-    doc = spark.read.text(path).withColumnRenamed("value", "document")
+    """(name, published_at, is_latest, status, document, malformed, fault) of landed listing lines."""
+    return parsed_rows(spark.read.text(path).withColumnRenamed("value", "document"))
+
+
+def row_fault(document: Column) -> Column:
+    """Why a listing line is malformed: it is no JSON object, its server is none, or the name is no text; else null."""
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(F.try_parse_json(document), path, "variant"))
+    is_object = lambda path: F.coalesce(kind(path).startswith("OBJECT"), F.lit(False))
+    named = F.coalesce((kind("$.server.name") == "STRING") & clean(F.get_json_object(document, "$.server.name")).isNotNull(), F.lit(False))
+    return F.when(~is_object("$"), "not_an_object").when(~is_object("$.server"), "no_server").when(~named, "no_name")
+
+
+def fault_counts(rows: DataFrame) -> DataFrame:
+    """(fault, n): how many lines are malformed, by cause."""
+    return rows.filter("fault is not null").groupBy("fault").agg(F.count("*").alias("n"))
+
+
+def parsed_rows(doc: DataFrame) -> DataFrame:
+    """The same of lines (document) that are read already. Times that cannot be read are null and their rows stay."""
     meta = "$._meta['io.modelcontextprotocol.registry/official']"
     name = clean(F.get_json_object("document", "$.server.name"))
     return doc.select(
         name.alias("name"),
-        F.try_to_timestamp(F.get_json_object("document", f"{meta}.publishedAt")).alias("published_at"),
+        from_iso(F.get_json_object("document", f"{meta}.publishedAt")).alias("published_at"),
         F.get_json_object("document", f"{meta}.isLatest").alias("is_latest"),
         F.get_json_object("document", f"{meta}.status").alias("status"),
         "document",
-        name.isNull().alias("malformed"),
+        row_fault(F.col("document")).isNotNull().alias("malformed"),
+        row_fault(F.col("document")).alias("fault"),
     )
 
 

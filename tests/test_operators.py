@@ -1,5 +1,6 @@
 """Operators whose inputs the driver's tables don't have, on small fixtures."""
 
+import random
 import json
 
 import pytest
@@ -69,10 +70,17 @@ def test_event_frames_and_blobs(spark):
     assert landed.damaged_blobs(held.withColumn("body", F.lit("z"))).count() == 1 and landed.damaged_blobs(held).count() == 0
 
 
-def test_allocation():
-    assert changes.allocate({"a": 100, "b": 50, "c": 3}, 30) == {"a": 17, "b": 10, "c": 3}
-    assert sum(changes.allocate({"a": 1000, "b": 10, "c": 10}, 40).values()) == 40
-    assert changes.allocate({}, 10) == {}
+def test_quotas(spark):
+    from tests.quotas import settled
+
+    schema = "s string, k long"
+    assert settled({"a": 100, "b": 50, "c": 3}, 30) == {"a": 17, "b": 10, "c": 3}
+    rng = random.Random(4)
+    cases = [({"a": 100, "b": 50, "c": 3}, 30), ({"a": 1000, "b": 10, "c": 10}, 40), ({"a": 2, "b": 3}, 40), ({"a": 50, "b": 50, "c": 50}, 3), ({}, 10)]
+    cases += [({f"s{i}": rng.choice([1, 4, 5, 6, 30, 31, 500]) for i in range(9)}, rng.choice([10, 60, 300])) for _ in range(6)]
+    for sizes, total in cases:
+        got = changes.quotas(spark.createDataFrame(list(sizes.items()), schema), "s", "k", total).collect()
+        assert {r.s: r.quota for r in got} == settled(sizes, total), (sizes, total)
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):

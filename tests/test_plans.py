@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import canonical
 from driftloom.operators import changes, divergence, documents, exercise, listings, records, stats
+from tests.quotas import settled
 
 BASE = datetime(2024, 1, 1)
 
@@ -45,7 +46,7 @@ def test_stratified_draw_in_seeded_order(spark, monkeypatch):
     got = changes.stratified(spark.createDataFrame(rows, "key long, s string"), "s", "key", 60, 9).collect()
     sizes = {s: sum(x == s for _, x in rows) for s in "abc"}
     want = set()
-    for s, quota in changes.allocate(sizes, 60).items():
+    for s, quota in settled(sizes, 60).items():
         order = sorted((hashlib.md5(f"9|{k}".encode()).hexdigest(), k) for k, x in rows if x == s)
         want |= {(k, s) for _, k in order[:quota]}
     assert {(r.key, r.s) for r in got} == want and len(got) == 60
