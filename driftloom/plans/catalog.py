@@ -440,4 +440,4 @@ def q55_reconcile_probes(spark, d):
     return ingest.reconcile(a, b, "doc_id").groupBy("status").agg(F.count("*").alias("n"))
 
 
-from driftloom.plans import evidence, landings, manifests, release  # noqa: E402, F401  register their queries
+from driftloom.plans import evidence, landings, manifests, release, wordings  # noqa: E402, F401  register their queries
