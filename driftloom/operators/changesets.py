@@ -67,6 +67,7 @@ def _tool_changes(section: int, tool: Column, b: Column, a: Column) -> Column:
         for k, (f, kind) in enumerate([("description", "tool_description_changed"), ("annotations", "annotation_changed"), ("execution", "execution_changed")])
     ]
     pb, pa = parts_of(get(b, "$.inputSchema.properties")), parts_of(get(a, "$.inputSchema.properties"))
+    whole_b, whole_a = typed_members(get(b, "$.inputSchema.properties")), typed_members(get(a, "$.inputSchema.properties"))
     kb, ka = F.map_keys(pb), F.map_keys(pa)
     rb, ra = strings_of(get(b, "$.inputSchema.required")), strings_of(get(a, "$.inputSchema.required"))
     where = lambda n: at("inputSchema", "properties", n)
@@ -82,7 +83,7 @@ def _tool_changes(section: int, tool: Column, b: Column, a: Column) -> Column:
         return F.concat(
             _if(kind, _change(section, tool, 5, n, "param_type_changed", where(n), tool, get(x, "$.type"), get(y, "$.type"))),
             _if(text, _change(section, tool, 5, n, "param_description_changed", where(n), tool, get(x, "$.description"), get(y, "$.description"))),
-            _if(~kind & ~text & ~x.eqNullSafe(y), _change(section, tool, 5, n, "param_schema_changed", where(n), tool, x, y)),
+            _if(~kind & ~text & ~item(whole_b, n).eqNullSafe(item(whole_a, n)), _change(section, tool, 5, n, "param_schema_changed", where(n), tool, x, y)),
         )
 
     both = F.array_intersect(kb, ka)

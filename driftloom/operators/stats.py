@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftloom.session import own_folder
+
 #: 97.5th percentile of the normal distribution, for 95 % intervals.
 Z95 = 1.959963984540054
 
@@ -26,10 +28,12 @@ def histogram(rows: DataFrame, value: Column, ceilings: list[tuple[str, float |
 def elements_at(rows: DataFrame, value: str, places) -> DataFrame:
     """(fraction, value): elements of the sorted values; ``places`` gives (fraction, place) pairs for their number.
 
-    Values are counted first and the counts kept for the three passes over them: edges of ranges,
+    Values are counted first and the counts written for the three passes over them: edges of ranges,
     totals of ranges, and the running count inside a range. No task sorts more than a range.
     """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c")).persist()
+    counts, at = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c")), own_folder(rows.sparkSession, "counts")
+    counts.write.mode("overwrite").parquet(at)
+    counts = rows.sparkSession.read.schema(counts.schema).parquet(at)
     edges = counts.stat.approxQuantile("v", [k / 64 for k in range(1, 64)], 0.01)
     part = reduce(lambda a, e: a + (F.col("v") > F.lit(e)).cast("int"), sorted(set(edges)), F.lit(0))
     ranged = counts.withColumn("part", part)

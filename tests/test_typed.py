@@ -40,6 +40,13 @@ def test_a_change_of_type_alone_is_a_change(spark):
     ]
 
 
+def test_parameters_that_are_no_objects(spark):
+    doc = '{"tools":[{"inputSchema":{"properties":{"p":%s,"q":{"default":%s}}},"name":"t"}]}'
+    rows = [(k, doc % b, doc % a) for k, (b, a) in enumerate([(("true", "1"), ('"true"', "1")), (("true", "1"), ("true", '"1"')), (('"1"', "null"), ("1", "null")), (("1", "1"), ("1", "1"))])]
+    got = changesets.manifest_changes(spark.createDataFrame(rows, "key long, before string, after string"), "key", "before", "after")
+    assert sorted((r.key, r.kind, r.path[-1]) for r in got.collect()) == [(0, "param_schema_changed", "p"), (1, "param_schema_changed", "q"), (2, "param_schema_changed", "p")]
+
+
 def test_hints_are_booleans(spark):
     flags = lambda b, a: severity.change_flags(F.lit("annotation_changed"), F.lit("t"), F.lit(b), F.lit(a))
     row = spark.range(1).select(
