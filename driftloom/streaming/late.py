@@ -1,52 +1,53 @@
 """The chain walk as a stream whose facts come late or out of order.
 
-A key holds what has come but may still be preceded by an earlier fact; once the watermark has passed a
-step, it is walked, so the verdicts are those of the ordered history. Facts behind the watermark are
-too late: Spark drops them and counts them.
-
-A key is divided by time (``part``), so that a key with a third of all facts is many states. What a
-part needs of the parts before it is joined afterwards, from one row a part.
+Each fact is a group of its own in an aggregation of Spark's streams: it waits in the state until the
+watermark has passed it, as until then an earlier fact may come. Released facts are walked, so the
+verdicts are those of the ordered history. Facts behind the watermark are too late: Spark drops them and
+counts them, one that comes twice in a batch once.
+
+State is dealt by fact, so a key with a third of all facts is no task of its own, and lies in RocksDB,
+whose memory is bounded. The walk divides a key by time (``part``): what a part needs of the parts
+before it is joined, from one row a part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from driftloom.session import own_folder
 
-OUTPUT = "key long, part timestamp, obs_id long, at timestamp, content string, absent boolean, place long"
-#: Steps that wait, as arrays, and how many of the part have been released.
-STATE = "obs_id array<long>, at array<long>, content array<string>, absent array<boolean>, released long"
-
-
-def _released(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Steps that no later fact can precede, in order, with their place in the part."""
-    held = state.get if state.exists else ([], [], [], [], 0)
-    kinds = {"obs_id": "int64", "at": "int64", "content": object, "absent": bool}
-    waiting = pd.DataFrame({c: pd.Series(list(v), dtype=k) for (c, k), v in zip(kinds.items(), held)})
-    new = [b.assign(at=b["at"].astype("datetime64[us]").astype("int64"))[["obs_id", "at", "content", "absent"]] for b in batches] if not state.hasTimedOut else []
-    rows = pd.concat([waiting, *new]).astype(kinds).sort_values(["at", "obs_id"], kind="stable")
-    mark = state.getCurrentWatermarkMs() * 1000
-    out, rest = rows[rows["at"] <= mark], rows[rows["at"] > mark]
-    state.update((rest["obs_id"].tolist(), rest["at"].tolist(), rest["content"].tolist(), rest["absent"].tolist(), held[4] + len(out)))
-    if len(rest):
-        state.setTimeoutTimestamp(max(int(rest["at"].iloc[0]) // 1000, mark // 1000 + 1))
-    yield pd.DataFrame({
-        "key": key[0], "part": key[1], "obs_id": out["obs_id"].astype("int64"), "at": pd.to_datetime(out["at"], unit="us"), "content": out["content"].astype(object),
-        "absent": out["absent"].astype(bool), "place": range(held[4], held[4] + len(out)),
-    })
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    """Settings for a stream that starts inside; it keeps them, the session gets its own back."""
+    was = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def released(steps: DataFrame, delay: str, part: str = "day") -> DataFrame:
-    """Steps (key, obs_id, at, content, absent) of a stream in event-time order, each once the watermark has passed it."""
-    marked = steps.withWatermark("at", delay).withColumn("part", F.date_trunc(part, "at"))
-    return marked.groupBy("key", "part").applyInPandasWithState(_released, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    """Steps (key, obs_id, at, content, absent) of a stream, each once the watermark has passed it, with their part.
+
+    ``place`` tells facts of the same key, time and id apart.
+    """
+    facts = steps.withWatermark("at", delay).groupBy("key", "obs_id", "at").agg(F.collect_list(F.struct("content", "absent")).alias("said"))
+    told = facts.select("key", F.date_trunc(part, "at").alias("part"), "obs_id", "at", F.posexplode("said").alias("place", "step"))
+    return told.select("key", "part", "obs_id", "at", "step.content", "step.absent", "place")
 
 
 def landed(spark: SparkSession, source: DataFrame, delay: str, part: str = "day") -> tuple[DataFrame, int]:
@@ -56,20 +57,20 @@ def landed(spark: SparkSession, source: DataFrame, delay: str, part: str = "day"
     """
     at = own_folder(spark, "late")
     out = released(source, delay, part)
-    query = out.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with _settings(spark, STATE_STORE):
+        query = out.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
     dropped = sum(int(s.numRowsDroppedByWatermark) for p in query.recentProgress for s in p.stateOperators)
     return spark.read.schema(out.schema).parquet(f"{at}/rows"), dropped
 
 
 def verdicts(steps: DataFrame) -> DataFrame:
     """(key, obs_id, verdict) of released steps: each part is walked by itself, from the state that the parts before it leave."""
-    order = Window.partitionBy("key", "part").orderBy("place")
+    order = Window.partitionBy("key", "part").orderBy("at", "obs_id", "place")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     there = ~F.col("absent")
-    ends = steps.groupBy("key", "part").agg(
-        F.max_by(F.when(there, F.struct("content")), F.when(there, F.col("place"))).alias("state"), F.max_by("absent", "place").alias("gone"),
-    )
+    last = F.struct("at", "obs_id", "place")
+    ends = steps.groupBy("key", "part").agg(F.max_by(F.when(there, F.struct("content")), F.when(there, last)).alias("state"), F.max_by("absent", last).alias("gone"))
     parts = Window.partitionBy("key").orderBy("part")
     carried = ends.select(
         "key", "part", F.last("state", ignorenulls=True).over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("came"), F.lag("gone").over(parts).alias("was_gone"),

@@ -94,3 +94,14 @@ def test_the_tail_of_a_trace_drops_the_line_it_cuts(spark, tmp_path, most, want)
     (tmp_path / "t.log").write_bytes(b"aaa\nbbb\nccc\n")
     lines, _ = tail(spark, str(tmp_path), most=most)
     assert [r.line for r in lines.orderBy("at").collect()] == want
+
+
+def test_late_facts_wait_in_native_state(spark, tmp_path):
+    rows = [(1, 1, BASE, "a", False), (1, 1, BASE, "b", False), (2, 1, BASE, None, True), (1, 2, BASE + timedelta(days=9), "c", False)]
+    spark.createDataFrame(rows, STEPS).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(STEPS).parquet(f"{tmp_path}/in")
+    assert "Pandas" not in late.released(stream, "1 day")._jdf.queryExecution().analyzed().toString()
+    before = {k: spark.conf.get(k, None) for k in late.STATE_STORE}
+    out, dropped = late.landed(spark, stream, "1 day")
+    assert dropped == 0 and sorted((r.key, r.content or "", r.place) for r in out.collect()) == [(1, "a", 0), (1, "b", 1), (2, "", 0)]
+    assert before == {k: spark.conf.get(k, None) for k in late.STATE_STORE}
