@@ -10,7 +10,7 @@ from driftloom.functions.fixed import AUTH_HINTS, CREDENTIAL_HINTS, DEPENDENCY_H
 from driftloom.operators import chain, exercise, ingest, records, release
 from driftloom.plans import catalog
 from driftloom.plans.registry import query
-from driftloom.session import table
+from driftloom.session import spread, table
 from driftloom.streaming import walk
 
 _KINDS = "list_filter([CASE l_returnflag WHEN 'A' THEN 'tool_added' WHEN 'N' THEN 'tool_description_changed' ELSE 'schema_param_added' END, CASE WHEN l_linenumber = 1 THEN 'tool_removed' END], lambda x: x IS NOT NULL)"
@@ -314,14 +314,14 @@ _TOOLS = """concat('{"annotations":{', if(p_partkey % 5 = 0, '"destructiveHint":
 @query("""SELECT CASE WHEN p_partkey % 5 = 0 THEN 'annotations.destructiveHint is true' WHEN p_partkey % 5 = 1 THEN 'annotations.readOnlyHint is false' WHEN p_partkey % 7 = 0 THEN 'name contains ''send''' WHEN p_partkey % 3 = 0 THEN 'description opens with ''deletes'''
 WHEN p_size % 4 = 0 THEN 'parameter ''q'' has unsupported type ''tuple''' ELSE 'no exclusion applies' END AS reason, count(*) AS n FROM part GROUP BY 1""")
 def q94_exercise_reasons(spark, d):
-    tools = table(spark, d, "part").select(F.expr(_TOOLS).alias("tool"))
+    tools = spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select(F.expr(_TOOLS).alias("tool"))
     return tools.select(exercise.decision(F.col("tool"))["reason"].alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN '{\"limit\":' || p_size || ',\"site_url\":\"https://driftloom-synthetic.invalid/driftloom-probe\"}' ELSE '{\"limit\":1,\"site_url\":\"https://driftloom-synthetic.invalid/driftloom-probe\"}' END AS arguments FROM part")
 def q95_arguments(spark, d):
     schema = """concat('{"properties":{"limit":{"type":"integer"', if(p_size % 4 = 0, concat(',"minimum":', p_size), ''), '},"other":{},"site_url":{"type":["null","string"]}},"required":["limit","site_url"]}')"""
-    return table(spark, d, "part").select("p_partkey", exercise.arguments(F.expr(schema))["arguments"].alias("arguments"))
+    return spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", exercise.arguments(F.expr(schema))["arguments"].alias("arguments"))
 
 
 _SCHEMA = """concat('{"properties":{"base_url":{"type":"string"},"inner":{"properties":{"', if(p_size % 2 = 0, 'password', 'plain'), '":{"type":"string"}}},"list":{"items":{"format":"', if(p_size % 3 = 0, 'ipv4', 'none'), '"}},"note":{"description":"', if(p_size % 5 = 0, 'runs a shell', 'nothing'), '"}}}')"""
@@ -329,7 +329,7 @@ _SCHEMA = """concat('{"properties":{"base_url":{"type":"string"},"inner":{"prope
 
 @query("""SELECT p_partkey, concat_ws(',', CASE WHEN p_size % 2 = 0 THEN 'credential_access' END, 'network', CASE WHEN p_size % 5 = 0 THEN 'subprocess' END) AS capabilities FROM part""")
 def q96_schema_profiles(spark, d):
-    found = table(spark, d, "part").select("p_partkey", exercise.schema_capabilities(F.expr(_SCHEMA)).alias("c"))
+    found = spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", exercise.schema_capabilities(F.expr(_SCHEMA)).alias("c"))
     return found.select("p_partkey", F.array_join(F.array_sort(F.array_distinct(F.transform("c", lambda x: x["capability"]))), ",").alias("capabilities"))
 
 

@@ -45,6 +45,18 @@ def own_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Tasks a core of rows that are spread.
+SPREAD = 4
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` over all cores, before work that costs far more than its bytes tell.
+
+    Spark divides a file by bytes and row groups: a million short rows are one task, whatever is then made of them.
+    """
+    return rows.repartition(SPREAD * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
