@@ -146,17 +146,20 @@ def manifest_changes(pairs: DataFrame, key: str, before: str, after: str) -> Dat
 
 def listing_rows(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
     """(key, at, kind, path, tool, before, after, detail, diff): J1 to J9 of pairs of listings."""
-    b, a, get = F.col(before), F.col(after), F.get_json_object
-    none = F.lit(None).cast("string")
+    get, none = F.get_json_object, F.lit(None).cast("string")
+    # Each reading of a document is a column of its own: what ``found`` names often is made once.
+    read = {
+        "text": lambda x: listings.clean(get(x, "$.server.description")), "version": lambda x: listings.clean(get(x, "$.server.version")), "status": lambda x: get(x, listings.STATUS_PATH),
+        "raw": lambda x: get(x, "$.server.packages"), "ends": listings.endpoints, "packages": listings.packages, "secrets": listings.secret_inputs, "repos": listings.repository,
+        "parts": lambda x: parts_of(get(x, "$.server")),
+    }
+    sides = [F.col(before), F.col(after)]
+    changed = F.array_except(changed_members(*[get(x, "$.server") for x in sides]), F.array(*map(F.lit, listings.MODELLED)))
+    staged = pairs.select(key, changed.alias("changed"), *[f(x).alias(f"{name}_{k}") for name, f in read.items() for k, x in enumerate(sides)])
     joined = lambda x: F.array_join(x, ", ")
     one = lambda step, kind, path, test, x, y, detail=None: _if(test, _change(0, none, step, None, kind, F.lit(path), None, x, y, detail))
     differ = lambda x, y: ~x.eqNullSafe(y)
-    sets = lambda f: (f(b), f(a))
-    text = [listings.clean(get(x, "$.server.description")) for x in (b, a)]
-    version = [listings.clean(get(x, "$.server.version")) for x in (b, a)]
-    status = [get(x, listings.STATUS_PATH) for x in (b, a)]
-    raw = [get(x, "$.server.packages") for x in (b, a)]
-    ends, packages, secrets, repos = sets(listings.endpoints), sets(listings.packages), sets(listings.secret_inputs), sets(listings.repository)
+    text, version, status, raw, ends, packages, secrets, repos, (pb, pa) = ((F.col(f"{name}_0"), F.col(f"{name}_1")) for name in read)
     identity = packages[0] != packages[1]
     found = [
         one(0, "server_description_changed", "server/description", differ(*text), *text),
@@ -168,10 +171,8 @@ def listing_rows(pairs: DataFrame, key: str, before: str, after: str) -> DataFra
         one(6, "version_bumped", "server/version", differ(*version), *version),
         one(7, "registry_status_changed", "_meta/status", differ(*status), *status),
     ]
-    pb, pa = parts_of(get(b, "$.server")), parts_of(get(a, "$.server"))
-    changed = F.array_except(changed_members(get(b, "$.server"), get(a, "$.server")), F.array(*map(F.lit, listings.MODELLED)))
-    found.append(F.transform(changed, lambda n: _change(1, n, 0, None, "server_field_changed", F.concat(F.lit("server/"), n), None, F.try_element_at(pb, n), F.try_element_at(pa, n))))
-    return _told(pairs.select(key, F.explode(F.concat(*found)).alias("c")), [key])
+    found.append(F.transform("changed", lambda n: _change(1, n, 0, None, "server_field_changed", F.concat(F.lit("server/"), n), None, F.try_element_at(pb, n), F.try_element_at(pa, n))))
+    return _told(staged.select(key, F.explode(F.concat(*found)).alias("c")), [key])
 
 
 def change_sets(pairs: DataFrame, changes: DataFrame, key: str, include_unchanged: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from driftloom.operators import chain, changesets, divergence, records, stats
 from driftloom.operators.snapshots import Store, mirror
 from driftloom.plans import catalog
 from driftloom.plans.registry import query
-from driftloom.session import own_folder, table
+from driftloom.session import own_folder, spread, table
 from driftloom.streaming import late, ledger
 
 # Values that look alike without their types. The same text makes documents in both engines.
@@ -26,7 +26,7 @@ _FIELDS = f"{_DOCS}, x AS ({_FIELD.format(f='title')} UNION ALL {_FIELD.format(f
 
 
 def listing_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").selectExpr("o_orderkey as key", f"{_SIDES['before']} as before", f"{_SIDES['after']} as after")
+    return spread(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").selectExpr("o_orderkey as key", f"{_SIDES['before']} as before", f"{_SIDES['after']} as after")
 
 
 @query(f"WITH {_FIELDS} SELECT key, 'server_field_changed' AS kind, 'server/' || f AS path FROM x WHERE a IS DISTINCT FROM b")
@@ -52,7 +52,7 @@ _PART_FIELD = "SELECT p_partkey AS key, {kind} AS kind, {path} AS path FROM part
     )
 ))
 def q107_typed_manifest_fields(spark, d):
-    pairs = table(spark, d, "part").selectExpr("p_partkey as key", f"{_PART_SIDES['before']} as before", f"{_PART_SIDES['after']} as after")
+    pairs = spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").selectExpr("p_partkey as key", f"{_PART_SIDES['before']} as before", f"{_PART_SIDES['after']} as after")
     return changesets.manifest_changes(pairs, "key", "before", "after").select("key", "kind", "path")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from driftloom.operators import changesets, severity
 from driftloom.plans.registry import query
-from driftloom.session import table
+from driftloom.session import spread, table
 
 _TOOL = """concat('{{"annotations":{{"readOnlyHint":', {hint}, '}},"description":"word', k, ' alpha', {more}, '"', {execution}, ',"inputSchema":{{', {frame}, '"properties":{{', {callback},
 '"k', k, '":{{"type":"string"}},"path":{{"format":"', {format}, '","type":"string"}},"size":{{"description":"', {said}, '","type":"', {kind}, '"}}}},"required":[', {required}, '],"type":"object"}},"name":"t', k, '"', {title}, '}}')"""
@@ -32,7 +32,7 @@ _DOCUMENT = """concat('{{', {top}, '"prompts":[', {prompts}, '],"protocolVersion
 def manifest_pairs(spark: SparkSession, d: str) -> DataFrame:
     """(key, before, after): manifests of up to ten parts each, so a manifest never grows with the table."""
     rows = table(spark, d, "part").selectExpr("floor(p_partkey / 10) as key", "p_partkey as k", "p_size as s")
-    tools = rows.groupBy("key").agg(
+    tools = spread(rows, "key").groupBy("key").agg(
         F.expr(f"array_sort(collect_list({_BEFORE}) filter (where k % 4 <> 1))").alias("b"), F.expr(f"array_sort(collect_list({_AFTER}) filter (where k % 4 <> 2))").alias("a")
     )
     both = tools.selectExpr(
@@ -135,7 +135,7 @@ def listing_pairs(spark: SparkSession, d: str) -> DataFrame:
         "status": "if(k % 9 = 0, 'deprecated', 'active')", "more": "if(k % 2 = 0, ' more', '')", "secret": "if(k % 7 = 0, 'true', 'false')", "package": "if(k % 6 = 0, 'q', 'p')",
         "remote": "if(k % 4 = 0, ',{\"type\":\"sse\",\"url\":\"https://b\"}', '')", "moved": "if(k % 5 = 0, 'x', '')", "title": "if(k % 8 = 0, ',\"title\":\"T\"', '')", "version": "if(k % 3 = 0, '2', '1')",
     }
-    return table(spark, d, "customer").selectExpr("c_custkey as k").selectExpr("k as key", _LISTING % was + " as before", _LISTING % now + " as after")
+    return spread(table(spark, d, "customer").selectExpr("c_custkey as k"), "k").selectExpr("k as key", _LISTING % was + " as before", _LISTING % now + " as after")
 
 
 @query("""WITH r AS (SELECT c_custkey AS key FROM customer) SELECT key, 'server_description_changed' AS kind, NULL AS detail FROM r WHERE key % 2 = 0 UNION ALL SELECT key, 'endpoint_changed', '+https://b' FROM r WHERE key % 4 = 0

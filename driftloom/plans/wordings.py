@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from driftloom.functions.fixed import AUTHORITY, COMMAND, CREDENTIALS, EXFILTRATION, FILES, FLAGS, INJECTION, NETWORK, ORDERS, PRECEDENCE
 from driftloom.operators import changesets, divergence, records, severity
 from driftloom.plans.registry import query
-from driftloom.session import own_folder, table
+from driftloom.session import own_folder, spread, table
 from driftloom.sources import landed
 
 
@@ -216,5 +216,5 @@ _TWICE = """'{"tools":[{"name":"a","description":"first"},{"description":"namele
 @query("SELECT p_partkey AS key, 'tool_description_changed' AS kind, 'tools/a/description' AS path FROM part WHERE CAST(p_size AS STRING) <> CAST(p_partkey % 50 AS STRING)")
 def q142_repeated_members(spark, d):
     """Tools that are named twice: the last counts, and those without a name do not."""
-    pairs = table(spark, d, "part").selectExpr("p_partkey as key", f"{_TWICE.replace('{}', 'CAST(p_size AS STRING)', 1)} as before", f"{_TWICE.replace('{}', 'CAST(p_partkey % 50 AS STRING)', 1)} as after")
+    pairs = spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").selectExpr("p_partkey as key", f"{_TWICE.replace('{}', 'CAST(p_size AS STRING)', 1)} as before", f"{_TWICE.replace('{}', 'CAST(p_partkey % 50 AS STRING)', 1)} as after")
     return changesets.manifest_changes(pairs, "key", "before", "after").select("key", "kind", "path")
