@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -28,10 +29,15 @@ def split_name(name: Column) -> Column:
     return F.array_join(F.array_remove(parts, ""), " ")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often a lambda in ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def markers(text: Column, phrases: list[str]) -> Column:
     """Sorted phrases that a text holds, in any case."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(F.array(*map(F.lit, sorted(phrases))), lambda p: F.contains(low, p))
+    held = lambda low: F.filter(F.array(*map(F.lit, sorted(phrases))), lambda p: F.contains(low, p))
+    return once(F.lower(F.coalesce(text, F.lit(""))), held)
 
 
 def grew_sharply(before: Column, after: Column) -> Column:

@@ -16,6 +16,7 @@ from driftloom.functions.text import token_diff
 from driftloom.functions.typed import changed_members, object_text, typed_at, typed_members
 from driftloom.operators import documents, listings
 from driftloom.operators.severity import TEXT_KINDS
+from driftloom.session import spread
 
 CHANGE = "struct<at:struct<section:int,name:string,step:int,part:string>,kind:string,path:string,tool:string,before:string,after:string,detail:string>"
 
@@ -44,7 +45,7 @@ def tool_fingerprint(document: Column) -> Column:
     return F.array_join(F.array_sort(F.array_compact(F.transform(tools, lambda t: listings.clean(F.get_json_object(t, "$.name"))))), "|")
 
 
-def _change(section: int, name: Column, step: int, part: Column | None, kind: Column | str, path: Column, tool: Column | None, before: Column, after: Column, detail: Column | None = None) -> Column:
+def _change(section: Column | int, name: Column, step: int, part: Column | None, kind: Column | str, path: Column, tool: Column | None, before: Column, after: Column, detail: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
     return F.struct(
         F.struct(F.lit(section).alias("section"), name.alias("name"), F.lit(step).alias("step"), (none if part is None else part).alias("part")).alias("at"),
@@ -57,44 +58,58 @@ def _if(test: Column, change: Column) -> Column:
     return F.when(F.coalesce(test, F.lit(False)), F.array(change)).otherwise(F.array().cast(f"array<{CHANGE}>"))
 
 
-def _tool_changes(section: int, tool: Column, b: Column, a: Column) -> Column:
-    """Changes between two states of one tool, in report order."""
+def _tool_parts(b: Column, a: Column) -> dict[str, Column]:
+    """What ``_tool_changes`` reads of two states of a tool, by column name: ``_0`` before, ``_1`` after."""
     get = F.get_json_object
-    differ = lambda path: ~typed_at(b, path).eqNullSafe(typed_at(a, path))
+    props, schema = "$.inputSchema.properties", "$.inputSchema"
+    read = {f: (lambda x, f=f: get(x, f"$.{f}")) for f, _ in _TOOL_KINDS} | {
+        "props": lambda x: parts_of(get(x, props)), "whole": lambda x: typed_members(get(x, props)), "required": lambda x: strings_of(get(x, "$.inputSchema.required")),
+        "frame": lambda x: object_text(F.map_filter(typed_members(get(x, schema)), lambda k, _: ~k.isin("properties", "required"))), "parts": parts_of,
+    }
+    staged = {f"{name}_{k}": f(x) for name, f in read.items() for k, x in enumerate((b, a))}
+    differs = {f"{f}_differs": ~typed_at(b, f"$.{f}").eqNullSafe(typed_at(a, f"$.{f}")) for f, _ in _TOOL_KINDS}
+    return staged | differs | {"changed": F.array_except(changed_members(b, a), F.array(*map(F.lit, TOOL_PARTS)))}
+
+
+_TOOL_KINDS = (("description", "tool_description_changed"), ("annotations", "annotation_changed"), ("execution", "execution_changed"))
+
+
+def _tool_changes(section: Column, tool: Column) -> Column:
+    """Changes between two states of one tool, in report order, from the columns of ``_tool_parts``."""
+    get, col = F.get_json_object, F.col
     at = lambda *names: F.concat_ws("/", F.lit("tools"), tool, *[F.lit(n) if isinstance(n, str) else n for n in names])
-    out = [
-        _if(differ(f"$.{f}"), _change(section, tool, k, None, kind, at(f), tool, get(b, f"$.{f}"), get(a, f"$.{f}")))
-        for k, (f, kind) in enumerate([("description", "tool_description_changed"), ("annotations", "annotation_changed"), ("execution", "execution_changed")])
-    ]
-    pb, pa = parts_of(get(b, "$.inputSchema.properties")), parts_of(get(a, "$.inputSchema.properties"))
-    whole_b, whole_a = typed_members(get(b, "$.inputSchema.properties")), typed_members(get(a, "$.inputSchema.properties"))
+    out = [_if(col(f"{f}_differs"), _change(section, tool, k, None, kind, at(f), tool, col(f"{f}_0"), col(f"{f}_1"))) for k, (f, kind) in enumerate(_TOOL_KINDS)]
+    pb, pa, whole_b, whole_a, rb, ra = (col(f"{name}_{k}") for name in ("props", "whole", "required") for k in (0, 1))
     kb, ka = F.map_keys(pb), F.map_keys(pa)
-    rb, ra = strings_of(get(b, "$.inputSchema.required")), strings_of(get(a, "$.inputSchema.required"))
     where = lambda n: at("inputSchema", "properties", n)
     each = lambda names, f: F.transform(F.array_sort(names), f)
     item = F.try_element_at
     out.append(each(F.array_except(ka, kb), lambda n: _change(
         section, tool, 3, n, "schema_param_added", where(n), tool, F.lit(None), item(pa, n), F.when(F.array_contains(ra, n), "required").otherwise("optional"))))
     out.append(each(F.array_except(kb, ka), lambda n: _change(section, tool, 4, n, "schema_param_removed", where(n), tool, item(pb, n), F.lit(None))))
+    both = F.array_intersect(kb, ka)
+    # Most parameters are as they were: only of those whose text differs are the members read, each once.
+    moved = F.filter(both, lambda n: ~item(pb, n).eqNullSafe(item(pa, n)) | ~item(whole_b, n).eqNullSafe(item(whole_a, n)))
 
-    def edited(n: Column) -> Column:
+    def sides(n: Column) -> Column:
         x, y = item(pb, n), item(pa, n)
         kind, text = (~typed_at(x, f"$.{f}").eqNullSafe(typed_at(y, f"$.{f}")) for f in ("type", "description"))
+        return F.struct(n.alias("n"), x.alias("x"), y.alias("y"), kind.alias("kind"), text.alias("text"))
+
+    def edited(s: Column) -> Column:
+        n, x, y = s["n"], s["x"], s["y"]
         return F.concat(
-            _if(kind, _change(section, tool, 5, n, "param_type_changed", where(n), tool, get(x, "$.type"), get(y, "$.type"))),
-            _if(text, _change(section, tool, 5, n, "param_description_changed", where(n), tool, get(x, "$.description"), get(y, "$.description"))),
-            _if(~kind & ~text & ~item(whole_b, n).eqNullSafe(item(whole_a, n)), _change(section, tool, 5, n, "param_schema_changed", where(n), tool, x, y)),
+            _if(s["kind"], _change(section, tool, 5, n, "param_type_changed", where(n), tool, get(x, "$.type"), get(y, "$.type"))),
+            _if(s["text"], _change(section, tool, 5, n, "param_description_changed", where(n), tool, get(x, "$.description"), get(y, "$.description"))),
+            _if(~s["kind"] & ~s["text"] & ~item(whole_b, n).eqNullSafe(item(whole_a, n)), _change(section, tool, 5, n, "param_schema_changed", where(n), tool, x, y)),
         )
 
-    both = F.array_intersect(kb, ka)
-    out.append(F.flatten(each(both, edited)))
+    out.append(F.flatten(F.transform(each(moved, sides), edited)))
     out.append(each(F.array_intersect(F.array_except(ra, rb), ka), lambda n: _change(section, tool, 6, n, "param_became_required", where(n), tool, F.lit(None), F.lit(None))))
     out.append(each(F.array_intersect(F.array_except(rb, ra), both), lambda n: _change(section, tool, 7, n, "param_became_optional", where(n), tool, F.lit(None), F.lit(None))))
-    frame = lambda x: object_text(F.map_filter(typed_members(get(x, "$.inputSchema")), lambda k, _: ~k.isin("properties", "required")))
-    out.append(_if(frame(b) != frame(a), _change(section, tool, 8, None, "tool_field_changed", at("inputSchema"), tool, frame(b), frame(a))))
-    tb, ta = parts_of(b), parts_of(a)
-    changed = F.array_except(changed_members(b, a), F.array(*map(F.lit, TOOL_PARTS)))
-    out.append(each(changed, lambda n: _change(section, tool, 9, n, "tool_field_changed", at(n), tool, item(tb, n), item(ta, n))))
+    out.append(_if(col("frame_0") != col("frame_1"), _change(section, tool, 8, None, "tool_field_changed", at("inputSchema"), tool, col("frame_0"), col("frame_1"))))
+    tb, ta = col("parts_0"), col("parts_1")
+    out.append(each(col("changed"), lambda n: _change(section, tool, 9, n, "tool_field_changed", at(n), tool, item(tb, n), item(ta, n))))
     return F.concat(*out)
 
 
@@ -111,37 +126,42 @@ def manifest_changes(pairs: DataFrame, key: str, before: str, after: str) -> Dat
 
     Tools that were renamed are paired first and compared under the new name; the rest are added,
     removed or compared by name. Of members with the same name the last one counts.
+    Members are landed first, so this runs a job.
     """
     keys = [key]
-    side = lambda doc, path, name: documents.members(pairs, keys, doc, path, name)
-    b, a = side(before, "tools", "name"), side(after, "tools", "name")
+    named = documents.landed_members(pairs, key, [before, after], {"tools": "name", "prompts": "name", "resources": "uri"})
+    b, a = named[before, "tools"], named[after, "tools"]
     pair = documents.renames(b, a, key).select(F.col("transition"), F.col("old"), F.col("new"))
     old = b.join(pair, (F.col(key).cast("string") == F.col("transition")) & (F.col("name") == F.col("old")), "left")
     left = old.select(key, F.coalesce("new", "name").alias("name"), F.col("new").isNotNull().alias("renamed"), F.col("name").alias("was"), F.col("value").alias("b"))
-    both = left.join(a.select(key, "name", F.col("value").alias("a")), [key, "name"], "full_outer")
+    both = spread(left.join(a.select(key, "name", F.col("value").alias("a")), [key, "name"], "full_outer"), key, "name")
     tool, x, y = F.col("name"), F.col("b"), F.col("a")
     path = F.concat(F.lit("tools/"), tool)
     renamed, there = F.coalesce("renamed", F.lit(False)), x.isNotNull() & y.isNotNull()
+    read = both.select(key, "name", "was", "b", "a", renamed.alias("renamed"), there.alias("there"), *[c.alias(n) for n, c in _tool_parts(F.when(there, x), F.when(there, y)).items()])
+    renamed, there = F.col("renamed"), F.col("there")
+    none = F.array().cast(f"array<{CHANGE}>")
+    compared = F.when(there, _tool_changes(F.when(renamed, F.lit(0)).otherwise(F.lit(3)), tool)).otherwise(none)
     found = F.concat(
         _if(renamed, _change(0, tool, -1, None, "tool_renamed", F.concat(F.lit("tools/"), F.col("was")), tool, F.col("was"), tool)),
-        F.when(renamed, _tool_changes(0, tool, x, y)).otherwise(F.array().cast(f"array<{CHANGE}>")),
         _if(x.isNull(), _change(1, tool, 0, None, "tool_added", path, tool, F.lit(None), y, listings.clean(F.get_json_object(y, "$.description")))),
         _if(y.isNull(), _change(2, tool, 0, None, "tool_removed", path, tool, x, F.lit(None))),
-        F.when(there & ~renamed, _tool_changes(3, tool, x, y)).otherwise(F.array().cast(f"array<{CHANGE}>")),
+        compared,
     )
-    rows = both.select(key, F.explode(found).alias("c"))
-    for section, path_, name, changes in ((4, "prompts", "name", documents.prompt_changes), (5, "resources", "uri", documents.resource_changes)):
-        named = changes(side(before, path_, name), side(after, path_, name), keys)
+    rows = read.select(key, F.explode(found).alias("c"))
+    for section, path_, changes in ((4, "prompts", documents.prompt_changes), (5, "resources", documents.resource_changes)):
+        found = changes(named[before, path_], named[after, path_], keys)
         one = _change(section, F.col("name"), 0, None, F.col("kind"), F.concat(F.lit(f"{path_}/"), F.col("name")), None, F.col("before"), F.col("after"))
-        rows = rows.unionByName(named.select(key, one.alias("c")))
+        rows = rows.unionByName(found.select(key, one.alias("c")))
     top = []
     for k, (part, kind) in enumerate((("serverInfo", "server_info_changed"), ("capabilities", "capabilities_changed"))):
         p, q = F.get_json_object(before, f"$.{part}"), F.get_json_object(after, f"$.{part}")
         top.append(_if(~typed_at(F.col(before), f"$.{part}").eqNullSafe(typed_at(F.col(after), f"$.{part}")), _change(6, F.lit(None).cast("string"), k, None, kind, F.lit(part), None, p, q)))
-    tb, ta = parts_of(F.col(before)), parts_of(F.col(after))
     changed = F.array_except(changed_members(F.col(before), F.col(after)), F.array(*map(F.lit, MANIFEST_PARTS)))
-    top.append(F.transform(changed, lambda n: _change(7, n, 0, None, "manifest_field_changed", n, None, F.try_element_at(tb, n), F.try_element_at(ta, n))))
-    return _told(rows.unionByName(pairs.select(key, F.explode(F.concat(*top)).alias("c"))), keys)
+    whole = pairs.select(key, before, after, parts_of(F.col(before)).alias("_parts_0"), parts_of(F.col(after)).alias("_parts_1"), changed.alias("_changed"))
+    tb, ta = F.col("_parts_0"), F.col("_parts_1")
+    top.append(F.transform("_changed", lambda n: _change(7, n, 0, None, "manifest_field_changed", n, None, F.try_element_at(tb, n), F.try_element_at(ta, n))))
+    return _told(rows.unionByName(whole.select(key, F.explode(F.concat(*top)).alias("c"))), keys)
 
 
 def listing_rows(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:

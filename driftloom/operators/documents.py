@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftloom.operators.listings import clean
+from driftloom.session import own_folder, spread
 
 #: Similarity of descriptions from which a removed and an added tool are one that was renamed.
 RENAME_SIMILARITY = 0.6
@@ -30,6 +31,23 @@ def members(docs: DataFrame, keys: list[str], document: str, path: str, name: st
     return rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
 
 
+def landed_members(pairs: DataFrame, key: str, sides: list[str], lists: dict[str, str]) -> dict[tuple[str, str], DataFrame]:
+    """``members`` of each list (its path and the path of its names) of both sides, read in one pass and landed.
+
+    Documents are read once, however often their members are joined afterwards.
+    """
+    texts = [F.struct(F.lit(str(k)).alias("side"), F.lit(path).alias("path"), F.get_json_object(side, f"$.{path}").alias("text")) for k, side in enumerate(sides) for path in lists]
+    rows = pairs.select(key, F.inline(F.array(*texts))).select(key, "side", "path", F.posexplode(F.from_json("text", "array<string>")).alias("at", "value"))
+    named = [F.when(F.col("path") == path, F.get_json_object("value", f"$.{name}")) for path, name in lists.items()]
+    rows = rows.withColumn("name", clean(F.coalesce(*named))).filter("name is not null")
+    last = Window.partitionBy(key, "side", "path", "name").orderBy(F.desc("at"))
+    rows = rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").select(key, "name", "value", "at", "side", "path")
+    at = own_folder(pairs.sparkSession, "members") + "/rows"
+    rows.write.partitionBy("side", "path").parquet(at)
+    read = pairs.sparkSession.read.schema(rows.schema).parquet(at)
+    return {(side, path): read.filter((F.col("side") == str(k)) & (F.col("path") == path)).drop("side", "path") for k, side in enumerate(sides) for path in lists}
+
+
 def parameters(tools: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, tool, name, value, required): parameters of each tool's input schema."""
     schema = F.get_json_object("value", "$.inputSchema")
@@ -140,4 +158,4 @@ def renames(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     b, a = own(before), own(after)
     listed = lambda x, y, n: x.join(y.select("transition", "name"), ["transition", "name"], "left_anti").groupBy("transition").agg(F.array_sort(F.collect_list(F.struct("at", "name", "schema", "text"))).alias(n))
     both = listed(b, a, "removed").join(listed(a, b, "added"), "transition")
-    return both.mapInPandas(_pairs, "transition string, old string, new string, similarity double")
+    return spread(both, "transition").mapInPandas(_pairs, "transition string, old string, new string, similarity double")

@@ -35,3 +35,12 @@ def test_a_listing_is_read_once_a_side(spark):
     plan = changesets.listing_rows(pairs, "key", "before", "after")._jdf.queryExecution().optimizedPlan().toString()
     generate = next(line for line in plan.splitlines() if "Generate explode" in line)
     assert "get_json_object" not in generate and "from_json" not in generate
+
+
+def test_manifests_are_read_once_and_tools_compared_on_all_cores(spark):
+    tool = '{"description":"%s","inputSchema":{"properties":{"p":{"type":"%s"}}},"name":"t"}'
+    pairs = spark.createDataFrame([(1, '{"tools":[%s]}' % (tool % ("a", "string")), '{"tools":[%s]}' % (tool % ("b", "number")))], "key long, before string, after string")
+    found = changesets.manifest_changes(pairs, "key", "before", "after")
+    assert sorted(r.kind for r in found.collect()) == ["param_type_changed", "tool_description_changed"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [key" in plan and "$.inputSchema" not in next(line for line in plan.splitlines() if "Generate explode" in line and "tool_renamed" in line)
