@@ -18,9 +18,12 @@ def _text(value: Column, plain: Column) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.to_json(value)).otherwise(plain)
 
 
-def typed_members(document: Column) -> Column:
-    """Top-level members of a JSON object as a map of JSON texts; null and other values have none."""
-    plain = F.from_json(document, "map<string,string>")
+def typed_members(document: Column, plain: Column | None = None) -> Column:
+    """Top-level members of a JSON object as a map of JSON texts; null and other values have none.
+
+    ``plain`` is the map without types where it is already read: maps are zipped without codegen, so Spark would read it anew.
+    """
+    plain = F.from_json(document, "map<string,string>") if plain is None else plain
     typed = F.map_zip_with(plain, F.from_json(document, "map<string,variant>"), lambda _, text, value: _text(value, text))
     return F.coalesce(typed, plain, F.create_map().cast("map<string,string>"))
 
@@ -69,6 +72,11 @@ def changed_members(before: Column, after: Column, equality: str = "json") -> Co
 
     ``json``: as JSON text, so 1, 1.0, true and "1" are four values. ``python``: as Python compares.
     """
+    return differing_members(typed_members(before), typed_members(after), equality)
+
+
+def differing_members(before: Column, after: Column, equality: str = "json") -> Column:
+    """``changed_members`` of two objects that ``typed_members`` has read."""
     form = {"json": lambda x: x, "python": python_form}[equality]
-    both = F.map_zip_with(typed_members(before), typed_members(after), lambda _, b, a: ~form(b).eqNullSafe(form(a)))
+    both = F.map_zip_with(before, after, lambda _, b, a: ~form(b).eqNullSafe(form(a)))
     return F.array_sort(F.map_keys(F.map_filter(both, lambda _, differs: differs)))

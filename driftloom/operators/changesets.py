@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions.fixed import MANIFEST_PARTS, TOOL_PARTS
 from driftloom.functions.text import token_diff
-from driftloom.functions.typed import changed_members, object_text, typed_at, typed_members
+from driftloom.functions.typed import changed_members, differing_members, object_text, typed_at, typed_members
 from driftloom.operators import documents, listings
 from driftloom.operators.severity import TEXT_KINDS
 from driftloom.session import spread
@@ -58,27 +58,46 @@ def _if(test: Column, change: Column) -> Column:
     return F.when(F.coalesce(test, F.lit(False)), F.array(change)).otherwise(F.array().cast(f"array<{CHANGE}>"))
 
 
-def _tool_parts(b: Column, a: Column) -> dict[str, Column]:
-    """What ``_tool_changes`` reads of two states of a tool, by column name: ``_0`` before, ``_1`` after."""
-    get = F.get_json_object
-    props, schema = "$.inputSchema.properties", "$.inputSchema"
-    read = {f: (lambda x, f=f: get(x, f"$.{f}")) for f, _ in _TOOL_KINDS} | {
-        "props": lambda x: parts_of(get(x, props)), "whole": lambda x: typed_members(get(x, props)), "required": lambda x: strings_of(get(x, "$.inputSchema.required")),
-        "frame": lambda x: object_text(F.map_filter(typed_members(get(x, schema)), lambda k, _: ~k.isin("properties", "required"))), "parts": parts_of,
-    }
-    staged = {f"{name}_{k}": f(x) for name, f in read.items() for k, x in enumerate((b, a))}
-    differs = {f"{f}_differs": ~typed_at(b, f"$.{f}").eqNullSafe(typed_at(a, f"$.{f}")) for f, _ in _TOOL_KINDS}
-    return staged | differs | {"changed": F.array_except(changed_members(b, a), F.array(*map(F.lit, TOOL_PARTS)))}
+def _read_members(rows: DataFrame, b: Column, a: Column, known: tuple[str, ...]) -> DataFrame:
+    """``rows`` with the members of two documents, each document read once: ``parts`` and ``typed`` of both sides, and ``changed`` but for ``known``."""
+    read = rows.withColumns({f"parts_{k}": parts_of(x) for k, x in enumerate((b, a))})
+    read = read.withColumns({f"typed_{k}": typed_members(x, F.col(f"parts_{k}")) for k, x in enumerate((b, a))})
+    return read.withColumn("changed", F.array_except(differing_members(F.col("typed_0"), F.col("typed_1")), F.array(*map(F.lit, known))))
+
+
+def _member_differs(b: Column, a: Column, name: str) -> Column:
+    """Whether a member of two documents that ``_read_members`` has read differs; only texts that are not equal are read again."""
+    item = F.try_element_at
+    same = item(F.col("typed_0"), F.lit(name)).eqNullSafe(item(F.col("typed_1"), F.lit(name)))
+    return F.when(same, F.lit(False)).otherwise(~typed_at(b, f"$.{name}").eqNullSafe(typed_at(a, f"$.{name}")))
+
+
+def _read_tools(rows: DataFrame, b: Column, a: Column) -> DataFrame:
+    """``rows`` with what ``_tool_changes`` reads of two states of a tool: ``_0`` before, ``_1`` after.
+
+    Equal schemas have no changes: only those that differ are read, and their parts from them.
+    """
+    item, sides = F.try_element_at, (0, 1)
+    read = _read_members(rows.withColumns({f"schema_{k}": F.get_json_object(x, "$.inputSchema") for k, x in enumerate((b, a))}), b, a, TOOL_PARTS)
+    differs = {f"{f}_differs": _member_differs(b, a, f) for f, _ in _TOOL_KINDS}
+    moved = [F.when(~F.col("schema_0").eqNullSafe(F.col("schema_1")), F.col(f"schema_{k}")) for k in sides]
+    read = read.withColumns(differs | {f"within_{k}": parts_of(moved[k]) for k in sides})
+    props, required = ([item(F.col(f"within_{k}"), F.lit(name)) for k in sides] for name in ("properties", "required"))
+    read = read.withColumns({f"framed_{k}": typed_members(moved[k], F.col(f"within_{k}")) for k in sides} | {f"props_{k}": parts_of(props[k]) for k in sides})
+    return read.withColumns(
+        {f"whole_{k}": typed_members(props[k], F.col(f"props_{k}")) for k in sides} | {f"required_{k}": strings_of(required[k]) for k in sides}
+        | {f"frame_{k}": object_text(F.map_filter(f"framed_{k}", lambda n, _: ~n.isin("properties", "required"))) for k in sides}
+    )
 
 
 _TOOL_KINDS = (("description", "tool_description_changed"), ("annotations", "annotation_changed"), ("execution", "execution_changed"))
 
 
-def _tool_changes(section: Column, tool: Column) -> Column:
-    """Changes between two states of one tool, in report order, from the columns of ``_tool_parts``."""
+def _tool_changes(section: Column, tool: Column, b: Column, a: Column) -> Column:
+    """Changes between two states of one tool, in report order, from the columns of ``_read_tools``."""
     get, col = F.get_json_object, F.col
     at = lambda *names: F.concat_ws("/", F.lit("tools"), tool, *[F.lit(n) if isinstance(n, str) else n for n in names])
-    out = [_if(col(f"{f}_differs"), _change(section, tool, k, None, kind, at(f), tool, col(f"{f}_0"), col(f"{f}_1"))) for k, (f, kind) in enumerate(_TOOL_KINDS)]
+    out = [_if(col(f"{f}_differs"), _change(section, tool, k, None, kind, at(f), tool, get(b, f"$.{f}"), get(a, f"$.{f}"))) for k, (f, kind) in enumerate(_TOOL_KINDS)]
     pb, pa, whole_b, whole_a, rb, ra = (col(f"{name}_{k}") for name in ("props", "whole", "required") for k in (0, 1))
     kb, ka = F.map_keys(pb), F.map_keys(pa)
     where = lambda n: at("inputSchema", "properties", n)
@@ -138,10 +157,10 @@ def manifest_changes(pairs: DataFrame, key: str, before: str, after: str) -> Dat
     tool, x, y = F.col("name"), F.col("b"), F.col("a")
     path = F.concat(F.lit("tools/"), tool)
     renamed, there = F.coalesce("renamed", F.lit(False)), x.isNotNull() & y.isNotNull()
-    read = both.select(key, "name", "was", "b", "a", renamed.alias("renamed"), there.alias("there"), *[c.alias(n) for n, c in _tool_parts(F.when(there, x), F.when(there, y)).items()])
+    read = _read_tools(both.select(key, "name", "was", "b", "a", renamed.alias("renamed"), there.alias("there")), F.when(F.col("there"), x), F.when(F.col("there"), y))
     renamed, there = F.col("renamed"), F.col("there")
     none = F.array().cast(f"array<{CHANGE}>")
-    compared = F.when(there, _tool_changes(F.when(renamed, F.lit(0)).otherwise(F.lit(3)), tool)).otherwise(none)
+    compared = F.when(there, _tool_changes(F.when(renamed, F.lit(0)).otherwise(F.lit(3)), tool, x, y)).otherwise(none)
     found = F.concat(
         _if(renamed, _change(0, tool, -1, None, "tool_renamed", F.concat(F.lit("tools/"), F.col("was")), tool, F.col("was"), tool)),
         _if(x.isNull(), _change(1, tool, 0, None, "tool_added", path, tool, F.lit(None), y, listings.clean(F.get_json_object(y, "$.description")))),
@@ -154,13 +173,12 @@ def manifest_changes(pairs: DataFrame, key: str, before: str, after: str) -> Dat
         one = _change(section, F.col("name"), 0, None, F.col("kind"), F.concat(F.lit(f"{path_}/"), F.col("name")), None, F.col("before"), F.col("after"))
         rows = rows.unionByName(found.select(key, one.alias("c")))
     top = []
+    whole = _read_members(pairs.select(key, F.col(before).alias("b"), F.col(after).alias("a")), F.col("b"), F.col("a"), MANIFEST_PARTS)
     for k, (part, kind) in enumerate((("serverInfo", "server_info_changed"), ("capabilities", "capabilities_changed"))):
-        p, q = F.get_json_object(before, f"$.{part}"), F.get_json_object(after, f"$.{part}")
-        top.append(_if(~typed_at(F.col(before), f"$.{part}").eqNullSafe(typed_at(F.col(after), f"$.{part}")), _change(6, F.lit(None).cast("string"), k, None, kind, F.lit(part), None, p, q)))
-    changed = F.array_except(changed_members(F.col(before), F.col(after)), F.array(*map(F.lit, MANIFEST_PARTS)))
-    whole = pairs.select(key, before, after, parts_of(F.col(before)).alias("_parts_0"), parts_of(F.col(after)).alias("_parts_1"), changed.alias("_changed"))
-    tb, ta = F.col("_parts_0"), F.col("_parts_1")
-    top.append(F.transform("_changed", lambda n: _change(7, n, 0, None, "manifest_field_changed", n, None, F.try_element_at(tb, n), F.try_element_at(ta, n))))
+        p, q = (F.get_json_object(x, f"$.{part}") for x in ("b", "a"))
+        top.append(_if(_member_differs(F.col("b"), F.col("a"), part), _change(6, F.lit(None).cast("string"), k, None, kind, F.lit(part), None, p, q)))
+    tb, ta = F.col("parts_0"), F.col("parts_1")
+    top.append(F.transform("changed", lambda n: _change(7, n, 0, None, "manifest_field_changed", n, None, F.try_element_at(tb, n), F.try_element_at(ta, n))))
     return _told(rows.unionByName(whole.select(key, F.explode(F.concat(*top)).alias("c"))), keys)
 
 

@@ -44,3 +44,16 @@ def test_manifests_are_read_once_and_tools_compared_on_all_cores(spark):
     assert sorted(r.kind for r in found.collect()) == ["param_type_changed", "tool_description_changed"]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [key" in plan and "$.inputSchema" not in next(line for line in plan.splitlines() if "Generate explode" in line and "tool_renamed" in line)
+
+
+def test_parts_of_tools_are_read_from_schemas_that_differ(spark):
+    tool = '{"description":%s,"inputSchema":%s,"name":"t"}'
+    schemas = ['{"properties":{"p":{"default":%s}},"required":[%s]}' % x for x in (("1", ""), ('"1"', ""), ("1", '"p"'))]
+    rows = [(1, tool % ('"1"', schemas[0]), tool % ("1", schemas[0])), (2, tool % ('"a"', schemas[0]), tool % ('"a"', schemas[1])), (3, tool % ('"a"', schemas[0]), tool % ('"a"', schemas[2])),
+            (4, tool % ("null", "null"), tool % ('"a"', schemas[2])), (5, tool % ("null", "{}"), tool % ("null", "{}"))]
+    pairs = spark.createDataFrame([(k, '{"capabilities":%s,"tools":[%s]}' % ("1", b), '{"capabilities":%s,"tools":[%s]}' % ('"1"' if k == 5 else "1", a)) for k, b, a in rows], "key long, before string, after string")
+    found = changesets.manifest_changes(pairs, "key", "before", "after")
+    assert sorted((r.key, r.kind) for r in found.collect()) == [
+        (1, "tool_description_changed"), (2, "param_schema_changed"), (3, "param_became_required"), (4, "param_became_required"), (4, "schema_param_added"), (4, "tool_description_changed"), (5, "capabilities_changed"),
+    ]
+    assert "$.inputSchema.properties" not in found._jdf.queryExecution().optimizedPlan().toString()
